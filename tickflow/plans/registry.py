@@ -27,7 +27,7 @@ tagged as (
 
 
 def r6(expr: str, alias: str | None = None) -> str:
-    return f"(round({expr}, 6) + 0.0)" + (f" as {alias}" if alias else "")
+    return f"(round(({expr})::double, 6) + 0.0)" + (f" as {alias}" if alias else "")
 
 
 def r6s(*names: str) -> str:
