@@ -27,23 +27,35 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None,
     return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.c", "_p.x")
 
 
+def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Count, minimum, maximum, mean and sample deviation per column, in one scan.
+
+    The columns are turned into rows first: the plan stays small for any number of columns,
+    and the partial aggregation leaves one row per column and task.
+    """
+    rows = unpivot(df, columns).groupBy("c").agg(
+        F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")).collect()
+    return {r["c"]: r.asDict() for r in rows}
+
+
 def quantiles(df: DataFrame, probs: dict[str, list[float]], direct_rows: int = DIRECT_ROWS,
               buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles, NULLs ignored; None for a column without values."""
     columns = [c for c in probs if probs[c]]
     if not columns:
         return {c: [] for c in probs}
-    shape = df.agg(*[a for i, c in enumerate(columns) for a in (
-        F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
-    size = {c: shape[f"n{i}"] for i, c in enumerate(columns)}
-    if max(size.values()) <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs[c]]))
-                       .alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs[c])
-                for i, c in enumerate(columns)}
-
-    limits = {c: (float(shape[f"a{i}"]), float(shape[f"b{i}"]))
-              for i, c in enumerate(columns) if size[c]}
+    if df.count() <= direct_rows:
+        every = sorted({float(p) for c in columns for p in probs[c]})
+        rows = (unpivot(df, columns).groupBy("c")
+                .agg(F.percentile("x", F.array(*[F.lit(p) for p in every])).alias("q")).collect())
+        found = {r["c"]: r["q"] for r in rows}
+        return {c: [None if found[c] is None else found[c][every.index(float(p))] for p in probs[c]]
+                for c in columns}
+
+    shape = profile(df, columns)
+    size = {c: s["n"] for c, s in shape.items()}
+    limits = {c: (s["low"], s["high"]) for c, s in shape.items() if s["n"]}
     wanted = defaultdict(set)
     for c in limits:
         for p in probs[c]:

@@ -1,4 +1,8 @@
-"""Column expressions."""
+"""Column expressions.
+
+Expressions that are made for many columns at once are written as SQL text: one parsed
+string per column instead of a chain of calls into the JVM.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def number(value: float) -> str:
+    """A double literal in SQL text."""
+    return f"{float(value)!r}D"
+
+
+def replace_columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Replace columns in place by SQL text; names that are absent are ignored."""
+    return df.selectExpr(*[f"{exprs[c]} as `{c}`" if c in exprs else f"`{c}`" for c in df.columns])
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes])
+    return replace_columns(df, {c: f"round(`{c}`, {digits})" for c, t in df.dtypes if t == "double"})
 
 
-def signed_log(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+def signed_log(column: str) -> str:
+    return f"signum(`{column}`) * log1p(abs(`{column}`))"
 
 
 def ratio_or_zero(num: Column, den: Column) -> Column:
@@ -22,33 +35,31 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den).when(num != 0, 0.0)
 
 
-def clip(x: Column, low: Column | float, high: Column | float) -> Column:
+def clip(column: str, low: float, high: float) -> str:
     """Clip that keeps NULL (greatest and least would replace it by a bound)."""
-    low = low if isinstance(low, Column) else F.lit(low)
-    high = high if isinstance(high, Column) else F.lit(high)
-    return F.when(x < low, low).when(x > high, high).otherwise(x)
+    low, high = number(low), number(high)
+    return f"case when `{column}` < {low} then {low} when `{column}` > {high} then {high} else `{column}` end"
 
 
-def right_closed_bin(x: Column, edges: Sequence[float], *, lowest: bool = True,
-                     open_ends: bool = False) -> Column:
-    """Index of the bin (edge[i], edge[i+1]] that holds x.
+def right_closed_bin(column: str, edges: Sequence[float], *, lowest: bool = True,
+                     open_ends: bool = False) -> str:
+    """Index of the bin (edge[i], edge[i+1]] that holds the value.
 
-    ``lowest`` puts x = edge[0] into bin 0. Outside values give NULL, unless
+    ``lowest`` puts a value at edge[0] into bin 0. Outside values give NULL, unless
     ``open_ends`` extends the outer bins to infinity.
     """
-    inner = list(edges[1:-1])
-    out = F.when(x.isNull(), None)
+    outside = f"`{column}` is null"
     if not open_ends:
-        below = x < F.lit(float(edges[0])) if lowest else x <= F.lit(float(edges[0]))
-        out = out.when(below | (x > F.lit(float(edges[-1]))), None)
-    for i, edge in enumerate(inner):
-        out = out.when(x <= F.lit(float(edge)), i)
-    return out.otherwise(len(inner)).cast("long")
+        outside += (f" or `{column}` {'<' if lowest else '<='} {number(edges[0])}"
+                    f" or `{column}` > {number(edges[-1])}")
+    inner = edges[1:-1]
+    steps = "".join(f" when `{column}` <= {number(e)} then {i}L" for i, e in enumerate(inner))
+    return f"case when {outside} then null{steps} else {len(inner)}L end"
 
 
 def above(prob: Column, threshold: float) -> Column:
     return (prob > threshold).cast("long")
 
 
-def inverse_power(base: float, exponent: float) -> Column:
-    return F.pow(F.lit(float(base)), F.lit(-float(exponent)))
+def inverse_power(base: float, exponent: float) -> str:
+    return f"power({number(base)}, {number(-exponent)})"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import constants as C
-from tickflow.functions.quantiles import quantiles
+from tickflow.functions.quantiles import profile, quantiles
 from tickflow.functions.scalars import right_closed_bin
 from tickflow.operators.prep import fit_quantile_bins
 from tickflow.order import DAY_ORDER, Order
@@ -45,16 +45,14 @@ def trades_per_date(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str],
              percentiles: Sequence[float] = tuple(C.PROFILE_PERCENTILES)) -> DataFrame:
     """Long form: (column, statistic, value)."""
-    row = df.agg(*[a for i, c in enumerate(columns) for a in (
-        F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-        F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
+    shape = profile(df, list(columns))
     found = quantiles(df, {c: list(percentiles) for c in columns})
     out = []
-    for i, c in enumerate(columns):
-        stats = [("count", row[f"n{i}"]), ("mean", row[f"m{i}"]), ("std", row[f"s{i}"]),
-                 ("min", row[f"a{i}"])]
+    for c in columns:
+        stats = [("count", shape[c]["n"]), ("mean", shape[c]["mean"]), ("std", shape[c]["std"]),
+                 ("min", shape[c]["low"])]
         stats += [(f"{p * 100:g}%", q) for p, q in zip(percentiles, found[c])]
-        stats += [("max", row[f"b{i}"])]
+        stats += [("max", shape[c]["high"])]
         out += [(c, name, None if v is None else float(v)) for name, v in stats]
     # a few statistics per column
     return df.sparkSession.createDataFrame(out, "column string, statistic string, value double")
@@ -77,7 +75,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def bin_target_profile(df: DataFrame, column: str, y: str = "y", q: int = 10) -> DataFrame:
     """Mean target and rows per equal-frequency bin (edges included at both ends)."""
     edges = fit_quantile_bins(df, {column: q})[column]
-    bucket = right_closed_bin(F.col(column), edges)
+    bucket = F.expr(right_closed_bin(column, edges))
     return (df.where(F.col(column).isNotNull()).groupBy(bucket.alias("bin"))
             .agg(F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import constants as C
-from tickflow.functions.scalars import inverse_power, ratio_or_zero, signed_log
+from tickflow.functions.scalars import inverse_power, ratio_or_zero, replace_columns, signed_log
 from tickflow.order import DAY_ORDER, Order, drop_halo, global_index, lookup, with_halo
 
 LOOK_BACK = 80
@@ -141,8 +141,9 @@ def basic_features(df: DataFrame, families: Sequence[str] = ("price", "volume",
     row_wise = [f for f in families if f != "update"]
     out = df
     if row_wise:
+        present = set(df.columns)
         pairs = {o: F.col(a) - F.col(b) for o, (a, b) in PAIR_DIFFERENCES.items()
-                 if a in df.columns and b in df.columns}
+                 if a in present and b in present}
         out = out.select("*", *[e.alias(o) for o, e in pairs.items()])
         need = set(outputs)
         look = {o: lag_difference(c, n, order) for o, (c, n) in LAG_DIFFERENCES.items() if o in need}
@@ -185,10 +186,8 @@ def difference_features(df: DataFrame) -> DataFrame:
 
 def proportion_grid(df: DataFrame) -> DataFrame:
     """Impute the resting-order columns and add all size x exponent and size x fade differences."""
-    fills = {name: inverse_power(14, e) for key, e in C.PROP_EXPONENTS.items()
-             for name in C.prop_names(key)}
-    imputed = df.select(*[F.coalesce(c, fills[c]).alias(c) if c in fills else F.col(c)
-                          for c in df.columns])
+    imputed = replace_columns(df, {c: f"coalesce(`{c}`, {inverse_power(14, e)})"
+                                   for key, e in C.PROP_EXPONENTS.items() for c in C.prop_names(key)})
     grid = [(F.col(f"escora_bid_{s}_{e}") - F.col(f"escora_ask_{s}_{e}")).alias(f"escora_DIF_{s}_{e}")
             for s in C.PROP_SIZES for e in C.PROP_EXPONENTS]
     grid += [(F.col(f"movesc_bid_{s}_{f}") - F.col(f"movesc_ask_{s}_{f}")).alias(f"movesc_DIF_{s}_{f}")
@@ -197,9 +196,7 @@ def proportion_grid(df: DataFrame) -> DataFrame:
 
 
 def log_volume(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    chosen = set(columns)
-    return df.select(*[signed_log(F.col(c)).alias(c) if c in chosen else F.col(c)
-                       for c in df.columns])
+    return replace_columns(df, {c: signed_log(c) for c in columns})
 
 
 def duplicate(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import constants as C
-from tickflow.functions.quantiles import quantiles, unpivot
-from tickflow.functions.scalars import clip, inverse_power, right_closed_bin
+from tickflow.functions.quantiles import profile, quantiles, unpivot
+from tickflow.functions.scalars import (clip, inverse_power, number, replace_columns,
+                                         right_closed_bin)
 from tickflow.operators.features import difference_features, duplicate, log_volume
 from tickflow.order import DAY_ORDER, Order, before_key, keys_at, lookup
 
@@ -25,10 +26,6 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
 
-def replace_columns(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
-
-
 # --- split -----------------------------------------------------------------------------
 
 def split_key(df: DataFrame, test_share: float = 0.2, order: Order = DAY_ORDER) -> tuple | None:
@@ -52,8 +49,8 @@ def ordered_split(df: DataFrame, test_share: float = 0.2,
 
 def impute_proportions(df: DataFrame) -> DataFrame:
     """1 / 14^exponent for the resting-order columns that are present."""
-    fills = {c: inverse_power(14, e) for key, e in C.PROP_EXPONENTS.items() for c in C.prop_names(key)}
-    return replace_columns(df, {c: F.coalesce(c, v) for c, v in fills.items() if c in df.columns})
+    return replace_columns(df, {c: f"coalesce(`{c}`, {inverse_power(14, e)})"
+                                for key, e in C.PROP_EXPONENTS.items() for c in C.prop_names(key)})
 
 
 def fit_median(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -61,7 +58,8 @@ def fit_median(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    return replace_columns(df, {c: F.coalesce(c, F.lit(v)) for c, v in values.items() if v is not None})
+    return replace_columns(df, {c: f"coalesce(`{c}`, {number(v)})"
+                                for c, v in values.items() if v is not None})
 
 
 # --- caps and scales -------------------------------------------------------------------
@@ -78,20 +76,18 @@ def fit_caps(df: DataFrame, folds: dict[str, float]) -> dict[str, tuple[float, f
 
 
 def apply_caps(df: DataFrame, caps: dict[str, tuple[float, float]]) -> DataFrame:
-    return replace_columns(df, {c: clip(F.col(c), *b) for c, b in caps.items()})
+    return replace_columns(df, {c: clip(c, *b) for c, b in caps.items()})
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[a for i, c in enumerate(columns) for a in (
-        F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
-    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    return {c: (s["mean"], s["std"]) for c, s in profile(df, list(columns)).items()}
 
 
-def z_score(x: Column, mean: float | None, std: float | None) -> Column:
+def z_score(column: str, mean: float | None, std: float | None) -> str:
     """(x - mean) / std; NULL when the spread is zero or unknown."""
     if mean is None or not std:
-        return F.lit(None).cast("double")
-    return (x - F.lit(mean)) / F.lit(std)
+        return "cast(null as double)"
+    return f"(`{column}` - {number(mean)}) / {number(std)}"
 
 
 @dataclass(frozen=True)
@@ -112,9 +108,9 @@ def fit_base_norm(df: DataFrame, columns: Sequence[str], fold: float = 0.001) ->
 
 
 def apply_norm(df: DataFrame, norm: Norm, zero_nulls: bool = False) -> DataFrame:
-    exprs = {c: z_score(F.col(c), *m) for c, m in norm.moments.items()}
+    exprs = {c: z_score(c, *m) for c, m in norm.moments.items()}
     if zero_nulls:
-        exprs = {c: F.coalesce(e, F.lit(0.0)) for c, e in exprs.items()}
+        exprs = {c: f"coalesce({e}, 0D)" for c, e in exprs.items()}
     return replace_columns(apply_caps(df, norm.caps), exprs)
 
 
@@ -126,18 +122,16 @@ def fit_robust_scale(df: DataFrame, columns: Sequence[str], low: float = 0.10,
 
 
 def fit_minmax(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[a for i, c in enumerate(columns) for a in (
-        F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]).first()
-    return {c: (float(row[f"a{i}"]), float((row[f"b{i}"] - row[f"a{i}"]) or 1.0))
-            for i, c in enumerate(columns) if row[f"a{i}"] is not None}
+    return {c: (s["low"], (s["high"] - s["low"]) or 1.0)
+            for c, s in profile(df, list(columns)).items() if s["n"]}
 
 
 def apply_scale(df: DataFrame, scale: dict[str, tuple[float, float]], low: float = 0.0,
                 high: float = 1.0) -> DataFrame:
     """(x - centre) / width, stretched to [low, high]."""
-    def scaled(c: str, centre: float, width: float) -> Column:
-        unit = (F.col(c) - F.lit(centre)) / F.lit(width)
-        return unit if (low, high) == (0.0, 1.0) else unit * F.lit(high - low) + F.lit(low)
+    def scaled(c: str, centre: float, width: float) -> str:
+        unit = f"(`{c}` - {number(centre)}) / {number(width)}"
+        return unit if (low, high) == (0.0, 1.0) else f"{unit} * {number(high - low)} + {number(low)}"
     return replace_columns(df, {c: scaled(c, *s) for c, s in scale.items()})
 
 
@@ -150,13 +144,11 @@ def fit_quantile_bins(df: DataFrame, bins: dict[str, int]) -> dict[str, list[flo
 
 
 def apply_quantile_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    return replace_columns(df, {c: right_closed_bin(F.col(c), e, open_ends=True)
-                                for c, e in edges.items()})
+    return replace_columns(df, {c: right_closed_bin(c, e, open_ends=True) for c, e in edges.items()})
 
 
 def apply_arbitrary_bins(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    return replace_columns(df, {c: right_closed_bin(F.col(c), e, lowest=False)
-                                for c, e in edges.items() if c in df.columns})
+    return replace_columns(df, {c: right_closed_bin(c, e, lowest=False) for c, e in edges.items()})
 
 
 def fit_mean_encoding(df: DataFrame, columns: Sequence[str], y: str = "y",
@@ -174,13 +166,14 @@ def apply_mean_encoding(df: DataFrame, encoding: DataFrame, columns: Sequence[st
     """
     head = encoding.limit(literal_rows + 1).collect()
     if len(head) <= literal_rows:
-        exprs = {}
-        for c in columns:
-            value = F.lit(None).cast("double")
-            for r in sorted((r for r in head if r["c"] == c), key=lambda r: r["x"], reverse=True):
-                value = F.when(F.col(c) == F.lit(r["x"]), F.lit(r["mean"])).otherwise(value)
-            exprs[c] = value
-        return replace_columns(df, exprs)
+        means = {c: {r["x"]: r["mean"] for r in head if r["c"] == c} for c in columns}
+
+        def literal(x) -> str:
+            return str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+        return replace_columns(df, {
+            c: f"case `{c}`" + "".join(f" when {literal(x)} then {number(m)}" for x, m in sorted(of.items()))
+               + " end" if of else "cast(null as double)" for c, of in means.items()})
     out = df
     for c in columns:
         table = encoding.where(F.col("c") == c).select(F.col("x").alias(c), F.col("mean").alias("_mean"))
@@ -230,7 +223,12 @@ class ScaledView:
         caps = fit_caps(train, cap_folds(names))
         capped = apply_caps(train, caps)
         robust = fit_robust_scale(capped, names)
-        return ScaledView(caps, robust, fit_minmax(apply_scale(capped, robust), names))
+        # the ends of a column move with it under (x - centre) / width
+        minmax = {}
+        for c, (low, width) in fit_minmax(capped, names).items():
+            centre, spread = robust[c]
+            minmax[c] = ((low - centre) / spread, width / spread)
+        return ScaledView(caps, robust, minmax)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return apply_scale(apply_scale(apply_caps(df, self.caps), self.robust), self.minmax)
@@ -252,7 +250,8 @@ class BinnedView:
 
     @staticmethod
     def _start(df: DataFrame) -> DataFrame:
-        return duplicate(df.drop(*C.NOT_BINNED), [c for c in C.DUPLICATED if c in df.columns])
+        present = set(df.columns)
+        return duplicate(df.drop(*C.NOT_BINNED), [c for c in C.DUPLICATED if c in present])
 
     @staticmethod
     def fit(train: DataFrame, mean_encode: bool = False, encode_all: bool = False) -> "BinnedView":

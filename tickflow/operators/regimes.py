@@ -47,7 +47,7 @@ def feature_matrix(df: DataFrame, order: Order = DAY_ORDER) -> DataFrame:
     """Key, ``model`` and features (two-letter prefix removed) of all rows with a regime."""
     kept = without_first_update(df, order).where("model is not null")
     names = feature_columns(kept)
-    return kept.select(*C.KEY, "model", *[F.col(c).alias(c[2:]) for c in names])
+    return kept.selectExpr(*C.KEY, "model", *[f"`{c}` as `{c[2:]}`" for c in names])
 
 
 def one_regime(df: DataFrame, regime: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tickflow.functions.scalars import round_doubles
 from tickflow.operators import joins, prep, regimes
 from tickflow.operators.features import UPDATE, basic_features
 from tickflow.operators.prep import BinnedView, Preparation, ScaledView
+from tickflow.order import before_key
 from tickflow.plans.labelling import split_sql
 from tickflow.plans.registry import query, r6, r6s, sql
 from tickflow.plans.ticks import RAW_FEATURES, ticks
@@ -196,7 +197,7 @@ def enc_mean_category(spark, sf):
 
 DROPPED = prep.dropped_columns("mi_up")
 MATRIX_SQL = ("matrix as (select t.date_trd, t.update, t.time, t.trd_id, t.model, t.hit as y, "
-              + ", ".join((f"u.f_{n}" if f"f_{n}" in UPDATE else f"x.f_{n}") + f" as {n}"
+              + ", ".join((f"round(u.f_{n}, 9)" if f"f_{n}" in UPDATE else f"round(x.f_{n}, 9)") + f" + 0.0 as {n}"
                           for n in STRIPPED_ALL)
               + " from tagged t join featured x on t.date_trd = x.date_trd and t.trd_id = x.trd_id "
                 "left join update_means u on t.date_trd = u.date_trd and t.update = u.update "
@@ -230,19 +231,24 @@ KEY_SQL = "date_trd, update, time, trd_id"
 
 
 def feature_frame(spark, sf):
-    """Feature matrix with all engineered features and the target, written once."""
+    """Feature matrix with all engineered features and the target, written once.
+
+    Rounded to 9 digits, so that values that are equal on paper stay equal and fall into
+    the same bin whatever the order in which a mean was summed.
+    """
     trades = tagged(spark, sf, features=True)
     matrix = regimes.feature_matrix(basic_features(trades))
     y = ticks(spark, sf).select(*C.KEY, F.col("hit").alias("y"))
-    return written(joins.left_join_rows(matrix, y), "matrix")
+    return written(round_doubles(joins.left_join_rows(matrix, y), 9), "matrix")
 
 
 def prepared(spark, sf):
     """(train, all) after the preparation fitted on the first 80 % of the rows."""
     frame = feature_frame(spark, sf)
-    train, _ = prep.ordered_split(frame, 0.2)
-    steps = Preparation.fit(train, "mi_up")
-    return steps.apply(train), steps.apply(frame)
+    key = prep.split_key(frame, 0.2)
+    steps = Preparation.fit(frame.where(before_key(key)), "mi_up")
+    ready = written(steps.apply(frame), "prepared")
+    return ready.where(before_key(key)), ready
 
 
 @query("preproc_chain", sql(

@@ -1,7 +1,6 @@
 """The ``ticks`` trade table, derived from ``events``.
 
-One definition for Spark (``ticks``) and one for DuckDB (``TICKS_SQL``). The raw features
-are projections of four stored columns, so a query only computes the ones it reads.
+One definition for Spark (``ticks``) and one for DuckDB (``TICKS_SQL``).
 """
 
 from __future__ import annotations
@@ -117,21 +116,23 @@ def build_ticks(events: DataFrame, order: Order = DAY_ORDER,
         "event_id", "user_id", "value")
 
 
-def stored_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trade table, built once per application and folder and kept as a table."""
-    slot = (spark.sparkContext.applicationId, sf_dir)
-    if slot not in _built:
-        _built[slot] = written(build_ticks(spark.read.parquet(f"{sf_dir}/events.parquet")), "ticks")
-    return _built[slot]
+def with_raw_features(core: DataFrame) -> DataFrame:
+    """Add the ``f_*`` input columns."""
+    return core.select(
+        "*", *[F.expr(f"cast({e} as double)").alias("f_" + n) for n, e in RAW_FEATURES.items()])
 
 
 def ticks(spark: SparkSession, sf_dir: str, features: bool = False) -> DataFrame:
-    """Trade table; ``features`` adds the raw ``f_*`` columns."""
-    core = stored_ticks(spark, sf_dir)
-    if not features:
-        return core
-    return core.select(
-        "*", *[F.expr(f"cast({e} as double)").alias("f_" + n) for n, e in RAW_FEATURES.items()])
+    """Trade table, built once per application and folder and kept as a written table.
+
+    ``features`` keeps the raw ``f_*`` columns; scans read only the columns in use.
+    """
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _built:
+        core = build_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        _built[slot] = written(with_raw_features(core), "ticks")
+    stored = _built[slot]
+    return stored if features else stored.drop(*["f_" + n for n in RAW_FEATURES])
 
 
 _RAW_SQL = ",\n  ".join(f"cast({e} as double) as f_{n}" for n, e in RAW_FEATURES.items())
