@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickflow import constants as C
 from tickflow.operators.joins import asof_forward
 from tickflow.order import DAY_ORDER, Order, forward_fill, lookup
+from tickflow.runtime import written
 
 
 def distinct_runs(df: DataFrame) -> DataFrame:
@@ -66,7 +67,9 @@ def exit_price(df: DataFrame, order: Order = DAY_ORDER) -> DataFrame:
     price = (F.when(F.col("model").isNotNull() & (F.col("s_run_next") == 0), F.col("first_price_zero"))
              .when(F.col("model").isin(C.UP_REGIMES), F.col("first_price_down"))
              .when(F.col("model").isin(C.DOWN_REGIMES), F.col("first_price_up")))
-    return asof_run_prices(df, order).withColumn("exit_price", price)
+    # read by the id scan, the price scan and the final lookup
+    staged = written(df, "exits")
+    return asof_run_prices(staged, order).withColumn("exit_price", price)
 
 
 def _threshold() -> Column:

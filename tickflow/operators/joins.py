@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickflow import constants as C
 from tickflow.order import DAY_ORDER, Order, backward_fill, lookup
+from tickflow.runtime import written
 
 
 def _suffixed(other: DataFrame, taken: Sequence[str], on: Sequence[str], suffix: str) -> DataFrame:
@@ -58,12 +59,13 @@ def asof_forward(left: DataFrame, right: DataFrame, by: str, left_on: str, right
     up again, so neither a hot day nor a hot id meets in one task.
     """
     wanted = left.select(by, F.col(left_on).alias("_id")).where("_id is not null").distinct()
-    blank = right.select(*[F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c in carried])
-    merged = (right.select(by, F.col(right_on).alias("_id"), *carried, F.lit(0).alias("_want"))
-              .unionByName(wanted.select("*", *[F.lit(None).cast(t).alias(c)
-                                                for c, t in blank.dtypes], F.lit(1).alias("_want")))
-              .groupBy(by, "_id")
-              .agg(*[F.max(c).alias(c) for c in carried], F.max("_want").alias("_want")))
+    types = dict(right.dtypes)
+    merged = written(
+        right.select(by, F.col(right_on).alias("_id"), *carried, F.lit(0).alias("_want"))
+        .unionByName(wanted.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in carried],
+                                   F.lit(1).alias("_want")))
+        .groupBy(by, "_id")
+        .agg(*[F.max(c).alias(c) for c in carried], F.max("_want").alias("_want")), "ids")
     by_id = Order(by, "_id", order.block_rows, order.broadcast_rows)
     filled = (backward_fill(merged, list(carried), by_id).where("_want = 1")
               .select(by, F.col("_id").alias(left_on), *carried))

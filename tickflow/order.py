@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickflow.runtime import BROADCAST_ROWS, attach, bounded, written
+from tickflow.runtime import BROADCAST_ROWS, attach, sized, written
 
 
 @dataclass(frozen=True)
@@ -165,12 +165,12 @@ def lookup(df: DataFrame, table: DataFrame, on: list[str], order: Order = DAY_OR
     A table of checked size is broadcast. Beyond that the table is first spread to the
     distinct (block, key) pairs, so the final join key holds at most one block of rows.
     """
-    small = bounded(table, order.broadcast_rows)
-    if small is not None:
-        return df.join(F.broadcast(small), on, "left")
+    stored, small = sized(table, order.broadcast_rows)
+    if small:
+        return df.join(F.broadcast(stored), on, "left")
     tagged = order.tag(df)
     extra = [c for c in order.keys if c not in on]
-    pairs = tagged.select(*on, *extra).distinct().join(table, on, "left")
+    pairs = tagged.select(*on, *extra).distinct().join(stored, on, "left")
     return tagged.join(pairs, [*on, *extra], "left").drop("_blk")
 
 

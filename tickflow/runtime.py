@@ -6,12 +6,11 @@ import os
 import tempfile
 import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup table is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -63,23 +62,23 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """The table computed once and written, and whether it has at most ``max_rows`` rows.
+
+    The rows are counted while they are written.
+    """
+    seen = Observation()
+    stored = written(table.observe(seen, F.count(F.lit(1)).alias("n")), "table")
+    return stored, seen.get["n"] <= max_rows
+
+
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that is expected to be small, after checking that it is.
 
-    At most ``max_rows + 1`` rows are fetched. When the whole table fits it is broadcast;
-    otherwise both sides are shuffled on ``on``. Callers choose ``on`` so that one key
-    never holds more than one block of rows (see ``order``), so the shuffle is even.
+    A counted table of at most ``max_rows`` rows is broadcast; otherwise both sides are
+    shuffled on ``on``. Callers choose ``on`` so that one key never holds more than one
+    block of rows (see ``order``), so the shuffle is even.
     """
-    head = bounded(table, max_rows)
-    if head is None:
-        return df.join(table, on, how)
-    return df.join(F.broadcast(head), on, how)
-
-
-def bounded(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The table as local rows when it has at most ``max_rows`` rows, else None."""
-    fetched: pa.Table = table.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows:
-        return None
-    return table.sparkSession.createDataFrame(fetched, schema=table.schema)
+    stored, small = sized(table, max_rows)
+    return df.join(F.broadcast(stored) if small else stored, on, how)
