@@ -1,12 +1,37 @@
-"""Folds, classifiers, stacking, search and comparison on Spark ML."""
+"""Folds, classifiers, stacking, search and comparison on Spark ML.
+
+Where Spark ML has no counterpart the nearest one is used: gradient boosting without
+column sampling and L1 terms, linear SVM with L2 only, the RBF kernel by random Fourier
+features, the dense network without dropout and batch normalisation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import random
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickflow import constants as C
+from tickflow.operators.aggregates import class_weights
+from tickflow.operators.metrics import best_threshold, fold_estimate, report
 from tickflow.order import DAY_ORDER, Order, before_key, keys_at
+from tickflow.runtime import together, written
+
+KEY = ["date_trd", "trd_id"]
+
 
+# --- folds and weights -------------------------------------------------------------------
 
 def contiguous_folds(df: DataFrame, y: str, k: int, order: Order = DAY_ORDER) -> DataFrame:
     """Add ``fold`` 0..k-1: per class, k consecutive and nearly equal stretches.
@@ -27,3 +52,264 @@ def contiguous_folds(df: DataFrame, y: str, k: int, order: Order = DAY_ORDER) ->
             position = position + (~before_key(limits[label, rank], order)).cast("long")
         fold = F.when(F.col(y) == label, position).otherwise(fold)
     return df.withColumn("fold", fold)
+
+
+def with_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:
+    """Balanced class weight as a column; one literal per class."""
+    weight = F.lit(None).cast("double")
+    for r in class_weights(df, y).collect():
+        weight = F.when(F.col(y) == r[y], float(r["weight"])).otherwise(weight)
+    return df.withColumn(out, weight)
+
+
+# --- classifiers -------------------------------------------------------------------------
+
+@dataclass
+class Fitted:
+    """A trained classifier over named columns; ``score`` adds ``prob``."""
+
+    columns: list[str]
+    model: object
+    prepare: Callable[[DataFrame], DataFrame]
+    calibration: object = None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        kept = df.columns
+        out = self.model.transform(self.prepare(df))
+        if self.calibration is not None:
+            out = self.calibration.transform(_margin(out).drop("rawPrediction", "prediction"))
+        return out.select(*kept, vector_to_array("probability")[1].alias("prob"))
+
+    def importances(self) -> dict[str, float]:
+        """Tree importances, or coefficients of a linear model."""
+        values = (self.model.featureImportances if hasattr(self.model, "featureImportances")
+                  else self.model.coefficients)
+        return dict(zip(self.columns, [float(v) for v in values.toArray()]))
+
+
+def _assembler(columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    stage = VectorAssembler(inputCols=list(columns), outputCol="features")
+    return stage.transform
+
+
+def _fourier(columns: Sequence[str], gamma: float, components: int,
+             seed: int) -> Callable[[DataFrame], DataFrame]:
+    """Random features whose inner products approximate exp(-gamma |a - b|^2)."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, math.sqrt(2 * gamma), (len(columns), components))
+    b = rng.uniform(0.0, 2 * math.pi, components)
+    scale = math.sqrt(2.0 / components)
+
+    # as expressions the terms outgrow one generated method; here a batch is one matrix product
+    @F.pandas_udf("array<double>")
+    def project(*xs: pd.Series) -> pd.Series:
+        return pd.Series(list(scale * np.cos(np.column_stack(xs) @ w + b)))
+
+    return lambda df: df.withColumn("features", array_to_vector(project(*columns)))
+
+
+def _margin(df: DataFrame) -> DataFrame:
+    return df.withColumn("_margin", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+
+
+def _binary(df: DataFrame, y: str) -> DataFrame:
+    return df.withColumn("label", F.col(y).cast("double"))
+
+
+def fit_classifier(family: str, df: DataFrame, columns: Sequence[str], y: str = "y",
+                   balanced: bool = False, seed: int = 1, **params) -> Fitted:
+    """Train one of: logit, rf, gbt, svm (RBF), linear_svm, mlp."""
+    columns = list(columns)
+    components = params.pop("components", 64)
+    gamma = params.pop("gamma", 1.0 / max(len(columns), 1))
+    prepare = _fourier(columns, gamma, components, seed) if family == "svm" else _assembler(columns)
+    data = prepare(_binary(with_weights(df, y) if balanced else df, y))
+    weight = {"weightCol": "weight"} if balanced and family != "mlp" else {}
+    if family == "logit":
+        model = LogisticRegression(**weight, **params)
+    elif family == "rf":
+        model = RandomForestClassifier(seed=seed, **weight, **params)
+    elif family == "gbt":
+        model = GBTClassifier(seed=seed, **weight, **params)
+    elif family in ("svm", "linear_svm"):
+        model = LinearSVC(**weight, **params)
+    elif family == "mlp":
+        hidden = list(params.pop("hidden", (8,)))
+        model = MultilayerPerceptronClassifier(layers=[len(columns), *hidden, 2], seed=seed, **params)
+    else:
+        raise ValueError(f"unknown family {family!r}")
+    fitted = model.fit(data)
+    calibration = None
+    if family in ("svm", "linear_svm"):
+        margins = _margin(fitted.transform(data)).select("label", "_margin")
+        calibration = LogisticRegression(featuresCol="_margin").fit(margins)
+    return Fitted(columns, fitted, prepare, calibration)
+
+
+def area(df: DataFrame, y: str = "y", prob: str = "prob") -> float:
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol="_y")
+    return evaluator.evaluate(df.select(F.col(y).cast("double").alias("_y"), prob))
+
+
+def importance_table(spark: SparkSession, fitted: Fitted, absolute: bool = False) -> DataFrame:
+    """(cols, importance), largest first; coefficients are ordered by size."""
+    rows = sorted(fitted.importances().items(), key=lambda r: (-(abs(r[1]) if absolute else r[1]), r[0]))
+    return spark.createDataFrame(rows, "cols string, importance double")
+
+
+def principal_components(df: DataFrame, vector: str, k: int, out: str = "components") -> DataFrame:
+    """Scores on the first k principal components of a centred vector column."""
+    centred = StandardScaler(inputCol=vector, outputCol="_centred", withMean=True, withStd=False).fit(df)
+    data = centred.transform(df)
+    model = PCA(k=k, inputCol="_centred", outputCol=out).fit(data)
+    return model.transform(data).drop("_centred")
+
+
+# --- validation and search ---------------------------------------------------------------
+
+def cross_validate(family: str, folds: DataFrame, columns: Sequence[str], k: int, y: str = "y",
+                   train_scores: bool = True, **params) -> list[tuple[float | None, float]]:
+    """(train AUC, test AUC) per fold; ``folds`` has ``fold`` and should be a written table."""
+    def one(i: int) -> tuple[float | None, float]:
+        train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        fitted = fit_classifier(family, train, columns, y, **params)
+        return area(fitted.score(train), y) if train_scores else None, area(fitted.score(test), y)
+    return together(one, range(k))
+
+
+def _log_uniform(rng: random.Random, low: float, high: float) -> float:
+    return math.exp(rng.uniform(math.log(low), math.log(high)))
+
+
+def draw_params(family: str, rng: random.Random) -> dict:
+    """One draw from the family's search range."""
+    if family == "logit":
+        return {"regParam": _log_uniform(rng, 1e-6, 100.0), "elasticNetParam": 1.0, "balanced": True}
+    if family == "svm":
+        return {"regParam": 1.0 / _log_uniform(rng, 1e-6, 100.0), "gamma": _log_uniform(rng, 1e-4, 10.0),
+                "balanced": True}
+    if family == "linear_svm":
+        return {"regParam": 1.0 / _log_uniform(rng, 1e-6, 100.0)}
+    if family == "rf":
+        return {"numTrees": rng.choice([50, 100, 300]), "maxDepth": rng.choice([3, 8, 10, 17]),
+                "minInstancesPerNode": rng.choice([1, 10, 50]),
+                "featureSubsetStrategy": rng.choice(["sqrt", "log2", "0.1", "0.9"]),
+                "impurity": rng.choice(["gini", "entropy"]),
+                "subsamplingRate": rng.choice([0.2, 0.5, 0.7, 0.9]), "balanced": True}
+    if family == "gbt":
+        return {"maxDepth": rng.choice([4, 6, 8]), "stepSize": rng.choice([0.1, 0.2, 0.3]),
+                "subsamplingRate": rng.choice([0.5, 1.0])}
+    if family == "mlp":
+        return {"hidden": tuple(2 ** rng.randint(2, 6) for _ in range(rng.randint(1, 3))),
+                "stepSize": rng.choice([.005, .01, .05]), "maxIter": rng.choice([10, 20])}
+    raise ValueError(f"unknown family {family!r}")
+
+
+@dataclass
+class Search:
+    family: str
+    scores: DataFrame
+    best: dict
+    best_score: float
+    rows: list = field(default_factory=list)
+
+
+def search_random(family: str, df: DataFrame, columns: Sequence[str], y: str = "y", draws: int = 10,
+                  k: int = 5, seed: int = 0, fixed: dict | None = None, order: Order = DAY_ORDER) -> Search:
+    """Random search: ``draws`` parameter sets by k-fold AUC.
+
+    ``scores`` has one row per draw with mean, deviation and the penalised estimate.
+    """
+    rng = random.Random(seed)
+    folds = written(contiguous_folds(df.select(*KEY, y, *columns), y, k, order), "folds")
+    rows, tried = [], []
+    for i in range(draws):
+        params = {**draw_params(family, rng), **(fixed or {})}
+        tried.append(params)
+        rows += [(i, a, b) for a, b in cross_validate(family, folds, columns, k, y, **params)]
+    table = df.sparkSession.createDataFrame(rows, "draw int, train_score double, test_score double")
+    named = df.sparkSession.createDataFrame(
+        [(i, str(sorted(p.items()))) for i, p in enumerate(tried)], "draw int, params string")
+    scores = fold_estimate(table, 3.0, 2.0, by=["draw"]).join(named, "draw")
+    top = scores.orderBy(F.desc("mean_test"), "draw").first()
+    return Search(family, scores, tried[top["draw"]], top["mean_test"], rows)
+
+
+def model_compare(train: DataFrame, test: DataFrame, columns: Sequence[str], families: Sequence[str],
+                  y: str = "y", draws: int = 10, k: int = 5, seed: int = 0,
+                  fixed: dict[str, dict] | None = None) -> DataFrame:
+    """One row per family: search, refit with the best parameters, report on both splits."""
+    out = None
+    for family in families:
+        found = search_random(family, train, columns, y, draws, k, seed, (fixed or {}).get(family))
+        best = fit_classifier(family, train, columns, y, **found.best)
+        row = report(written(best.score(train).select(y, "prob"), "scored"),
+                     written(best.score(test).select(y, "prob"), "scored"), y).select(
+            F.lit(family).alias("model_type"), F.lit(found.best_score).alias("score_test_cv"), "*",
+            F.lit(str(sorted(found.best.items()))).alias("best_params"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- stacking and scoring by regime --------------------------------------------------------
+
+@dataclass(frozen=True)
+class Base:
+    """One member of a stack."""
+
+    name: str
+    family: str
+    columns: tuple
+    params: dict
+
+
+@dataclass
+class Stack:
+    bases: list[tuple[str, Fitted]]
+    meta: Fitted
+
+    def score(self, df: DataFrame) -> DataFrame:
+        out = df
+        for name, base in self.bases:
+            out = base.score(out).withColumnRenamed("prob", name)
+        return self.meta.score(out)
+
+
+def fit_stack(train: DataFrame, bases: Sequence[Base], y: str = "y", k: int = 3, meta: str = "logit",
+              meta_params: dict | None = None, order: Order = DAY_ORDER) -> Stack:
+    """Out-of-fold probability of each base as one column, a meta model on top, and the
+    bases refitted on all training rows. All bases of a fold score in one pass."""
+    folds = written(contiguous_folds(train, y, k, order), "folds")
+    parts = None
+    for i in range(k):
+        rest, held = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        scored = held
+        for b in bases:
+            fitted = fit_classifier(b.family, rest, b.columns, y, **b.params)
+            scored = fitted.score(scored).withColumnRenamed("prob", b.name)
+        part = scored.select(y, *[b.name for b in bases])
+        parts = part if parts is None else parts.unionByName(part)
+    oof = written(parts, "oof")
+    params = meta_params or {"regParam": 0.01, "elasticNetParam": 1.0, "balanced": True}
+    top = fit_classifier(meta, oof, [b.name for b in bases], y, **params)
+    return Stack([(b.name, fit_classifier(b.family, folds, b.columns, y, **b.params)) for b in bases], top)
+
+
+def predict_by_regime(trades: DataFrame, columns: Sequence[str], y: str = "y", family: str = "logit",
+                      params: dict | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Scores of all trades, one model per traded regime, and a threshold per regime.
+
+    Regimes without a model keep ``prob`` NULL and get the threshold 0.5.
+    """
+    thresholds = {m: 0.5 for m in C.REGIMES}
+    out = trades.where(~F.col("model").isin(C.TRADED_UP + C.TRADED_DOWN) | F.col("model").isNull()
+                       ).withColumn("prob", F.lit(None).cast("double"))
+    for regime in C.TRADED_UP + C.TRADED_DOWN:
+        rows = trades.where(F.col("model") == regime)
+        if rows.select(y).distinct().count() < 2:
+            out = out.unionByName(rows.withColumn("prob", F.lit(None).cast("double")))
+            continue
+        scored = fit_classifier(family, rows, columns, y, **(params or {})).score(rows)
+        thresholds[regime] = best_threshold(scored, y).first()["th"]
+        out = out.unionByName(scored)
+    return out, thresholds

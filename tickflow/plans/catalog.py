@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickflow.operators.regimes import regime_counts, tag_regimes, without_first_update
-from tickflow.plans import labelling, preparation, storage, study, windows  # noqa: F401
+from tickflow.plans import labelling, modelling, preparation, storage, study, windows  # noqa: F401
 from tickflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 from tickflow.plans.ticks import ticks
 

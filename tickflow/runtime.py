@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup table is broadcast only when it was counted and has at most this many rows.
@@ -65,11 +67,11 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The table computed once and written, and whether it has at most ``max_rows`` rows.
 
-    The rows are counted while they are written.
+    The count reads file footers only. (An observed count would save that job, but a session
+    that has observed anything can no longer be shipped with a trained model's summary.)
     """
-    seen = Observation()
-    stored = written(table.observe(seen, F.count(F.lit(1)).alias("n")), "table")
-    return stored, seen.get["n"] <= max_rows
+    stored = written(table, "table")
+    return stored, stored.count() <= max_rows
 
 
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
@@ -82,3 +84,9 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
     """
     stored, small = sized(table, max_rows)
     return df.join(F.broadcast(stored) if small else stored, on, how)
+
+
+def together(run: Callable, arguments: Sequence, parallelism: int = 4) -> list:
+    """Submit independent Spark jobs from a few driver threads; results in order."""
+    with ThreadPool(max(1, min(parallelism, len(arguments)))) as pool:
+        return pool.map(run, arguments)
