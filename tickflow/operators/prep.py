@@ -18,6 +18,7 @@ from tickflow.functions.scalars import (clip, inverse_power, number, replace_col
                                          right_closed_bin)
 from tickflow.operators.features import difference_features, duplicate, log_volume
 from tickflow.order import DAY_ORDER, Order, before_key, keys_at, lookup
+from tickflow.runtime import written
 
 NOT_FEATURES = [*C.KEY, "model", "y"]
 
@@ -234,6 +235,10 @@ class ScaledView:
         return apply_scale(apply_scale(apply_caps(df, self.caps), self.robust), self.minmax)
 
 
+def _renamed(state: dict, suffix: str) -> dict:
+    return {c + suffix: v for c, v in state.items()}
+
+
 @dataclass(frozen=True)
 class BinnedView:
     """Drop, duplicate, cap and bin; with ``encoding`` the quantile bins become target means.
@@ -249,13 +254,13 @@ class BinnedView:
     encoded: tuple = ()
 
     @staticmethod
-    def _start(df: DataFrame) -> DataFrame:
+    def start(df: DataFrame) -> DataFrame:
         present = set(df.columns)
         return duplicate(df.drop(*C.NOT_BINNED), [c for c in C.DUPLICATED if c in present])
 
     @staticmethod
     def fit(train: DataFrame, mean_encode: bool = False, encode_all: bool = False) -> "BinnedView":
-        start = BinnedView._start(train)
+        start = BinnedView.start(train)
         names = feature_names(start)
         caps = fit_caps(start, {c: C.CAP_DEFAULT for c in names})
         capped = apply_caps(start, caps)
@@ -266,12 +271,39 @@ class BinnedView:
         if not mean_encode:
             return view
         encoded = tuple(edges) + (tuple(arbitrary) if encode_all else ())
-        binned = view.apply(train)
-        return BinnedView(caps, arbitrary, edges, fit_mean_encoding(binned, encoded), encoded)
+        means = written(fit_mean_encoding(view.apply(train), encoded), "means")
+        return BinnedView(caps, arbitrary, edges, means, encoded)
+
+    def without_means(self) -> "BinnedView":
+        return BinnedView(self.caps, self.arbitrary, self.edges)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        capped = apply_caps(self._start(df), self.caps)
-        binned = apply_quantile_bins(apply_arbitrary_bins(capped, self.arbitrary), self.edges)
+        return self.apply_started(self.start(df))
+
+    def apply_started(self, df: DataFrame, suffix: str = "") -> DataFrame:
+        """Steps after drop and duplicate, on the columns with ``suffix``."""
+        capped = apply_caps(df, _renamed(self.caps, suffix))
+        binned = apply_quantile_bins(apply_arbitrary_bins(capped, _renamed(self.arbitrary, suffix)),
+                                     _renamed(self.edges, suffix))
         if self.encoding is None:
             return binned
-        return apply_mean_encoding(binned, self.encoding, self.encoded)
+        table = self.encoding.withColumn("c", F.concat("c", F.lit(suffix)))
+        return apply_mean_encoding(binned, table, [c + suffix for c in self.encoded])
+
+
+def wide_views(df: DataFrame, scaled: ScaledView, encoded: BinnedView, binned: BinnedView) -> DataFrame:
+    """The three feature views side by side, ``_me`` and ``_d`` on clashing names.
+
+    All views come from the same rows, so this is one projection where a join of the views
+    on the key would shuffle every row twice.
+    """
+    names = df.columns
+    members = feature_names(BinnedView.start(df))
+    source = {c: c if c in names else c.removesuffix("_2") for c in members}
+    wide = df.selectExpr(
+        *[f"`{c}`" for c in names],
+        *[f"`{source[c]}` as `{c}{suffix}`" for suffix in ("_me", "_d") for c in members])
+    wide = binned.apply_started(encoded.apply_started(scaled.apply(wide), "_me"), "_d")
+    return wide.selectExpr(*[f"`{c}` as `{c.removesuffix('_me')}`"
+                             if c.endswith("_me") and c.removesuffix("_me") not in names else f"`{c}`"
+                             for c in wide.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickflow import constants as C
 from tickflow.functions.scalars import round_doubles
-from tickflow.operators import joins, prep, regimes
+from tickflow.operators import prep, regimes
 from tickflow.operators.features import UPDATE, basic_features
 from tickflow.operators.prep import BinnedView, Preparation, ScaledView
 from tickflow.order import before_key
@@ -17,6 +17,8 @@ from tickflow.plans.windows import (DIF_ALL, FEATURE_SQL, FIRST_UPDATE, STRIPPED
                                     tagged)
 from tickflow.runtime import written
 
+_frames: dict = {}
+
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -231,15 +233,17 @@ KEY_SQL = "date_trd, update, time, trd_id"
 
 
 def feature_frame(spark, sf):
-    """Feature matrix with all engineered features and the target, written once.
+    """Feature matrix with all engineered features and the target, built once per folder.
 
     Rounded to 9 digits, so that values that are equal on paper stay equal and fall into
     the same bin whatever the order in which a mean was summed.
     """
-    trades = tagged(spark, sf, features=True)
-    matrix = regimes.feature_matrix(basic_features(trades))
-    y = ticks(spark, sf).select(*C.KEY, F.col("hit").alias("y"))
-    return written(round_doubles(joins.left_join_rows(matrix, y), 9), "matrix")
+    slot = (spark.sparkContext.applicationId, sf)
+    if slot not in _frames:
+        trades = tagged(spark, sf, features=True).withColumnRenamed("hit", "f_y")
+        matrix = regimes.feature_matrix(basic_features(trades))
+        _frames[slot] = written(round_doubles(matrix, 9), "matrix")
+    return _frames[slot]
 
 
 def prepared(spark, sf):
@@ -329,14 +333,6 @@ _VIEW_COLS = ([(f"s.{c}", c) for c in PREPARED]
               + [(f"d.{c}", c + "_d") for c in BINNED])
 
 
-def wide_view(train, frame):
-    """Scaled, mean-encoded and binned features side by side, joined on the key."""
-    scaled = ScaledView.fit(train).apply(frame)
-    encoded = BinnedView.fit(train, mean_encode=True).apply(frame).drop("model", "y")
-    binned = BinnedView.fit(train).apply(frame).drop("model", "y")
-    return joins.outer_join_views([("", scaled), ("_me", encoded), ("_d", binned)])
-
-
 _INT_VIEW = {o for e, o in _VIEW_COLS
              if (e.startswith("d.") and e[2:] not in _CONTINUOUS)
              or (e.startswith("e.") and e[2:] in C.ARBITRARY_BINS)}
@@ -349,4 +345,7 @@ _INT_VIEW = {o for e, o in _VIEW_COLS
       "full join discrete d on s.date_trd = d.date_trd and s.trd_id = d.trd_id",
     *PREPARED_SQL, *_SCALED_SQL, *_BINNED_SQL, *_ENCODED_SQL, tagged=True))
 def ft_view_join(spark, sf):
-    return round_doubles(wide_view(*prepared(spark, sf)))
+    train, frame = prepared(spark, sf)
+    encoded = BinnedView.fit(train, mean_encode=True)
+    return round_doubles(prep.wide_views(
+        frame, ScaledView.fit(train), encoded, encoded.without_means()))
