@@ -118,8 +118,14 @@ def _binary(df: DataFrame, y: str) -> DataFrame:
 
 def fit_classifier(family: str, df: DataFrame, columns: Sequence[str], y: str = "y",
                    balanced: bool = False, seed: int = 1, **params) -> Fitted:
-    """Train one of: logit, rf, gbt, svm (RBF), linear_svm, mlp."""
+    """Train one of: logit, rf, gbt, svm (RBF), linear_svm, mlp.
+
+    ``C`` weighs the summed loss against the penalty; Spark averages the loss, so it becomes
+    a regularisation of 1 / (C * rows).
+    """
     columns = list(columns)
+    if "C" in params:
+        params["regParam"] = 1.0 / (params.pop("C") * df.count())
     components = params.pop("components", 64)
     gamma = params.pop("gamma", 1.0 / max(len(columns), 1))
     prepare = _fourier(columns, gamma, components, seed) if family == "svm" else _assembler(columns)
@@ -184,12 +190,12 @@ def _log_uniform(rng: random.Random, low: float, high: float) -> float:
 def draw_params(family: str, rng: random.Random) -> dict:
     """One draw from the family's search range."""
     if family == "logit":
-        return {"regParam": _log_uniform(rng, 1e-6, 100.0), "elasticNetParam": 1.0, "balanced": True}
+        return {"C": _log_uniform(rng, 1e-6, 100.0), "elasticNetParam": 1.0, "balanced": True}
     if family == "svm":
-        return {"regParam": 1.0 / _log_uniform(rng, 1e-6, 100.0), "gamma": _log_uniform(rng, 1e-4, 10.0),
+        return {"C": _log_uniform(rng, 1e-6, 100.0), "gamma": _log_uniform(rng, 1e-4, 10.0),
                 "balanced": True}
     if family == "linear_svm":
-        return {"regParam": 1.0 / _log_uniform(rng, 1e-6, 100.0)}
+        return {"C": _log_uniform(rng, 1e-6, 100.0)}
     if family == "rf":
         return {"numTrees": rng.choice([50, 100, 300]), "maxDepth": rng.choice([3, 8, 10, 17]),
                 "minInstancesPerNode": rng.choice([1, 10, 50]),

@@ -101,17 +101,26 @@ def corr_clean_greedy(spark, sf):
     return spark.createDataFrame([(c,) for c in dropped], "cols string")
 
 
+def _groups_sql():
+    """Columns in order; each opens a group of the unseen ones it is correlated with."""
+    steps = "(select []::varchar[] as s0) b0"
+    for i, c in enumerate(TICK_CORR):
+        steps += (f" cross join lateral (select case when list_contains(s{i}, '{c}') then [] else list_prepend("
+                  f"'{c}', coalesce((select list(b) from rho where a = '{c}' and b <> '{c}' and abs(rho) > 0.8 "
+                  f"and not list_contains(s{i}, b)), [])) end as g{i}) l{i}"
+                  f" cross join lateral (select case when len(g{i}) > 1 then list_concat(s{i}, g{i}) else s{i} end "
+                  f"as s{i + 1}) n{i}")
+    return ("grouped as (select unnest([" + ", ".join(f"g{i}" for i in range(len(TICK_CORR)))
+            + f"]) as g from {steps})")
+
+
 @query("smart_corr", sql(
-    "select b.best as kept, m.c as dropped from members m join "
-    "(select g, arg_max(c, s) as best from members group by g) b using (g) where m.c <> b.best",
-    rho_sql(TICK_CORR, "raw"),
-    "names as (select * from (values " + ", ".join(f"('{c}', {i})" for i, c in enumerate(TICK_CORR))
-    + ") as t(c, i))",
-    "spreads as (" + " union all ".join(f"select '{c}' as c, stddev_samp({c}) as s from raw" for c in TICK_CORR)
-    + ")",
-    # correlation above the limit is transitive for these columns: a group is named by its first member
-    "members as (select r.a as c, any_value(s.s) as s, min(n.i) as g from rho r join names n on r.b = n.c "
-    "join spreads s on s.c = r.a where r.a = r.b or abs(r.rho) > 0.8 group by r.a)"))
+    "select best as kept, c as dropped from (select g, first(c order by round(s, 9) desc, i) as best from members group by g) "
+    "join members using (g) where c <> best",
+    rho_sql(TICK_CORR, "raw"), _groups_sql(),
+    "spreads as (" + " union all ".join(f"select '{c}' as c, {i} as i, stddev_samp({c}) as s from raw"
+                                    for i, c in enumerate(TICK_CORR)) + ")",
+    "members as (select g, c, s, i from (select g, unnest(g) as c from grouped where len(g) > 1) join spreads using (c))"))
 def smart_corr(spark, sf):
     df = ticks(spark, sf, True)
     matrix = selection.corr_spearman(df, TICK_CORR, ["date_trd", "trd_id"])
@@ -263,7 +272,7 @@ def _model(name, family, **params):
 
 _model("mdl_rf", "rf", **_SMALL_RF)
 _model("mdl_gbt", "gbt", maxIter=10, maxDepth=5, stepSize=0.1, subsamplingRate=0.7)
-_model("mdl_svm", "svm", balanced=True, regParam=1 / 24.8497, gamma=0.0030157, maxIter=30)
+_model("mdl_svm", "svm", balanced=True, C=24.8497, gamma=0.0030157, maxIter=30)
 _model("mdl_linear_svm", "linear_svm", regParam=0.01, maxIter=30)
 _model("mdl_logit", "logit", balanced=True, regParam=0.01, elasticNetParam=1.0)
 _model("mdl_mlp", "mlp", hidden=(8, 4), maxIter=20)

@@ -8,15 +8,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickflow import constants as C
 from tickflow.operators.labels import LabelSpec, export_label
 from tickflow.operators.regimes import feature_matrix, label_source
 from tickflow.runtime import attach, written
 
 
-def sql_safe(df: DataFrame) -> DataFrame:
-    """Column names without dots: ``imp_c_0.8`` becomes ``imp_c_0p8``."""
-    return df.toDF(*[c.replace(".", "p") for c in df.columns])
+def safe_name(column: str) -> str:
+    """Column name without dots: ``imp_c_0.8`` becomes ``imp_c_0p8``."""
+    return column.replace(".", "p")
 
 
 def scan_csv(spark: SparkSession, folder: str, contains: str = "",
@@ -31,7 +30,8 @@ def scan_csv(spark: SparkSession, folder: str, contains: str = "",
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """``trd_id``: 0-based row number inside each file of a scan, in file order.
+    """``trd_id``: 0-based row number inside each file of a scan, in file order. Dots in
+    column names are replaced.
 
     A file may be large: it is read in splits by many tasks. The scan is written once with
     a running id per task; the id minus the first id of the split, plus the rows in the
@@ -39,21 +39,22 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     """
     tagged = df.select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_id"), *df.columns)
+        F.monotonically_increasing_id().alias("_id"),
+        *[F.col(f"`{c}`").alias(safe_name(c)) for c in df.columns])
     fixed = written(tagged, "rows")
     splits = fixed.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select("_file", "_at", (F.coalesce(F.sum("_n").over(before), F.lit(0))
                                              - F.col("_first")).alias("_shift"))
     return attach(fixed, offsets, ["_file", "_at"]).select(
-        *df.columns, (F.col("_id") + F.col("_shift")).alias("trd_id"))
+        *[safe_name(c) for c in df.columns], (F.col("_id") + F.col("_shift")).alias("trd_id"))
 
 
 def read_trades(spark: SparkSession, folder: str, contains: str,
                 schema: StructType | str | None = None) -> DataFrame:
     """Trade table of all matching files, with row ids and NULL for NaN."""
     scan = scan_csv(spark, folder, contains, schema)
-    return nan_to_null(sql_safe(with_row_ids(scan)))
+    return nan_to_null(with_row_ids(scan))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -120,5 +121,3 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
     df.write.mode(mode).option("header", header).csv(path)
     return path
 
-
-KEY_COLUMNS = C.KEY
