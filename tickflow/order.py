@@ -103,19 +103,26 @@ def forward_fill(df: DataFrame, col: str, out: str, order: Order = DAY_ORDER) ->
 
 
 def backward_fill(df: DataFrame, cols: Sequence[str], order: Order) -> DataFrame:
-    """First non-null value from each row on, inside the day."""
+    """First non-null value from each row on, inside the day.
+
+    Read backwards, so that the frames grow from the start of the window: a frame that ends
+    at the last row would be evaluated anew for every row.
+    """
     tagged = order.tag(df)
     first = tagged.groupBy(*order.keys).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order.pos))).alias(c) for c in cols])
-    after = order.blocks(within_part=True).rowsBetween(1, W.unboundedFollowing)
+    later_blocks = (W.partitionBy(order.part).orderBy(F.desc("_blk"))
+                    .rowsBetween(W.unboundedPreceding, -1))
     carry = first.select(
-        *order.keys, *[F.first(c, ignorenulls=True).over(after).alias(f"_carry_{c}") for c in cols])
+        *order.keys,
+        *[F.last(c, ignorenulls=True).over(later_blocks).alias(f"_carry_{c}") for c in cols])
     joined = attach(tagged, carry, order.keys, max_rows=order.broadcast_rows)
-    ahead = order.rows().rowsBetween(0, W.unboundedFollowing)
+    later_rows = (W.partitionBy(*order.keys).orderBy(F.desc(order.pos))
+                  .rowsBetween(W.unboundedPreceding, 0))
     kept = [c for c in df.columns if c not in cols]
     return joined.select(
         *kept,
-        *[F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_carry_{c}")).alias(c)
+        *[F.coalesce(F.last(c, ignorenulls=True).over(later_rows), F.col(f"_carry_{c}")).alias(c)
           for c in cols])
 
 
