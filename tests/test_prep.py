@@ -23,7 +23,7 @@ def test_quantile_refinement_equals_numpy(spark):
     df = spark.createDataFrame(rows, "hot double, tiny double, flat double, holes double").repartition(6)
     columns = {"hot": hot, "tiny": tiny, "flat": flat,
                "holes": np.array([r[3] for r in rows if r[3] is not None])}
-    refined = quantiles(df, {c: PROBS for c in columns}, direct_rows=0, buckets=4)
+    refined = quantiles(df, {c: PROBS for c in columns}, direct_cells=0, buckets=4)
     direct = quantiles(df, {c: PROBS for c in columns})
     for c, values in columns.items():
         want = np.quantile(values, PROBS)
@@ -33,8 +33,8 @@ def test_quantile_refinement_equals_numpy(spark):
 
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
-    for rows in (0, 100):
-        assert quantiles(df, {"a": [0.5], "b": [0.5]}, direct_rows=rows) == {"a": [1.5], "b": [None]}
+    for cells in (0, 100):
+        assert quantiles(df, {"a": [0.5], "b": [0.5]}, direct_cells=cells) == {"a": [1.5], "b": [None]}
 
 
 def test_scalar_rules(frame):

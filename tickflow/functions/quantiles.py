@@ -1,7 +1,7 @@
 """Exact quantiles of many columns at any size.
 
 The built-in exact percentile keeps every distinct value of a column in one task. It is
-used only when the column was counted and is short; beyond that the wanted order
+used only when the rows were counted and are few; beyond that the wanted order
 statistics are narrowed down by repeated histograms. Each pass scans the columns once,
 aggregates map-side into a fixed number of buckets per open interval, and shrinks every
 interval by that factor; repeated values are only counted.
@@ -15,7 +15,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1 << 20
+# rows x columns up to which every distinct value may be held by the built-in aggregate
+DIRECT_CELLS = 1 << 24
 BUCKETS = 256
 
 
@@ -39,13 +40,13 @@ def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {r["c"]: r.asDict() for r in rows}
 
 
-def quantiles(df: DataFrame, probs: dict[str, list[float]], direct_rows: int = DIRECT_ROWS,
+def quantiles(df: DataFrame, probs: dict[str, list[float]], direct_cells: int = DIRECT_CELLS,
               buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles, NULLs ignored; None for a column without values."""
     columns = [c for c in probs if probs[c]]
     if not columns:
         return {c: [] for c in probs}
-    if df.count() <= direct_rows:
+    if df.count() * len(columns) <= direct_cells:
         every = sorted({float(p) for c in columns for p in probs[c]})
         rows = (unpivot(df, columns).groupBy("c")
                 .agg(F.percentile("x", F.array(*[F.lit(p) for p in every])).alias("q")).collect())

@@ -9,10 +9,12 @@ per query. Distances without such a bound visit every block.
 
 from __future__ import annotations
 
+import sys
 from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from tickflow.runtime import written
 
 BLOCK_ROWS = 8192
 
+# the grouped functions travel with the job, so the workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "braycurtis":
@@ -63,7 +68,7 @@ def _meet(queries: DataFrame, train: DataFrame, k: int, metric: str, batch: int)
          .selectExpr("_rp as tr", "explode(sequence(0, _s - 1)) as ts", "t", "_v", "y"))
     id_type = dict(train.dtypes)["t"]
     return (q.groupBy("qr", "qs").cogroup(t.groupBy("tr", "ts"))
-            .applyInPandas(lambda a, b: _nearest(k, metric)(a, b),
+            .applyInPandas(_nearest(k, metric),
                            f"q {dict(queries.dtypes)['q']}, t {id_type}, d double, y double"))
 
 
