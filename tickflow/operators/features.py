@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tickflow import constants as C
 from tickflow.functions.scalars import inverse_power, ratio_or_zero, replace_columns, signed_log
-from tickflow.order import DAY_ORDER, Order, drop_halo, global_index, lookup, with_halo
+from tickflow.order import (DAY_ORDER, Order, drop_halo, global_index, lookup, require_gap_free,
+                            with_halo)
 
 LOOK_BACK = 80
 
@@ -141,6 +142,7 @@ def basic_features(df: DataFrame, families: Sequence[str] = ("price", "volume",
     row_wise = [f for f in families if f != "update"]
     out = df
     if row_wise:
+        require_gap_free(df, order)
         present = set(df.columns)
         pairs = {o: F.col(a) - F.col(b) for o, (a, b) in PAIR_DIFFERENCES.items()
                  if a in present and b in present}

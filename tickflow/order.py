@@ -58,6 +58,17 @@ class Order:
 DAY_ORDER = Order()
 
 
+def require_gap_free(df: DataFrame, order: Order = DAY_ORDER) -> None:
+    """Fail when a day's positions have gaps or repeat; look-backs count positions."""
+    span = F.max(order.pos) - F.min(order.pos) + 1
+    broken = (df.groupBy(*order.keys[:1]).agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
+              .where("n <> span").head())
+    if broken is not None:
+        raise ValueError(
+            f"{order.pos} of {order.part} {broken[order.part]} has gaps or repeats "
+            f"({broken['n']} rows over {broken['span']} positions); renumber with dense_position")
+
+
 def with_halo(df: DataFrame, n: int, order: Order = DAY_ORDER) -> DataFrame:
     """Copy the last ``n`` rows of each block into the following block.
 
