@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, pii, toxicity
+from tickflow.llm import decontamination, packing, pii, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,22 @@ def op1(spark, sf_dir):
     return pii.contract(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op6_token_output")
+def op6(spark, sf_dir):
+    return token_output.packed_ids(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
