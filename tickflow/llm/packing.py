@@ -22,7 +22,7 @@ from tickflow.runtime import written
 
 CAPACITY = 1024
 END = 2
-GROUPS = 96               # groups of equal cardinality that large lengths are rounded up in
+GROUPS = 1000             # groups of equal cardinality that large lengths are rounded up in
 SMALL = 1 / 16            # lengths up to this share of the capacity are packed last, best fit
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -63,50 +63,56 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(cut, PIECES)
 
 
-def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 4000) -> list[tuple[list[int], int]]:
-    """Ways to fill a sequence and how often to use each, so that every size is covered.
+def configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """Ways to fill a sequence and how often to use each; `sizes` descending, none used more than needed.
 
-    The linear programme over all configurations is solved by column generation: the best new
-    configuration for the present prices is a knapsack. Fractions are dropped; what they leave is best-fitted.
+    Each way holds the largest size that is left and fills the room beside it as full as the other sizes
+    can (a knapsack over at most `capacity` rooms), with larger ones before smaller ones among equal
+    fillings. It is used until one of its sizes runs short, so there are about as many ways as sizes;
+    pieces that no whole way takes are left over.
     """
-    m = len(sizes)
-    size, want = np.array(sizes), np.array(need, float)
-    columns = np.diag(capacity // size).astype(float)
-    inverse = np.diag(1 / np.diag(columns))
-    level = inverse @ want
-    for _ in range(rounds):
-        price = inverse.sum(axis=0)                  # every configuration costs one sequence
-        best = np.zeros(capacity + 1)
-        choice = np.full(capacity + 1, -1)
-        for w in range(int(size.min()), capacity + 1):
-            fits = np.flatnonzero(size <= w)
-            gain = best[w - size[fits]] + price[fits]
-            k = int(np.argmax(gain))
-            if gain[k] > best[w - 1] + 1e-12:
-                best[w], choice[w] = gain[k], fits[k]
-            else:
-                best[w] = best[w - 1]
-        if best[capacity] <= 1 + 1e-7:
+    size, left = np.array(sizes), np.array(need)
+    found = []
+    while True:
+        alive = np.flatnonzero(left > 0)
+        if not len(alive):
+            return found
+        first = alive[0]
+        ways = np.zeros(len(size), int)
+        ways[first] = 1
+        for k in _fill(size, left - ways, capacity - size[first]):
+            ways[k] += 1
+        times = int((left[ways > 0] // ways[ways > 0]).min())
+        found.append((ways.tolist(), times))
+        left = left - times * ways
+
+
+def _fill(size: np.ndarray, left: np.ndarray, room: int) -> list[int]:
+    """Indices of sizes, repeated as often as taken, whose sum comes closest to the room."""
+    usable = np.flatnonzero((left > 0) & (size <= room))
+    took = np.full(room + 1, -1)                     # the size that first reached this sum; larger ones come first
+    reached = np.zeros(room + 1, bool)
+    reached[0] = True
+    for k in usable:
+        step = int(size[k])
+        times = min(int(left[k]), room // step)
+        new = reached.copy()
+        for _ in range(times):
+            more = np.zeros(room + 1, bool)
+            more[step:] = new[:-step]
+            more &= ~new
+            if not more.any():
+                break
+            took[more] = k
+            new |= more
+        reached = new
+        if reached[room]:
             break
-        column, w = np.zeros(m), capacity
-        while w > 0:
-            if choice[w] < 0:
-                w -= 1
-                continue
-            column[choice[w]] += 1
-            w -= int(size[choice[w]])
-        step = inverse @ column
-        ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
-            break
-        level -= ratio[out] * step
-        level[out] = ratio[out]
-        inverse[out] /= step[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
-        columns[:, out] = column
-    return [(columns[:, k].astype(int).tolist(), int(level[k] + 1e-6)) for k in range(m) if level[k] >= 1 - 1e-6]
+    at, taken = int(np.flatnonzero(reached)[-1]), []
+    while at:
+        taken.append(int(took[at]))
+        at -= int(size[took[at]])
+    return taken
 
 
 class Plan:
@@ -129,8 +135,10 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> Plan:
-    """Linear grouping of the large lengths, configurations, substitution, then best fit of what is left:
-    the small lengths and the few large pieces that whole multiples of the configurations don't take."""
+    """Linear grouping of the large lengths, configurations, substitution, then best fit of what is left.
+
+    Left are the small lengths and the pieces that whole multiples of the configurations don't take.
+    """
     out = Plan(capacity)
     full = histogram.get(capacity, 0)
     if full:
@@ -142,7 +150,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         sizes = sorted(queues, reverse=True)
         need = [sum(b - a for _, a, b in queues[s]) for s in sizes]
         for counts, times in configurations(sizes, need, capacity):
-            _substitute(out, queues, [s for s, c in zip(sizes, counts) for _ in range(c)], times)
+            slots = [s for s, c in zip(sizes, counts) for _ in range(c)]
+            _substitute(out, queues, slots, times)
     rest = [run for queue in queues.values() for run in queue]
     rest += [(n, 0, histogram[n]) for n in histogram if n <= limit and histogram[n]]
     for length, first, last in sorted(rest, reverse=True):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, packing, pii, token_output, toxicity
+from tickflow.llm import decontamination, neighbours, packing, pii, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op8(spark, sf_dir):
     return toxicity.contract(toxicity.toxicity(docs, model))
 
 
+@query("op9_neighbours")
+def op9(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op10_decontamination")
 def op10(spark, sf_dir):
     return decontamination.contract(decontamination.contamination(
