@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, neighbours, packing, pii, token_output, toxicity
+from tickflow.llm import decontamination, near_dedup, neighbours, packing, pii, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op4(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op5_near_dedup")
+def op5(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_output")
 def op6(spark, sf_dir):
     return token_output.packed_ids(table(spark, sf_dir, "documents"), tokenizer_path())
