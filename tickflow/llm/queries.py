@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, near_dedup, neighbours, packing, pii, token_output, toxicity
+from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,12 @@ def op6(spark, sf_dir):
     return token_output.packed_ids(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op7_line_dedup")
+def op7(spark, sf_dir):
+    return line_dedup.contract(line_dedup.dedup_lines(
+        table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
