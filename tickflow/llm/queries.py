@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, token_output, toxicity
+from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def op1(spark, sf_dir):
     return pii.contract(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op2_substring_dedup")
+def op2(spark, sf_dir):
+    return substring_dedup.contract(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
