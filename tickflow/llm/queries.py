@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup, token_output, toxicity
+from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op2(spark, sf_dir):
     return substring_dedup.contract(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
 
 
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffix_dedup.contract(suffix_dedup.repeated_strings(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
