@@ -186,6 +186,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return found.drop("text")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
+          part_bytes: int = PART_BYTES) -> DataFrame:
+    """All columns of the documents that hold no benchmark window; one pass per part of the benchmark.
+
+    Rows are judged one by one, also without a doc_id or repeated; NULL and empty texts are clean.
+    """
+    def keeper(part: Broadcast):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                words = text_words(batch.column("text"))
+                document = words.document()
+                start, _, _ = part.value.hits(words.hashes(), words.counts, document)
+                good = np.ones(batch.num_rows, bool)
+                good[document[start]] = False
+                yield batch.filter(pa.array(good))
+        return keep
+
+    context, first = docs.sparkSession.sparkContext, True
+    for part in _parts(benchmark, part_bytes):
+        if not first:
+            docs = written(docs, "decontamination")
+        bench = context.broadcast(Benchmark([r[0] for r in part], [r[1] for r in part], window, gram))
+        docs, first = docs.mapInArrow(keeper(bench), docs.schema), False
+    return docs
+
+
 def contract(found: DataFrame) -> DataFrame:
     """The digest columns of `op10_decontamination`."""
     hit = F.aggregate(F.col("spans"), F.lit(0), lambda total, bound: bound - total)   # end - start + ...

@@ -275,6 +275,23 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= threshold(model)).alias("rejected"))
 
 
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of the documents whose score stays below the threshold of their language, in one pass.
+
+    Rows are judged one by one, also without a doc_id or repeated; a NULL or empty text is judged as a text
+    without words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=1_000_000):
+            own = shared.value
+            limit = np.array([own.thresholds.get(x, own.default) for x in batch.column("lang").to_pylist()])
+            yield batch.filter(pa.array(own.score(batch.column("text")) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def threshold(model: Model) -> F.Column:
     limit = F.lit(model.default)
     for lang, value in sorted(model.thresholds.items()):
