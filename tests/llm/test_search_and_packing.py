@@ -60,7 +60,7 @@ def test_plan_places_every_piece_once(capacity, groups, lengths):
         assert [a for a, _ in own] == ends[:-1] and ends[-1] <= capacity
     assert len(cells) == planned.sequences
     if capacity == 1024 and groups == 1000:
-        assert planned.sequences <= 1.01 * -(-sum(lengths) // capacity)
+        assert planned.sequences <= 1.015 * -(-sum(lengths) // capacity)
         assert planned.sequences <= len(token_output.best_fit(np.array(lengths), capacity)) + 8
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 8            # of the projection; even
 SURE = 0.98
 LEAF = 64
-BLOCK_VALUES = 4_000_000  # vector components in one block of rows (and 1/16 of it in one of queries)
+BLOCK_VALUES = 1_000_000  # vector components in one block of rows (and 1/16 of it in one of queries)
 RESULT = "query_id long, vec_id long, score double"
 
 
