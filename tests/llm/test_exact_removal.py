@@ -44,7 +44,7 @@ def test_words(documents, corpus):
 
 def test_several_automata_and_pieces(documents, corpus, monkeypatch):
     from tickflow.llm import exchange
-    monkeypatch.setattr(substring_dedup, "AUTOMATON_PHRASES", 7)
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_BLOCKS", 7)
     whole = sorted(substring_dedup.repeated_passages(documents(corpus)).drop("kept").collect(), key=str)
     parts = exchange.parts
     monkeypatch.setattr(exchange, "parts", lambda docs: parts(docs, piece_bytes=500))

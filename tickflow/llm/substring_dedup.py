@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -17,7 +18,8 @@ from tickflow.llm.words import NOT_SPACE, Words, covered, run_bounds, run_hash,
 from tickflow.runtime import written
 
 WINDOW = 13
-AUTOMATON_PHRASES = 100_000       # phrases compiled into one automaton
+AUTOMATON_BLOCKS = 100_000        # blocks compiled into one automaton
+LETTERS = 128
 RESULT = "doc_id long, n_words long, n_removed long, removed array<int>, kept string"
 
 
@@ -37,47 +39,122 @@ class PieceWords:
         self.doc_id = ids[self.doc]
 
 
-def phrases(found: PieceWords, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word places of one occurrence of each recurring phrase of the piece, and from which document on an
-    occurrence counts: every one where an earlier document elsewhere has it, else those after the first here."""
+@dataclass
+class Phrases:
+    """Recurring windows of a piece: whether one starts at a word, and from which document on it counts (every
+    one where an earlier document elsewhere has the window, else those after its first here); and the runs of
+    places that hold the first occurrence of each."""
+
+    wanted: np.ndarray
+    least: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def phrases(found: PieceWords, elsewhere: np.ndarray) -> Phrases:
     own, span = exchange.shared_inside(found.grams, found.doc_id)
     outside = exchange.member(own, elsewhere)
-    wanted = outside | (span[:, 1] > span[:, 0])
-    order = np.argsort(found.grams, kind="stable")
-    place = found.at[order[np.searchsorted(found.grams[order], own[wanted])]]
-    return place, np.where(outside[wanted], np.iinfo(np.int64).min, span[wanted, 0])
+    chosen = outside | (span[:, 1] > span[:, 0])
+    which = np.searchsorted(own, found.grams)
+    n = len(found.words.starts)
+    wanted, least = np.zeros(n, bool), np.zeros(n, np.int64)
+    wanted[found.at] = chosen[which]
+    least[found.at] = np.where(outside, np.iinfo(np.int64).min, span[:, 0])[which] if len(own) else 0
+    _, first = np.unique(found.grams, return_index=True)
+    heads = np.zeros(n, bool)
+    heads[found.at[first[chosen]]] = True
+    return Phrases(wanted, least, *run_bounds(heads, found.words.bounds))
+
+
+class Stream:
+    """The words of a piece as one string: a fixed number of letters for each, a break between documents.
+
+    Letters of each place in a word come from a range of their own, so a match cannot begin inside a word, and
+    a node of an automaton has few children.
+    """
+
+    def __init__(self, numbers: np.ndarray, document: np.ndarray, documents: int):
+        self.width = 1
+        while LETTERS ** self.width <= (numbers.max() if len(numbers) else 0):
+            self.width += 1
+        self.offset = np.arange(len(numbers)) * self.width + document
+        letters = np.full(len(numbers) * self.width + documents, ord("\n"), "<u4")
+        rest = numbers.copy()
+        for k in range(self.width):
+            letters[self.offset + k] = 256 + k * LETTERS + rest % LETTERS
+            rest //= LETTERS
+        self.text = letters.tobytes().decode("utf-32-le")
+
+    def run(self, place: int, words: int) -> str:
+        at = self.offset[place]
+        return self.text[at:at + words * self.width]
 
 
 def locate(found: PieceWords, elsewhere: np.ndarray) -> np.ndarray:
-    """Word places at which a phrase begins that an earlier document has.
+    """Word places at which a window begins that an earlier document has.
 
-    Words are numbered within the piece; automata of a bounded number of phrases are compiled over these
-    numbers and every document of the piece is streamed through them, with a break between documents.
+    Runs of recurring windows are cut into blocks so short that each window holds a whole one. Automata of a
+    bounded number of blocks are compiled and every document of the piece is streamed through them; each hit
+    is extended word by word to the windows around it.
     """
-    place, least = phrases(found, elsewhere)
-    if not len(place):
+    wanted = phrases(found, elsewhere)
+    if not len(wanted.first):
         return np.empty(0, np.int64)
-    words = exact_numbers(found.words)
-    document = found.words.document()
-    stream = np.zeros(len(words) + len(found.words.counts), np.int64)
-    at = np.arange(len(words)) + document
-    stream[at] = words + 1                           # 0 stands between two documents
-    back = np.zeros(len(stream), np.int64)
-    back[at] = np.arange(len(words))
-    streamed = tuple(stream.tolist())
-    starts = [np.empty(0, np.int64)]
+    window = found.window
+    block = window // 2 + 1
+    numbers, document = exact_numbers(found.words), found.words.document()
+    stream = Stream(numbers, document, len(found.words.counts))
+    sources: dict[str, list[int]] = {}
+    step = window - block + 1                        # a window begins at most so many words before its block
+    for a, b in zip(wanted.first.tolist(), (wanted.last - 1).tolist()):
+        for place in [*range(a, b, step), b]:
+            sources.setdefault(stream.run(place, block), []).append(place)
     doc_id = np.full(len(found.words.counts), np.iinfo(np.int64).min)
     doc_id[found.doc] = found.doc_id
-    for a in range(0, len(place), AUTOMATON_PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k in range(a, min(a + AUTOMATON_PHRASES, len(place))):
-            first = at[place[k]]
-            automaton.add_word(streamed[first:first + found.window], k + 1)
+    starts = [np.empty(0, np.int64)]
+    keys = list(sources)
+    for a in range(0, len(keys), AUTOMATON_BLOCKS):
+        part = keys[a:a + AUTOMATON_BLOCKS]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, key in enumerate(part):
+            automaton.add_word(key, k)
         automaton.make_automaton()
-        hits = np.array(list(automaton.iter(streamed)), np.int64).reshape(-1, 2)
-        start = back[hits[:, 0] - found.window + 1]
-        starts.append(start[doc_id[document[start]] > least[hits[:, 1] - 1]])
-    return np.concatenate(starts)
+        hits = np.array(list(automaton.iter(stream.text)), np.int64).reshape(-1, 2)
+        here = np.searchsorted(stream.offset, hits[:, 0] - block * stream.width + 1)
+        count = np.array([len(sources[key]) for key in part])
+        there = np.concatenate([np.array(sources[key]) for key in part])
+        begin = (np.cumsum(count) - count)[hits[:, 1]]
+        n = count[hits[:, 1]]
+        for lo, hi in _bounded(n):
+            i = np.repeat(here[lo:hi], n[lo:hi])
+            ends = np.cumsum(n[lo:hi])
+            j = there[np.repeat(begin[lo:hi] - (ends - n[lo:hi]), n[lo:hi]) + np.arange(len(i))]
+            starts.append(_extended(numbers, document, i, j, window, block, wanted, doc_id))
+    return np.unique(np.concatenate(starts))
+
+
+def _bounded(n: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of hits with a bounded number of pairs in each (or a single hit)."""
+    total, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def _extended(numbers, document, i, j, window, block, wanted: Phrases, doc_id) -> np.ndarray:
+    """Starts of the windows around the blocks at i that equal wanted windows around the blocks at j."""
+    reach = np.arange(block - window, window)
+    p, q = i[:, None] + reach, j[:, None] + reach
+    ok = (p >= 0) & (p < len(numbers)) & (q >= 0) & (q < len(numbers))
+    p, q = np.clip(p, 0, len(numbers) - 1), np.clip(q, 0, len(numbers) - 1)
+    ok &= (numbers[p] == numbers[q]) & (document[p] == document[i][:, None]) & (document[q] == document[j][:, None])
+    out = []
+    for k in range(window - block + 1):
+        same = np.flatnonzero(ok[:, k:k + window].all(axis=1))
+        at, like = i[same] + reach[k], j[same] + reach[k]
+        out.append(at[wanted.wanted[like] & (doc_id[document[at]] > wanted.least[like])])
+    return np.concatenate(out)
 
 
 def exact_numbers(words: Words) -> np.ndarray:
