@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,12 +139,36 @@ def test_stack_search_and_regimes(spark):
     found = models.search_random("logit", train, X, draws=5, k=2, fixed={"maxIter": 10})
     assert found.scores.count() == 5 and found.best_score > 0.5
     tagged = df.withColumn("model", F.when(F.col("trd_id") % 3 == 0, "mi_up").when(F.col("trd_id") % 3 == 1, "md_up"))
-    out, thresholds = models.predict_by_regime(tagged, X)
-    assert out.count() == 600 and thresholds["md_up"] == 0.5
+    out, thresholds = models.predict_by_regime(tagged.where("trd_id < 400"), tagged.where("trd_id >= 400"), X)
+    assert out.count() == 200 and thresholds["md_up"] == 0.5 and thresholds["mi_up"] != 0.5
     assert out.where("model = 'mi_up' and prob is null").count() == 0
     assert out.where("model is null and prob is not null").count() == 0
 
 
+def test_area_is_exact(spark):
+    rng = np.random.default_rng(4)
+    p = rng.normal(0, 1, 10_000)
+    y = (p + rng.normal(0, 3, 10_000) > 0).astype(int)
+    order = p.argsort().argsort() + 1
+    want = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y long, prob double")
+    assert models.area(df) == pytest.approx(want, abs=1e-12)
+    assert math.isnan(models.area(df.where("y = 1")))
+
+
+@pytest.mark.parametrize("family", ["logit", "rf", "svm"])
+def test_saved_models_score_alike(spark, tmp_path, family):
+    df = planted(spark).withColumn("model", F.lit("mi_up"))
+    params = {"numTrees": 3} if family == "rf" else {"maxIter": 5}
+    fitted = models.fit_by_regime(df.where("trd_id < 400"), X, family=family, params=params, k=2)
+    fitted.save(str(tmp_path / "m"))
+    again = models.RegimeModels.load(spark.newSession(), str(tmp_path / "m"))
+    rows = df.where("trd_id >= 400")
+    assert again.thresholds == fitted.thresholds
+    a, b = ({r["trd_id"]: r["prob"] for r in m.score(rows).collect()} for m in (fitted, again))
+    assert a == b and len(a) == 200
+
+
 def test_selection(spark):
     df = planted(spark)
     mi = {r["cols"]: r["importance"] for r in selection.mi_scores(df, X).collect()}
@@ -174,6 +201,28 @@ def test_spearman_with_a_hot_value(spark):
         assert matrix.where("a = 'a' and b = 'b'").first()["rho"] == pytest.approx(want)
 
 
+def test_spearman_with_nulls_and_constants(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 3)).round(1)
+    x[:, 1] += x[:, 0]
+    x[rng.random(400) < 0.4, 2] = np.nan
+    frame = pd.DataFrame(x, columns=["a", "b", "c"]).assign(flat=2.0, e=np.where(rng.random(400) < 0.2, np.nan, x[:, 0] ** 2))
+    rows = [("d", i, *[None if v != v else float(v) for v in r]) for i, r in enumerate(frame.to_numpy())]
+    df = spark.createDataFrame(rows, "date_trd string, trd_id long, a double, b double, c double, flat double, e double")
+    names = ["a", "b", "c", "flat", "e"]
+    matrix = selection.corr_spearman(df, names, ["date_trd", "trd_id"])
+
+    def want(p, q):
+        both = frame[[p, q]].dropna() if p != q else frame[[p]].dropna()
+        u, v = (both[n].rank() for n in (p, q))
+        return None if u.std() == 0 or v.std() == 0 else np.corrcoef(u, v)[0, 1]
+    for r in matrix.collect():
+        right = want(r["a"], r["b"])
+        assert (r["rho"] is None) == (right is None)
+        assert right is None or r["rho"] == pytest.approx(right, abs=1e-9)
+    assert "flat" not in selection.corr_clean(matrix, names)
+
+
 def test_correlation_filters(frame):
     names = ["a", "b", "c"]
     rho = {("a", "b"): 0.9, ("b", "c"): 0.8}

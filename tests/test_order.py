@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickflow import order as o
 from tickflow.operators.features import (lag_difference, rolling_mean, rolling_range, update_means,
                                          with_look_backs)
-from tickflow.order import Order
+from tickflow.order import Order, require_gap_free
 
 ORDERS = [Order(block_rows=8, broadcast_rows=0), Order(block_rows=8), Order()]
 DAYS = {"d1": 3, "d2": 120, "d3": 1, "d4": 17}     # d2 holds most rows
@@ -154,3 +154,16 @@ def test_update_means_cross_days(df, order):
 def test_look_back_longer_than_a_block_is_refused(df):
     with pytest.raises(ValueError):
         with_look_backs(df, {}, Order(block_rows=8), rows=9)
+
+
+@pytest.mark.parametrize("positions, good", [
+    ([0, 1, 2, 3], True), ([0, 1, 1, 3], False), ([0, 2, 3], False), ([5, 6, 7], True), ([0, 1, 4, 5], False), ([0, 0], False),
+    ([0, 3, 3, 3], False), ([2], True), ([0, 1, 2, 9, 10], False)])
+def test_gaps_and_repeats_cannot_cancel(spark, positions, good):
+    df = spark.createDataFrame([("d", p) for p in positions] + [("e", 0), ("e", 1)], "date_trd string, trd_id long")
+    for rows in (2, 3, 100):
+        if good:
+            require_gap_free(df, Order(block_rows=rows))
+        else:
+            with pytest.raises(ValueError):
+                require_gap_free(df, Order(block_rows=rows))

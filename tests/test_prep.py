@@ -23,7 +23,7 @@ def test_quantile_refinement_equals_numpy(spark):
     df = spark.createDataFrame(rows, "hot double, tiny double, flat double, holes double").repartition(6)
     columns = {"hot": hot, "tiny": tiny, "flat": flat,
                "holes": np.array([r[3] for r in rows if r[3] is not None])}
-    refined = quantiles(df, {c: PROBS for c in columns}, direct_cells=0, buckets=4)
+    refined = quantiles(df, {c: PROBS for c in columns}, buckets=4)
     direct = quantiles(df, {c: PROBS for c in columns})
     for c, values in columns.items():
         want = np.quantile(values, PROBS)
@@ -33,8 +33,26 @@ def test_quantile_refinement_equals_numpy(spark):
 
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
-    for cells in (0, 100):
-        assert quantiles(df, {"a": [0.5], "b": [0.5]}, direct_cells=cells) == {"a": [1.5], "b": [None]}
+    for buckets in (2, None):
+        assert quantiles(df, {"a": [0.5], "b": [0.5]}, buckets) == {"a": [1.5], "b": [None]}
+
+
+def test_quantiles_leave_out_what_is_no_number(spark):
+    rows = [(float(v), w) for v, w in zip([1, 2, math.inf, -math.inf, math.nan, 3], [1e308, -1e308, 5e-324, 0.0, 1.0, 1e300])]
+    df = spark.createDataFrame(rows, "a double, b double")
+    for buckets in (2, 3, None):
+        got = quantiles(df, {"a": [0.0, 0.5, 1.0], "b": [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]}, buckets)
+        assert got["a"] == [1.0, 2.0, 3.0]
+        assert got["b"] == [-1e308, 0.0, 5e-324, 1.0, 1e300, 1e308]
+
+
+def test_statistics_of_capped_columns(spark):
+    x = np.random.default_rng(1).standard_t(2, 3000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    caps, found = prep.capped_statistics(df, {"x": 0.03}, {"x": [0.0, 0.02, 0.5, 0.985, 1.0]})
+    low, high = np.quantile(x, [0.03, 0.97])
+    assert np.allclose(caps["x"], (low, high))
+    assert np.allclose(found["x"], np.quantile(np.clip(x, low, high), [0.0, 0.02, 0.5, 0.985, 1.0]))
 
 
 def test_scalar_rules(frame):
@@ -91,6 +109,17 @@ def test_mean_encoding_of_unseen_and_join_path(frame):
         assert [r["c"] for r in got.orderBy("trd_id").collect()] == [0.5, 1.0, None, None]
 
 
+def test_mean_encoding_of_other_types_and_unknown_means(frame):
+    rows = [("d", k, c, y) for k, (c, y) in enumerate([("a'b", 1.0), ("a'b", 0.0), ("z", None), (None, 1.0)])]
+    train = frame("date_trd string, trd_id long, c string, y double", rows)
+    for cast, kind, want in (("string", "string", [0.5, 0.5, None, None]), ("binary", "binary", [0.5, 0.5, None, None])):
+        table = prep.fit_mean_encoding(train, ["c"], cast=cast)
+        for literal_rows in (100, 0):
+            got = prep.apply_mean_encoding(train.withColumn("c", F.col("c").cast(kind)), table, ["c"],
+                                           Order(block_rows=2, broadcast_rows=0), literal_rows)
+            assert [r["c"] for r in got.orderBy("trd_id").collect()] == want
+
+
 @pytest.mark.parametrize("n,share", [(10, 0.2), (11, 0.2), (7, 0.15), (3, 0.5)])
 def test_ordered_split(spark, n, share):
     df = spark.range(n).selectExpr("concat('d', id div 4) as date_trd", "id % 4 as trd_id", "id")

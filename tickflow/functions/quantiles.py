@@ -1,10 +1,10 @@
-"""Exact quantiles of many columns at any size.
+"""Exact quantiles of many columns, by the same steps at every size.
 
-The built-in exact percentile keeps every distinct value of a column in one task. It is
-used only when the rows were counted and are few; beyond that the wanted order
-statistics are narrowed down by repeated histograms. Each pass scans the columns once,
-aggregates map-side into a fixed number of buckets per open interval, and shrinks every
-interval by that factor; repeated values are only counted.
+The wanted order statistics are narrowed down by repeated histograms: each pass scans the columns once,
+aggregates map-side into a bounded number of buckets per open interval, and shrinks every interval to the
+smallest and largest value of the bucket that holds the wanted rank. Every pass splits an interval's
+smallest from its largest value, so the steps end for any finite values. Values that are not finite count
+as missing. What reaches the driver is one row per wanted rank.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# rows x columns up to which every distinct value may be held by the built-in aggregate
-DIRECT_CELLS = 1 << 24
-BUCKETS = 256
+# Buckets of all open intervals together; each interval gets an equal share.
+CELLS = 1 << 20
+MOST_BUCKETS = 1 << 13
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None,
@@ -40,76 +41,77 @@ def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {r["c"]: r.asDict() for r in rows}
 
 
-def quantiles(df: DataFrame, probs: dict[str, list[float]], direct_cells: int = DIRECT_CELLS,
-              buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles, NULLs ignored; None for a column without values."""
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, x) of the values that are numbers."""
+    return unpivot(df, columns).where(F.abs("x") < float("inf"))
+
+
+def order_statistics(df: DataFrame, probs: dict[str, list[float]],
+                     buckets: int | None = None) -> dict[str, list[tuple[float, float, float]] | None]:
+    """For each column and probability the values around the rank and the share of the way between them;
+    None for a column without values. Take them through a monotone function to get its quantiles."""
     columns = [c for c in probs if probs[c]]
     if not columns:
         return {c: [] for c in probs}
-    if df.count() * len(columns) <= direct_cells:
-        every = sorted({float(p) for c in columns for p in probs[c]})
-        rows = (unpivot(df, columns).groupBy("c")
-                .agg(F.percentile("x", F.array(*[F.lit(p) for p in every])).alias("q")).collect())
-        found = {r["c"]: r["q"] for r in rows}
-        return {c: [None if found[c] is None else found[c][every.index(float(p))] for p in probs[c]]
-                for c in columns}
-
-    shape = profile(df, columns)
-    size = {c: s["n"] for c, s in shape.items()}
-    limits = {c: (s["low"], s["high"]) for c, s in shape.items() if s["n"]}
-    wanted = defaultdict(set)
-    for c in limits:
-        for p in probs[c]:
-            h = (size[c] - 1) * p
-            wanted[c] |= {math.floor(h), math.ceil(h)}
-    stats = _order_statistics(df, limits, wanted, buckets)
-
-    def interpolate(c: str, p: float) -> float | None:
-        if c not in limits:
-            return None
-        h = (size[c] - 1) * p
-        low, high = stats[c, math.floor(h)], stats[c, math.ceil(h)]
-        return low + (high - low) * (h - math.floor(h))
-
-    return {c: [interpolate(c, p) for p in probs[c]] for c in columns}
-
-
-def _order_statistics(df: DataFrame, limits: dict[str, tuple[float, float]],
-                      wanted: dict[str, set[int]], buckets: int) -> dict[tuple[str, int], float]:
-    """The k-th smallest values (0-based) for every (column, k)."""
+    shape = {r["c"]: r for r in finite(df, columns).groupBy("c").agg(
+        F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    ranks = {c: [(shape[c]["n"] - 1) * p for p in probs[c]] for c in columns if c in shape}
+    still = {(c, k): (shape[c]["low"], shape[c]["high"], 0)
+             for c, hs in ranks.items() for h in hs for k in (math.floor(h), math.ceil(h))}
+    stats = _narrowed(df, still, buckets)
+    return {c: [(stats[c, math.floor(h)], stats[c, math.ceil(h)], h - math.floor(h)) for h in ranks[c]]
+            if c in ranks else None for c in columns}
+
+
+def between(low: float, high: float, share: float) -> float:
+    gap = high - low
+    return low + gap * share if math.isfinite(gap) else low * (1 - share) + high * share
+
+
+def quantiles(df: DataFrame, probs: dict[str, list[float]],
+              buckets: int | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of the finite values; None for a column without one."""
+    found = order_statistics(df, probs, buckets)
+    return {c: [None] * len(probs[c]) if found[c] is None else [between(*s) for s in found[c]]
+            for c in probs if c in found}
+
+
+def _narrowed(df: DataFrame, still: dict[tuple[str, int], tuple[float, float, int]],
+              buckets: int | None) -> dict[tuple[str, int], float]:
+    """The k-th smallest values (0-based) for every (column, k); `still`: the lowest and highest value that
+    may hold it and the rows below that interval."""
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> lowest and highest value that may hold it, rows below the interval
-    still = {(c, k): (*limits[c], 0) for c, ks in wanted.items() for k in ks}
-    while still:
-        for key, (low, high, _) in list(still.items()):
-            if low == high:
-                found[key] = low
-                del still[key]
+    spark = df.sparkSession
+    while True:
+        found |= {key: low for key, (low, high, _) in still.items() if low == high}
+        still = {key: span for key, span in still.items() if key not in found}
         if not still:
-            break
-        spans = sorted({(c, low, high) for (c, _), (low, high, _) in still.items()})
+            return found
+        spans = sorted({(c, low, high, below) for (c, _), (low, high, below) in still.items()})
         numbers = {span: i for i, span in enumerate(spans)}
-        table = df.sparkSession.createDataFrame(
-            [(i, *span) for span, i in numbers.items()], "id int, c string, lo double, hi double")
-        share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        # the interval table has one row per open (column, rank): bounded by the request
-        histogram = (unpivot(df, sorted({s[0] for s in spans}))
-                     .join(F.broadcast(table), "c")
+        each = buckets or max(64, min(MOST_BUCKETS, CELLS // len(spans)))
+        # halves, where the width itself is too large for a double
+        table = spark.createDataFrame(
+            [(i, c, lo, hi, 1.0 if math.isfinite(hi - lo) else 0.5) for (c, lo, hi, _), i in numbers.items()],
+            "id int, c string, lo double, hi double, unit double")
+        wanted = spark.createDataFrame(
+            [(numbers[c, *span], k - span[2], k) for (c, k), span in still.items()], "id int, place long, k long")
+        unit = F.col("unit")
+        share = (F.col("x") * unit - F.col("lo") * unit) / (F.col("hi") * unit - F.col("lo") * unit)
+        # both small tables have one row per open (column, rank): bounded by the request
+        histogram = (finite(df, sorted({s[0] for s in spans})).join(F.broadcast(table), "c")
                      .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-                     .groupBy("id", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("b"))
-                     .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                     .orderBy("id", "b").collect())
-        by_span = defaultdict(list)
-        for r in histogram:
-            by_span[r["id"]].append((r["n"], r["lo"], r["hi"]))
-        for (c, k), (low, high, below) in list(still.items()):
-            for n, lo, hi in by_span[numbers[c, low, high]]:
-                if k < below + n:
-                    if k == below:
-                        hi = lo
-                    elif k == below + n - 1:
-                        lo = hi
-                    still[c, k] = (lo, hi, below)
-                    break
-                below += n
-    return found
+                     .groupBy("id", F.least(F.floor(share * each), F.lit(each - 1)).alias("b"))
+                     .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first"), F.max("x").alias("last")))
+        upto = F.sum("n").over(W.partitionBy("id").orderBy("b"))
+        rows = (histogram.withColumn("upto", upto).join(F.broadcast(wanted), "id")
+                .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).collect())
+        names = {i: span for span, i in numbers.items()}
+        for r in rows:
+            c, _, _, below = names[r["id"]]
+            low, high, under = r["first"], r["last"], r["upto"] - r["n"]
+            if r["place"] == under:
+                high = low
+            elif r["place"] == r["upto"] - 1:
+                low = high
+            still[c, r["k"]] = (low, high, below + under)

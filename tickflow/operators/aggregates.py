@@ -62,6 +62,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Counts of equal-width bins between minimum and maximum; empty bins included."""
     x = F.col(column)
     ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
+    if ends["a"] is None:                   # nothing to count: no bins
+        return df.sparkSession.createDataFrame([], "bin long, low double, n long")
     low, high = float(ends["a"]), float(ends["b"])
     if low == high:
         low, high = low - 0.5, high + 0.5

@@ -72,17 +72,20 @@ def exit_price(df: DataFrame, order: Order = DAY_ORDER) -> DataFrame:
     return asof_run_prices(staged, order).withColumn("exit_price", price)
 
 
-def _threshold() -> Column:
+def _threshold(thresholds: dict[str, float] | None = None) -> Column:
     out = F.lit(None).cast("double")
-    for regime, value in C.REGIME_THRESHOLD.items():
+    for regime, value in (thresholds or C.REGIME_THRESHOLD).items():
         out = F.when(F.col("model") == regime, value).otherwise(out)
     return out
 
 
-def entries(df: DataFrame) -> DataFrame:
-    """Add ``position`` (signed size, when the score reaches the threshold) and ``entry_price``."""
+def entries(df: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Add ``position`` (signed size, when the score reaches the regime's threshold) and ``entry_price``.
+
+    ``thresholds`` are those of the fitted models; by default the ones that were studied.
+    """
     long, short = F.col("model").isin(C.TRADED_UP), F.col("model").isin(C.TRADED_DOWN)
-    sized = F.col("prob") >= _threshold()
+    sized = F.col("prob") >= _threshold(thresholds)
     position = F.when(long & sized, C.POSITION).when(short & sized, -C.POSITION)
     price, side = F.col("first_price"), F.col("side")
     entry = (F.when(long & (side == "-"), price + C.SPREAD)
@@ -98,12 +101,14 @@ def trade_delta(df: DataFrame) -> DataFrame:
     return df.withColumn("delta_p", F.coalesce(won, F.lit(0.0)))
 
 
-def scored_trades(df: DataFrame, order: Order = DAY_ORDER) -> DataFrame:
+def scored_trades(df: DataFrame, order: Order = DAY_ORDER,
+                  thresholds: dict[str, float] | None = None) -> DataFrame:
     """Exit study from tagged trades with ``prob`` to ``delta_p``."""
-    return trade_delta(entries(exit_price(exit_run(next_sign(df, order), order), order)))
+    return trade_delta(entries(exit_price(exit_run(next_sign(df, order), order), order), thresholds))
 
 
-def stop_gain_grid(df: DataFrame, regimes: list[str] | None = None) -> DataFrame:
+def stop_gain_grid(df: DataFrame, regimes: list[str] | None = None,
+                   thresholds: dict[str, float] | None = None) -> DataFrame:
     """Profit for every stop (i half points) and gain (j half points) of the grid, per regime.
 
     A profit clipped to [-i/2, j/2] is its clipped gain minus its clipped loss, so the
@@ -111,7 +116,7 @@ def stop_gain_grid(df: DataFrame, regimes: list[str] | None = None) -> DataFrame
     point, one aggregation with at most two groups per half point whatever the data size.
     """
     regimes = regimes or C.TRADED_DOWN + C.TRADED_UP
-    traded = df.where(F.col("model").isin(regimes) & (F.col("prob") > _threshold()))
+    traded = df.where(F.col("model").isin(regimes) & (F.col("prob") > _threshold(thresholds)))
     size = F.abs("delta_p")
     bucket = F.least(F.ceil(size * 2), F.lit(C.GRID_TO + 1)).cast("int")
     sums = (traded.where("delta_p is not null")

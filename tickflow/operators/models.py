@@ -7,6 +7,7 @@ features, the dense network without dropout and batch normalisation.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
@@ -14,9 +15,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml import classification
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickflow import constants as C
 from tickflow.operators.aggregates import class_weights
-from tickflow.operators.metrics import best_threshold, fold_estimate, report
+from tickflow.operators.metrics import auc, best_threshold, fold_estimate, report
 from tickflow.order import DAY_ORDER, Order, before_key, keys_at
 from tickflow.runtime import together, written
 
@@ -64,18 +65,33 @@ def with_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:
 
 # --- classifiers -------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Features:
+    """How named columns become the feature vector: as they are, or by random Fourier features."""
+
+    columns: tuple[str, ...]
+    gamma: float | None = None
+    components: int = 64
+    seed: int = 1
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.gamma is None:
+            return VectorAssembler(inputCols=list(self.columns), outputCol="features").transform(df)
+        return _fourier(self.columns, self.gamma, self.components, self.seed)(df)
+
+
 @dataclass
 class Fitted:
     """A trained classifier over named columns; ``score`` adds ``prob``."""
 
     columns: list[str]
     model: object
-    prepare: Callable[[DataFrame], DataFrame]
+    features: Features
     calibration: object = None
 
     def score(self, df: DataFrame) -> DataFrame:
         kept = df.columns
-        out = self.model.transform(self.prepare(df))
+        out = self.model.transform(self.features.apply(df))
         if self.calibration is not None:
             out = self.calibration.transform(_margin(out).drop("rawPrediction", "prediction"))
         return out.select(*kept, vector_to_array("probability")[1].alias("prob"))
@@ -86,10 +102,36 @@ class Fitted:
                   else self.model.coefficients)
         return dict(zip(self.columns, [float(v) for v in values.toArray()]))
 
+    def save(self, path: str) -> None:
+        """Write the model, its calibration and its feature rule below ``path``, which must not exist."""
+        self.model.write().save(f"{path}/model")
+        if self.calibration is not None:
+            self.calibration.write().save(f"{path}/calibration")
+        kind = type(self.model)
+        rule = {"class": f"{kind.__module__}.{kind.__name__}", "columns": self.columns,
+                "calibrated": self.calibration is not None, "gamma": self.features.gamma,
+                "components": self.features.components, "seed": self.features.seed}
+        write_note(SparkSession.active(), f"{path}/features", rule)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Fitted":
+        rule = read_note(spark, f"{path}/features")
+        module, name = rule["class"].rsplit(".", 1)
+        if module != "pyspark.ml.classification":
+            raise ValueError(f"{path} holds no classifier")
+        model = getattr(classification, name).load(f"{path}/model")
+        calibration = LogisticRegressionModel.load(f"{path}/calibration") if rule["calibrated"] else None
+        features = Features(tuple(rule["columns"]), rule["gamma"], rule["components"], rule["seed"])
+        return Fitted(rule["columns"], model, features, calibration)
+
+
+def write_note(spark: SparkSession, path: str, note: dict) -> None:
+    """A few settings as one JSON line, written where the models are."""
+    spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.text(path)
 
-def _assembler(columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    stage = VectorAssembler(inputCols=list(columns), outputCol="features")
-    return stage.transform
+
+def read_note(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
 
 
 def _fourier(columns: Sequence[str], gamma: float, components: int,
@@ -128,8 +170,8 @@ def fit_classifier(family: str, df: DataFrame, columns: Sequence[str], y: str =
         params["regParam"] = 1.0 / (params.pop("C") * df.count())
     components = params.pop("components", 64)
     gamma = params.pop("gamma", 1.0 / max(len(columns), 1))
-    prepare = _fourier(columns, gamma, components, seed) if family == "svm" else _assembler(columns)
-    data = prepare(_binary(with_weights(df, y) if balanced else df, y))
+    features = Features(tuple(columns), gamma if family == "svm" else None, components, seed)
+    data = features.apply(_binary(with_weights(df, y) if balanced else df, y))
     weight = {"weightCol": "weight"} if balanced and family != "mlp" else {}
     if family == "logit":
         model = LogisticRegression(**weight, **params)
@@ -149,12 +191,14 @@ def fit_classifier(family: str, df: DataFrame, columns: Sequence[str], y: str =
     if family in ("svm", "linear_svm"):
         margins = _margin(fitted.transform(data)).select("label", "_margin")
         calibration = LogisticRegression(featuresCol="_margin").fit(margins)
-    return Fitted(columns, fitted, prepare, calibration)
+    return Fitted(columns, fitted, features, calibration)
 
 
 def area(df: DataFrame, y: str = "y", prob: str = "prob") -> float:
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol="_y")
-    return evaluator.evaluate(df.select(F.col(y).cast("double").alias("_y"), prob))
+    """Exact ROC AUC, ties counted half; NaN where only one class is present."""
+    scores = df.select(F.col(y).cast("long").alias("y"), F.col(prob).alias("prob"))
+    value = auc(written(scores, "scores")).first()
+    return float("nan") if value is None or value["auc"] is None else value["auc"]
 
 
 def importance_table(spark: SparkSession, fitted: Fitted, absolute: bool = False) -> DataFrame:
@@ -301,21 +345,58 @@ def fit_stack(train: DataFrame, bases: Sequence[Base], y: str = "y", k: int = 3,
     return Stack([(b.name, fit_classifier(b.family, folds, b.columns, y, **b.params)) for b in bases], top)
 
 
-def predict_by_regime(trades: DataFrame, columns: Sequence[str], y: str = "y", family: str = "logit",
-                      params: dict | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """Scores of all trades, one model per traded regime, and a threshold per regime.
+@dataclass
+class RegimeModels:
+    """One classifier and threshold per traded regime, fitted on one set of trades to score another."""
+
+    models: dict[str, Fitted]
+    thresholds: dict[str, float]
+
+    def score(self, trades: DataFrame) -> DataFrame:
+        """All trades with ``prob``; NULL where the regime has no model."""
+        named = F.col("model").isin(list(self.models))
+        out = trades.where(~named | F.col("model").isNull()).withColumn("prob", F.lit(None).cast("double"))
+        for regime, fitted in self.models.items():
+            out = out.unionByName(fitted.score(trades.where(F.col("model") == regime)))
+        return out
+
+    def save(self, path: str) -> None:
+        for regime, fitted in self.models.items():
+            fitted.save(f"{path}/{regime}")
+        write_note(SparkSession.active(), f"{path}/thresholds",
+                   {"thresholds": self.thresholds, "models": list(self.models)})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "RegimeModels":
+        note = read_note(spark, f"{path}/thresholds")
+        return RegimeModels({m: Fitted.load(spark, f"{path}/{m}") for m in note["models"]}, note["thresholds"])
+
+
+def fit_by_regime(train: DataFrame, columns: Sequence[str], y: str = "y", family: str = "logit",
+                  params: dict | None = None, k: int = 5, order: Order = DAY_ORDER) -> RegimeModels:
+    """One model per traded regime; its threshold is the best one on scores of held-out folds.
 
-    Regimes without a model keep ``prob`` NULL and get the threshold 0.5.
+    A regime with one class, or with fewer rows of a class than folds, gets no model and the threshold 0.5.
     """
-    thresholds = {m: 0.5 for m in C.REGIMES}
-    out = trades.where(~F.col("model").isin(C.TRADED_UP + C.TRADED_DOWN) | F.col("model").isNull()
-                       ).withColumn("prob", F.lit(None).cast("double"))
+    found = RegimeModels({}, {m: 0.5 for m in C.REGIMES})
     for regime in C.TRADED_UP + C.TRADED_DOWN:
-        rows = trades.where(F.col("model") == regime)
-        if rows.select(y).distinct().count() < 2:
-            out = out.unionByName(rows.withColumn("prob", F.lit(None).cast("double")))
+        rows = train.where((F.col("model") == regime) & F.col(y).isNotNull())
+        sizes = [r["count"] for r in rows.groupBy(y).count().collect()]
+        if len(sizes) < 2 or min(sizes) < k:
             continue
-        scored = fit_classifier(family, rows, columns, y, **(params or {})).score(rows)
-        thresholds[regime] = best_threshold(scored, y).first()["th"]
-        out = out.unionByName(scored)
-    return out, thresholds
+        folds = written(contiguous_folds(rows, y, k, order), "folds")
+        held = None
+        for i in range(k):
+            fitted = fit_classifier(family, folds.where(F.col("fold") != i), columns, y, **(params or {}))
+            part = fitted.score(folds.where(F.col("fold") == i)).select(y, "prob")
+            held = part if held is None else held.unionByName(part)
+        found.thresholds[regime] = best_threshold(written(held, "held"), y).first()["th"]
+        found.models[regime] = fit_classifier(family, folds, columns, y, **(params or {}))
+    return found
+
+
+def predict_by_regime(train: DataFrame, test: DataFrame, columns: Sequence[str], y: str = "y",
+                      family: str = "logit", params: dict | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Scores of the test trades by models that never saw them, and the threshold of each regime."""
+    found = fit_by_regime(train, columns, y, family, params)
+    return found.score(test), found.thresholds

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow import constants as C
-from tickflow.functions.quantiles import profile, quantiles, unpivot
+from tickflow.functions.quantiles import between, order_statistics, profile, quantiles, unpivot
 from tickflow.functions.scalars import (clip, inverse_power, number, replace_columns,
                                          right_closed_bin)
 from tickflow.operators.features import difference_features, duplicate, log_volume
@@ -76,6 +76,22 @@ def fit_caps(df: DataFrame, folds: dict[str, float]) -> dict[str, tuple[float, f
     return {c: (q[0], q[1]) for c, q in found.items() if q[0] is not None}
 
 
+def capped_statistics(df: DataFrame, folds: dict[str, float],
+                      probs: dict[str, list[float]]) -> tuple[dict[str, tuple[float, float]], dict[str, list[float]]]:
+    """Caps, and quantiles of the capped columns, from one set of scans.
+
+    Capping is monotone, so the order statistics of a capped column are the capped ones of the raw column.
+    """
+    found = order_statistics(df, {c: [f, 1 - f, *probs.get(c, [])] for c, f in folds.items()})
+    caps, inside = {}, {}
+    for c, stats in found.items():
+        if stats is None:
+            continue
+        low, high = caps[c] = between(*stats[0]), between(*stats[1])
+        inside[c] = [between(min(max(a, low), high), min(max(b, low), high), share) for a, b, share in stats[2:]]
+    return caps, inside
+
+
 def apply_caps(df: DataFrame, caps: dict[str, tuple[float, float]]) -> DataFrame:
     return replace_columns(df, {c: clip(c, *b) for c, b in caps.items()})
 
@@ -161,25 +177,26 @@ def fit_mean_encoding(df: DataFrame, columns: Sequence[str], y: str = "y",
 
 def apply_mean_encoding(df: DataFrame, encoding: DataFrame, columns: Sequence[str],
                         order: Order = DAY_ORDER, literal_rows: int = 5000) -> DataFrame:
-    """Replace categories by their mean; unseen ones become NULL.
+    """Replace categories by their mean; unseen ones, and those whose mean is unknown, become NULL.
 
-    A short table becomes literals of one projection; a longer one is joined per column.
+    The means of a short table travel in the projection, as one map per column; those of a longer one are
+    joined per column. Either way a category has the same value, whatever its type.
     """
-    head = encoding.limit(literal_rows + 1).collect()
+    known = encoding.where(F.col("c").isin(list(columns)) & F.col("x").isNotNull() & F.col("mean").isNotNull())
+    head = known.limit(literal_rows + 1).collect()
     if len(head) <= literal_rows:
-        means = {c: {r["x"]: r["mean"] for r in head if r["c"] == c} for c in columns}
-
-        def literal(x) -> str:
-            return str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-        return replace_columns(df, {
-            c: f"case `{c}`" + "".join(f" when {literal(x)} then {number(m)}" for x, m in sorted(of.items()))
-               + " end" if of else "cast(null as double)" for c, of in means.items()})
+        key = dict(known.dtypes)["x"]
+        exprs = {}
+        for c in columns:
+            pairs = [F.lit(v) for r in head if r["c"] == c for v in (r["x"], r["mean"])]
+            exprs[c] = (F.try_element_at(F.create_map(*pairs), F.col(f"`{c}`").cast(key)) if pairs
+                        else F.lit(None).cast("double"))
+        return df.select(*[exprs[n].alias(n) if n in exprs else F.col(f"`{n}`") for n in df.columns])
     out = df
     for c in columns:
-        table = encoding.where(F.col("c") == c).select(F.col("x").alias(c), F.col("mean").alias("_mean"))
+        table = known.where(F.col("c") == c).select(F.col("x").alias(c), F.col("mean").alias("_mean"))
         joined = lookup(out, table, [c], order)
-        out = joined.select(*[F.col("_mean").alias(c) if n == c else F.col(n) for n in out.columns])
+        out = joined.select(*[F.col("_mean").alias(c) if n == c else F.col(f"`{n}`") for n in out.columns])
     return out
 
 
@@ -219,16 +236,16 @@ class ScaledView:
     minmax: dict
 
     @staticmethod
-    def fit(train: DataFrame) -> "ScaledView":
+    def fit(train: DataFrame, low: float = 0.10, high: float = 0.90) -> "ScaledView":
+        """Centre, width (between `low` and `high` percent) and ends of the capped columns, in one set of scans."""
         names = feature_names(train)
-        caps = fit_caps(train, cap_folds(names))
-        capped = apply_caps(train, caps)
-        robust = fit_robust_scale(capped, names)
-        # the ends of a column move with it under (x - centre) / width
-        minmax = {}
-        for c, (low, width) in fit_minmax(capped, names).items():
-            centre, spread = robust[c]
-            minmax[c] = ((low - centre) / spread, width / spread)
+        caps, found = capped_statistics(train, cap_folds(names),
+                                        {c: [0.5, low / 100, high / 100, 0.0, 1.0] for c in names})
+        robust, minmax = {}, {}
+        for c, (middle, left, right, least, most) in found.items():
+            robust[c] = centre, spread = middle, (right - left) or 1.0
+            # the ends of a column move with it under (x - centre) / width
+            minmax[c] = (least - centre) / spread, ((most - least) or 1.0) / spread
         return ScaledView(caps, robust, minmax)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -262,11 +279,11 @@ class BinnedView:
     def fit(train: DataFrame, mean_encode: bool = False, encode_all: bool = False) -> "BinnedView":
         start = BinnedView.start(train)
         names = feature_names(start)
-        caps = fit_caps(start, {c: C.CAP_DEFAULT for c in names})
-        capped = apply_caps(start, caps)
         arbitrary = {c: e for c, e in C.ARBITRARY_BINS.items() if c in names}
         wanted = {c: q for q, cs in C.QUANTILE_BINS.items() for c in cs if c in names}
-        edges = fit_quantile_bins(capped, wanted)
+        caps, found = capped_statistics(start, {c: C.CAP_DEFAULT for c in names},
+                                        {c: [k / q for k in range(q + 1)] for c, q in wanted.items()})
+        edges = {c: sorted(set(found[c])) for c in wanted if c in found}
         view = BinnedView(caps, arbitrary, edges)
         if not mean_encode:
             return view

@@ -59,14 +59,31 @@ DAY_ORDER = Order()
 
 
 def require_gap_free(df: DataFrame, order: Order = DAY_ORDER) -> None:
-    """Fail when a day's positions have gaps or repeat; look-backs count positions."""
-    span = F.max(order.pos) - F.min(order.pos) + 1
-    broken = (df.groupBy(*order.keys[:1]).agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
-              .where("n <> span").head())
+    """Fail when a day's positions have gaps or repeat; look-backs count positions.
+
+    Per block the number of positions, and the exclusive-or of their hashes, must be those of the whole
+    range between the day's first and last position, so a gap and a repeat cannot make up for each other.
+    """
+    own = order.tag(df.select(order.part, order.pos)).groupBy(*order.keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order.pos).alias("lo"), F.max(order.pos).alias("hi"),
+        F.bit_xor(F.xxhash64(F.col(order.pos).cast("long"))).alias("mark"))
+    own = written(own, "positions")                        # one row per block
+    day = W.partitionBy(order.part)
+    edges = own.withColumn("first", F.min("lo").over(day)).withColumn("last", F.max("hi").over(day)).withColumn(
+        "blocks", F.count(F.lit(1)).over(day))
+    begin = F.greatest("first", F.col("_blk") * order.block_rows)
+    end = F.least("last", (F.col("_blk") + 1) * order.block_rows - 1)
+    listed = edges.select(*order.keys, "n", "mark", F.explode(F.sequence(begin.cast("long"), end.cast("long"))).alias("p"))
+    wrong = (listed.groupBy(*order.keys, "n", "mark")
+             .agg(F.count(F.lit(1)).alias("span"), F.bit_xor(F.xxhash64("p")).alias("ideal"))
+             .where("n <> span or mark <> ideal").select(*order.keys, "n", "span"))
+    missing = edges.where(F.col("blocks") != F.expr(f"`last` div {order.block_rows} - `first` div {order.block_rows} + 1")
+                          ).select(*order.keys, "n", F.lit(0).cast("long").alias("span"))
+    broken = wrong.unionByName(missing).head()
     if broken is not None:
         raise ValueError(
             f"{order.pos} of {order.part} {broken[order.part]} has gaps or repeats "
-            f"({broken['n']} rows over {broken['span']} positions); renumber with dense_position")
+            f"(block {broken['_blk']}: {broken['n']} rows); renumber with dense_position")
 
 
 def with_halo(df: DataFrame, n: int, order: Order = DAY_ORDER) -> DataFrame:

@@ -7,17 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickflow.functions.scalars import round_doubles
-from tickflow.operators import joins, models, neighbours, prep, selection
+from tickflow.operators import backtest, joins, models, neighbours, prep, selection
 from tickflow.operators.models import Base
 from tickflow.plans.preparation import binned_sql, edges_sql
 from tickflow.plans.registry import query, r6, r6s, sql
-from tickflow.plans.ticks import ticks
+from tickflow.plans.ticks import RAW_FEATURES, ticks
 from tickflow.plans.windows import tagged
 from tickflow.runtime import written
 
-COLUMNS = ["f_smart_price", "f_msg_imb", "f_n_trd", "f_chgfreq", "f_vol_trd", "prob"]
-X = ["smart_price", "msg_imb", "n_trd", "chgfreq", "vol_trd", "score"]
-MI = ["f_smart_price", "f_vewma", "f_msg_imb", "f_book_imb", "f_n_p", "f_n_trd", "f_chgfreq", "prob"]
+FEATURES = ["f_" + c for c in RAW_FEATURES]
+COLUMNS = [*FEATURES, "prob"]
+X = [*RAW_FEATURES, "score"]
+# refitted hundreds of times by the wrapper queries
+FEW = ["smart_price", "msg_imb", "n_trd", "chgfreq", "vol_trd", "score"]
+MI = [*FEATURES, "prob"]
 _frames: dict = {}
 
 
@@ -56,28 +59,39 @@ def mi_random(spark, sf):
 
 
 CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-TICK_CORR = ["value", "chg_cum", "max_run", "f_smart_price", "f_rng_ewma", "f_vewma", "f_vewma_g_p", "f_n_p"]
+TICK_CORR = ["value", "chg_cum", "max_run", "f_smart_price", "f_rng_ewma", "f_vewma", "f_vewma_g_p", "f_n_p",
+             "f_book_imb", "flat"]
 
 
 def rho_sql(columns, table):
-    ranks = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as r_{c}"
-                      for c in columns)
-    pairs = " union all ".join(f"select '{a}' as a, '{b}' as b, corr(r_{a}, r_{b}) as rho from ranked"
-                               for a in columns for b in columns)
-    return f"ranked as (select {ranks} from {table}),\nrho as ({pairs})"
+    """Ranks are taken among the rows where both columns of a pair have a value."""
+    def ranked(c):
+        return f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double"
+    pairs = " union all ".join(
+        f"select '{a}' as a, '{b}' as b, corr(x, y) as r from (select {ranked(a)} as x, {ranked(b)} as y "
+        f"from {table} where {a} is not null and {b} is not null)" for a in columns for b in columns)
+    return f"rho as (select a, b, case when isnan(r) then null else r end as rho from ({pairs}))"
 
 
-@query("corr_spearman", sql(f"select a, b, {r6s('rho')} from rho", rho_sql(TICK_CORR, "raw")))
+CORR_RAW = "corr_raw as (select *, 1.0::double as flat from raw)"
+
+
+def corr_frame(spark, sf):
+    """Trades with a column that has NULLs and one without spread among those to correlate."""
+    return ticks(spark, sf, True).withColumn("flat", F.lit(1.0))
+
+
+@query("corr_spearman", sql(f"select a, b, {r6s('rho')} from rho", CORR_RAW, rho_sql(TICK_CORR, "corr_raw")))
 def corr_spearman(spark, sf):
     return round_doubles(selection.corr_spearman(
-        ticks(spark, sf, True), TICK_CORR, ["date_trd", "trd_id"]))
+        corr_frame(spark, sf), TICK_CORR, ["date_trd", "trd_id"]))
 
 
 @query("corr_clean", sql(
-    "select a as cols from rho where a <> b and abs(rho) >= 0.77 group by a", rho_sql(TICK_CORR, "raw")))
+    "select a as cols from rho where a <> b and abs(rho) >= 0.77 group by a", CORR_RAW, rho_sql(TICK_CORR, "corr_raw")))
 def corr_clean(spark, sf):
     """Dropped columns, both members of each pair."""
-    matrix = selection.corr_spearman(ticks(spark, sf, True), TICK_CORR, ["date_trd", "trd_id"])
+    matrix = selection.corr_spearman(corr_frame(spark, sf), TICK_CORR, ["date_trd", "trd_id"])
     dropped = selection.corr_clean(matrix, TICK_CORR)
     return spark.createDataFrame([(c,) for c in dropped], "cols string")
 
@@ -86,7 +100,7 @@ def corr_clean(spark, sf):
     "select b.name as cols from (" + " union all ".join(
         f"select {i} as i, '{c}' as name" for i, c in enumerate(TICK_CORR)) + ") b "
     "where list_contains((" + "select d" + str(len(TICK_CORR) - 1) + " from greedy), b.name)",
-    rho_sql(TICK_CORR, "raw"),
+    CORR_RAW, rho_sql(TICK_CORR, "corr_raw"),
     # d_i: columns dropped among the first i + 1
     "greedy as (select * from " + " ".join(
         (f"(select []::varchar[] as d0) g0" if i == 0 else
@@ -96,7 +110,7 @@ def corr_clean(spark, sf):
         for i, c in enumerate(TICK_CORR)) + ")"))
 def corr_clean_greedy(spark, sf):
     """Dropped columns, the earlier member of each pair stays."""
-    matrix = selection.corr_spearman(ticks(spark, sf, True), TICK_CORR, ["date_trd", "trd_id"])
+    matrix = selection.corr_spearman(corr_frame(spark, sf), TICK_CORR, ["date_trd", "trd_id"])
     dropped = selection.corr_clean(matrix, TICK_CORR, greedy=True)
     return spark.createDataFrame([(c,) for c in dropped], "cols string")
 
@@ -117,18 +131,18 @@ def _groups_sql():
 @query("smart_corr", sql(
     "select best as kept, c as dropped from (select g, first(c order by round(s, 9) desc, i) as best from members group by g) "
     "join members using (g) where c <> best",
-    rho_sql(TICK_CORR, "raw"), _groups_sql(),
-    "spreads as (" + " union all ".join(f"select '{c}' as c, {i} as i, stddev_samp({c}) as s from raw"
+    CORR_RAW, rho_sql(TICK_CORR, "corr_raw"), _groups_sql(),
+    "spreads as (" + " union all ".join(f"select '{c}' as c, {i} as i, stddev_samp({c}) as s from corr_raw"
                                     for i, c in enumerate(TICK_CORR)) + ")",
     "members as (select g, c, s, i from (select g, unnest(g) as c from grouped where len(g) > 1) join spreads using (c))"))
 def smart_corr(spark, sf):
-    df = ticks(spark, sf, True)
+    df = corr_frame(spark, sf)
     matrix = selection.corr_spearman(df, TICK_CORR, ["date_trd", "trd_id"])
     groups = selection.smart_corr(df, matrix, TICK_CORR)
     return spark.createDataFrame([(k, d) for k, ds in groups.items() for d in ds], "kept string, dropped string")
 
 
-_RANKED = [c for c in MI] + ["f_PA_up", "f_aggimb", "f_abagg", "f_n_big", "chg_cum", "max_run", "freq"]
+_RANKED = [*MI, "chg_cum", "max_run", "freq"]
 _CRITERIA = {"target": "abs(corr({c}, hit))", "value": "abs(corr({c}, value))", "spread": "stddev_samp({c})"}
 RANKING_SQL = ("scored as (" + " union all ".join(
     f"select '{r}' as ranking, '{c}' as cols, round({e.format(c=c)}, 9) as importance from raw"
@@ -202,8 +216,8 @@ def imp_linear(spark, sf):
 @query("imp_permutation")
 def imp_permutation(spark, sf):
     train, _ = model_frame(spark, sf)
-    fitted = models.fit_classifier("svm", train, X, balanced=True, maxIter=20, gamma=0.05)
-    return selection.permutation_importance(train, X, fitted.score)
+    fitted = models.fit_classifier("svm", train, FEW, balanced=True, maxIter=20, gamma=0.05)
+    return selection.permutation_importance(train, FEW, fitted.score)
 
 
 def _cv(folds, family, k, **params):
@@ -218,7 +232,7 @@ def sel_rfa(spark, sf):
     train, _ = model_frame(spark, sf)
     folds = written(models.contiguous_folds(train, "y", 2), "folds")
     params = {"numTrees": 5, "maxDepth": 4}
-    ranked = models.fit_classifier("rf", train, X, **params).importances()
+    ranked = models.fit_classifier("rf", train, FEW, **params).importances()
     ordered = sorted(ranked, key=lambda c: (-ranked[c], c))
     log = selection.recursive_addition(ordered, _cv(folds, "rf", 2, **params))
     return spark.createDataFrame(log, "cols string, gain double, kept boolean")
@@ -230,7 +244,7 @@ def sel_rfe(spark, sf):
 
     def importances(columns):
         return models.fit_classifier("logit", train, columns, regParam=0.01, elasticNetParam=1.0).importances()
-    kept = selection.recursive_elimination(X, importances, keep=5)
+    kept = selection.recursive_elimination(FEW, importances, keep=5)
     folds = written(models.contiguous_folds(train, "y", 2), "folds")
     score = _cv(folds, "logit", 2, regParam=0.01, elasticNetParam=1.0, maxIter=20)(kept)
     return spark.createDataFrame([(c, score) for c in kept], "cols string, cv_auc double")
@@ -240,7 +254,7 @@ def sel_rfe(spark, sf):
 def sel_sequential(spark, sf):
     train, _ = model_frame(spark, sf)
     folds = written(models.contiguous_folds(train, "y", 2), "folds")
-    log = selection.backward_selection(X, _cv(folds, "logit", 2, regParam=0.01, maxIter=20), keep=4)
+    log = selection.backward_selection(FEW, _cv(folds, "logit", 2, regParam=0.01, maxIter=20), keep=4)
     return spark.createDataFrame(log, "dropped string, cv_auc double")
 
 
@@ -330,8 +344,8 @@ def pca(spark, sf):
 
 
 _BASES = [Base("svm1", "svm", tuple(X), {"balanced": True, "maxIter": 10, "gamma": 0.05, "components": 32}),
-          Base("gbt1", "gbt", tuple(X[:4]), {"maxIter": 5, "maxDepth": 3}),
-          Base("logit1", "logit", tuple(X[2:]), {"regParam": 0.001})]
+          Base("gbt1", "gbt", tuple(FEW[:4]), {"maxIter": 5, "maxDepth": 3}),
+          Base("logit1", "logit", tuple(FEW[2:]), {"regParam": 0.001})]
 
 
 @query("stacking")
@@ -344,7 +358,7 @@ def stacking(spark, sf):
 @query("search_random")
 def search_random(spark, sf):
     train, _ = model_frame(spark, sf)
-    return models.search_random("logit", train, X, draws=4, k=3, fixed={"maxIter": 20}).scores
+    return models.search_random("logit", train, FEW, draws=4, k=3, fixed={"maxIter": 20}).scores
 
 
 @query("model_compare")
@@ -352,15 +366,25 @@ def model_compare(spark, sf):
     train, test = model_frame(spark, sf)
     small = {"rf": {"numTrees": 5, "maxDepth": 4}, "gbt": {"maxIter": 3, "maxDepth": 3},
              "logit": {"maxIter": 10}, "svm": {"maxIter": 5, "components": 16}}
-    return models.model_compare(train, test, X, list(small), draws=2, k=2, fixed=small)
+    return models.model_compare(train, test, FEW, list(small), draws=2, k=2, fixed=small)
 
 
 @query("predict_by_regime")
 def predict_by_regime(spark, sf):
     train, test = model_frame(spark, sf)
-    scored, thresholds = models.predict_by_regime(
-        train.unionByName(test), X, params={"regParam": 0.001, "maxIter": 20})
+    scored, thresholds = models.predict_by_regime(train, test, X, params={"regParam": 0.001})
     limit = F.lit(None).cast("double")
     for regime, value in thresholds.items():
         limit = F.when(F.col("model") == regime, value).otherwise(limit)
     return scored.select("date_trd", "trd_id", "model", "prob", limit.alias("th"))
+
+
+@query("exit_study_scored")
+def exit_study_scored(spark, sf):
+    """Features, one model per regime, scores of later trades, exits, and the stop and gain grid."""
+    train, test = model_frame(spark, sf)
+    scored, thresholds = models.predict_by_regime(train, test, X, params={"regParam": 0.001})
+    # the frame with features carries its own stand-in score
+    trades = tagged(spark, sf).drop("prob").join(scored.select("date_trd", "trd_id", "prob"), ["date_trd", "trd_id"], "left")
+    study = written(backtest.scored_trades(written(trades, "scored-trades"), thresholds=thresholds), "study")
+    return backtest.stop_gain_grid(study, thresholds=thresholds)

@@ -11,8 +11,9 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast only when it was counted and has at most this many rows.
+# A lookup table is broadcast only when it was written and has at most this many rows and bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -35,14 +36,15 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used only
-    in local mode with the setting absent.
+    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used only where
+    the driver is the only process and the setting is absent.
     """
     app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/tickflow-{app}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):     # one process, so its own folder is shared
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="tickflow-")
@@ -65,14 +67,19 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The table computed once and written, and whether it has at most ``max_rows`` rows.
+def stored_bytes(stored: DataFrame) -> int:
+    """Size of a written table's files, as the planner knows it."""
+    return int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The table computed once and written, and whether it has at most so many rows and bytes on disk.
 
     The count reads file footers only. (An observed count would save that job, but a session
     that has observed anything can no longer be shipped with a trained model's summary.)
     """
     stored = written(table, "table")
-    return stored, stored.count() <= max_rows
+    return stored, stored_bytes(stored) <= max_bytes and stored.count() <= max_rows
 
 
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
