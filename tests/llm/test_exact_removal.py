@@ -61,8 +61,7 @@ def test_bytes(documents, corpus, monkeypatch):
     found = suffix_dedup.contract(suffix_dedup.repeated_strings(documents(rows)))
     assert sorted((str(r[0]), *r[1:]) for r in found.collect()) == want
     from tickflow.llm import exchange
-    parts = exchange.parts
-    monkeypatch.setattr(exchange, "parts", lambda docs: parts(docs, piece_bytes=700))
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 700)
     monkeypatch.setattr(exchange, "SHARD_ENTRIES", 50)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
     found = suffix_dedup.contract(suffix_dedup.repeated_strings(documents(rows, 5)))

@@ -22,7 +22,8 @@ from tickflow.runtime import written
 
 LENGTH = 50
 WIDTH = 32                # grams of LENGTH - WIDTH + 1 bytes in each window; a power of two
-BUCKET_BYTES = 2_000_000  # of text per bucket; contexts are a part of it, a few times over
+PIECE_BYTES = 1_500_000   # of text that a task holds the windows of at once
+BUCKET_BYTES = 1_250_000  # of text per bucket; contexts are a part of it, a few times over
 SHARD_BYTES = 250_000     # of contexts in one transform before merging
 END = 0xFF                # ends a context; no byte of UTF-8
 CONTEXTS = "bucket int, part int, piece int, n long, contexts binary"
@@ -57,10 +58,10 @@ class Transform:
             alone = new & np.append(new[1:], True)
             open_[place[alone]] = False
             depth *= 2
-        self.position = order
+        self.position = order.astype(np.int32)
         self.head = head[order]
-        at = np.empty(n, np.int64)
-        at[order] = np.arange(n)
+        at = np.empty(n, np.int32)
+        at[order] = np.arange(n, dtype=np.int32)
         self.before = text[order - 1]
         self.before[order == 0] = END
         self.longer = at[order - 1]
@@ -87,10 +88,10 @@ def repeated_intervals(shards: list[Transform], left: list[np.ndarray], length:
     """
     base = np.cumsum([0] + [len(s.position) for s in shards])
     before = np.concatenate([s.before for s in shards])
-    longer = np.concatenate([s.longer + b for s, b in zip(shards, base)])
+    longer = np.concatenate([s.longer + np.int32(b) for s, b in zip(shards, base)])
     head = np.concatenate([s.head for s in shards])
     room = np.concatenate([x[s.position] for s, x in zip(shards, left)])
-    member = np.flatnonzero(room >= 8)
+    member = np.flatnonzero(room >= 8).astype(np.int32)
     member = member[np.argsort(head[member], kind="stable")]      # sorted runs, merged by their first 8 bytes
     new = np.ones(len(member), bool)
     new[1:] = head[member[1:]] != head[member[:-1]]
@@ -119,8 +120,8 @@ def first_documents(texts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, len
     closed = np.full(len(texts) + len(lengths), END, np.uint8)
     starts = np.cumsum(lengths + 1) - lengths - 1
     closed[np.arange(len(texts)) + np.repeat(np.arange(len(lengths)), lengths)] = texts
-    context = np.repeat(np.arange(len(lengths)), lengths + 1)
-    left = starts[context] + lengths[context] - np.arange(len(closed))
+    context = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    left = ((starts + lengths).astype(np.int32)[context] - np.arange(len(closed), dtype=np.int32))
     windows = lengths - length + 1
     offset = np.cumsum(windows) - windows
     found = np.repeat(doc, windows)
@@ -156,7 +157,7 @@ class Contexts:
         sizes = np.diff(self.bounds)
         n = max(0, len(self.buf) - length + 1)
         whole = within(sizes, length)[:n]
-        document = np.repeat(np.arange(len(sizes)), sizes)[:n]
+        document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:n]
         start = np.flatnonzero(whole & (document < len(ids)))
         at = at[start] if n else at[:0]
         new = np.ones(len(start), bool)
@@ -262,7 +263,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, width: int = WIDTH)
     that repeat a doc_id don't make each other lose anything and each give a row; other columns are ignored;
     an empty table gives an empty result.
     """
-    found = exchange.parts(docs)
+    found = exchange.parts(docs, piece_bytes=PIECE_BYTES)
     table = found.table.select("part", "piece", "blob")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

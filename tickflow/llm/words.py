@@ -133,8 +133,9 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.ui
 
 def within(counts: np.ndarray, n: int) -> np.ndarray:
     """For every position of concatenated groups: whether a run of n from here stays in its group."""
-    left = np.repeat(np.cumsum(counts), counts) - np.arange(counts.sum())
-    return left >= n
+    total = int(counts.sum())
+    kind = np.int32 if total < 2**31 else np.int64
+    return np.repeat(np.cumsum(counts).astype(kind), counts) - np.arange(total, dtype=kind) >= n
 
 
 def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
