@@ -22,7 +22,7 @@ from tickflow.llm.words import slices
 from tickflow.runtime import new_path, written
 
 PIECE_BYTES = 2_500_000
-SHARD_ENTRIES = 2_000_000         # entries that one task compares at once, about
+SHARD_ENTRIES = 1_000_000         # entries that one task compares at once, about
 KEPT = 7                          # bytes of a hash that are sent; the shard number tells bits beyond them
 ENTRIES = "shard int, part int, piece int, n long, hashes binary, docs binary"
 ANSWERS = "part int, piece int, shard int, n long, bits binary"

@@ -82,3 +82,64 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return decontamination.contract(decontamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+# --- SQL of the operators that it can express ---------------------------------------------------
+
+ORACLES["op2_substring_dedup"] = r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (
+  select doc_id, p, array_to_string(ws[p:p + 12], ' ') as passage
+  from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as p from w where len(ws) >= 13)),
+hit as (
+  select doc_id, p from g join (select passage, min(doc_id) as first from g group by passage) using (passage)
+  where first < doc_id),
+gone as (select distinct doc_id, p + o as i from hit, generate_series(0, 12) t(o)),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as text from words anti join gone using (doc_id, i) group by doc_id),
+counts as (select doc_id, count(*) as n from gone group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from w left join counts using (doc_id) left join kept using (doc_id)"""
+
+ORACLES["op3_suffix_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+g as (
+  select doc_id, p, substr(h, 2 * p - 1, 100) as string
+  from (select doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) as p from d where length(h) >= 100)),
+hit as (
+  select doc_id, p from g join (select string, min(doc_id) as first from g group by string) using (string)
+  where first < doc_id),
+gone as (select distinct doc_id, p + o as i from hit, generate_series(0, 49) t(o)),
+bytes as (select doc_id, i, substr(h, 2 * i - 1, 2) as b
+          from (select doc_id, h, unnest(generate_series(1, length(h) // 2)) as i from d)),
+kept as (select doc_id, string_agg(b, '' order by i) as h from bytes anti join gone using (doc_id, i) group by doc_id),
+spans as (
+  select doc_id, count(*) as n, sum((before is distinct from i - 1)::int) as runs
+  from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from gone) group by doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed,
+       coalesce(runs, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, ''))) as kept_sha256
+from d left join spans using (doc_id) left join kept using (doc_id)"""
+
+_SPLIT = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLES["op10_decontamination"] = f"""
+with d as (select doc_id, {_SPLIT} as ws from documents),
+b as (select item_id, {_SPLIT} as ws from benchmark),
+items as (
+  select distinct item_id, n, array_to_string(ws[p:p + n - 1], ' ') as passage
+  from (select item_id, ws, least(10, len(ws)) as n, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) as p
+        from b where len(ws) > 0)),
+sizes as (select distinct n from items),
+windows as (
+  select doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') as passage
+  from (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as p from d, sizes where len(ws) >= n)),
+hit as (select doc_id, n, p, item_id from windows join items using (n, passage)),
+places as (select doc_id, count(distinct i) as n_hit
+           from (select doc_id, unnest(generate_series(p, p + n - 1)) as i from hit) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+          from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (doc_id) left join named using (doc_id)"""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tickflow.llm import exchange
 from tickflow.llm.exchange import Answers, Piece, pack, unpack
-from tickflow.llm.words import _BYTE, covered, run_bounds, run_hash, running, span_hash, string_buffer, within
+from tickflow.llm.words import _BYTE, covered, mix, run_bounds, run_hash, running, span_hash, string_buffer, within
 from tickflow.runtime import written
 
 LENGTH = 50
@@ -165,7 +165,8 @@ class Contexts:
         opens = np.flatnonzero(new)
         self.first = start[opens]
         self.last = start[np.append(opens[1:], len(start)) - 1] if len(start) else start
-        self.gram = value[self.first] if n else value[:0]
+        # mixed once more, as the smallest of many hashes would crowd the first shards and buckets
+        self.gram = mix(value[self.first] if n else value[:0])
         self.doc = document[self.first]
         self.doc_id = ids[self.doc]
         self.ends = self.last + length
@@ -206,24 +207,29 @@ def _sent(piece: Piece, found: Contexts, elsewhere: np.ndarray, buckets: int) ->
 
 def _judged(length: int):
     def judge(table: pa.Table) -> pa.Table:
-        parts = [unpack(c.as_py(), np.uint8, "<i4", "<i8") for c in table.column("contexts")]
-        texts = np.concatenate([p[0] for p in parts])
-        sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        doc = np.concatenate([p[2] for p in parts])
-        ends = np.cumsum(sizes)
-        content = span_hash(running(_BYTE[texts]), ends - sizes, ends)
-        order = np.lexsort((doc, content))           # equal contexts are indexed once, under their first document
-        new = np.ones(len(order), bool)
-        new[1:] = content[order[1:]] != content[order[:-1]]
-        heads = order[new]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        least = first_documents(texts[ranges(ends[heads] - sizes[heads], sizes[heads])], sizes[heads], doc[heads], length)
-        windows = sizes[heads] - length + 1
-        offset = np.cumsum(windows) - windows
-        later = least[ranges(offset[which], windows[which])] < np.repeat(doc, windows[which])
-        cuts = np.cumsum([int((p[1] - length + 1).sum()) for p in parts])
-        bits = np.split(later, cuts[:-1])
+        # equal contexts are indexed once: only new ones are kept as the pieces' rows are opened
+        number: dict[int, int] = {}
+        texts, heads, which, sizes, doc = [], [], [], [], []
+        for row in table.column("contexts"):
+            text, size, own = unpack(row.as_py(), np.uint8, "<i4", "<i8")
+            size = size.astype(np.int64)
+            ends = np.cumsum(size)
+            content = span_hash(running(_BYTE[text]), ends - size, ends).tolist()
+            known = len(number)
+            which.append(np.array([number.setdefault(c, len(number)) for c in content], np.int64))
+            new = np.flatnonzero(which[-1] >= known)
+            new = new[np.unique(which[-1][new], return_index=True)[1]]
+            texts.append(text[ranges(ends[new] - size[new], size[new])])
+            heads.append(size[new])
+            sizes.append(size)
+            doc.append(own)
+        heads = np.concatenate(heads)
+        first = np.full(len(heads), np.iinfo(np.int64).max)
+        np.minimum.at(first, np.concatenate(which), np.concatenate(doc))
+        least = first_documents(np.concatenate(texts), heads, first, length)
+        offset = np.cumsum(heads - length + 1) - (heads - length + 1)
+        bits = [least[ranges(offset[k], n - length + 1)] < np.repeat(d, n - length + 1)
+                for k, n, d in zip(which, sizes, doc)]
         return pa.table({"part": table.column("part"), "piece": table.column("piece"),
                          "shard": table.column("bucket"), "n": pa.array([len(b) for b in bits], pa.int64()),
                          "bits": pa.array([pack(np.packbits(b)) for b in bits], pa.binary())})

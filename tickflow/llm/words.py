@@ -13,6 +13,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
+
+
+def return_memory() -> None:
+    """Have freed arrays go back to the system: a worker lives through many stages, and by default the
+    allocators keep the most that any of them needed."""
+    import ctypes
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):                     # the GNU library only
+        libc.mallopt(-3, 1 << 20)                    # M_MMAP_THRESHOLD: own mappings from 1 MB on
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+return_memory()
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
