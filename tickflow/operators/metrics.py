@@ -147,11 +147,11 @@ def random_baselines(df: DataFrame, y: str = "y", trials: int = 20, seed: int =
     """Mean and maximum of each metric over random scorers, at 0.5 and at 1 - positive rate."""
     rate = df.agg(F.avg(y).alias("r")).first()["r"]
     # the score is a function of the key, so it is the same whenever a row is computed again
+    digits = F.substring(F.md5(F.concat_ws("|", "date_trd", "trd_id", "trial", F.lit(seed)).cast("binary")), 1, 13)
     scored = df.select(
         y, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"),
         "date_trd", "trd_id").select(
-        y, "trial", (F.pmod(F.xxhash64("date_trd", "trd_id", "trial", F.lit(seed)), F.lit(1 << 30))
-                     / float(1 << 30)).alias("prob"))
+        y, "trial", (F.conv(digits, 16, 10).cast("long") / float(1 << 52)).alias("prob"))
     areas = auc(scored, y, "prob", by=["trial"])
     both = scored.select(y, "trial", "prob", F.explode(F.array(
         F.lit(0.5), F.lit(1.0 - rate))).alias("th"))

@@ -1,15 +1,14 @@
-"""Exact k nearest neighbours without comparing all pairs where geometry allows it.
+"""Exact k nearest neighbours: even blocks of training rows meet even batches of queries.
 
-Training rows are range-partitioned along one coordinate into even blocks. A query first
-meets its own block, which bounds the distance r of its k-th neighbour; a block whose
-coordinate range is further than r away cannot hold a neighbour and is not visited. Each
-meeting of a block with a batch of queries is one grouped Arrow task that returns k rows
-per query. Distances without such a bound visit every block.
+In the tens of dimensions that are used here no bound on single coordinates keeps a query from a block, so
+every query meets every block. A meeting is one grouped task with a fixed amount of work space that returns
+k rows per query; rows and queries are spread by a hash of their id, so repeated vectors don't gather.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -19,106 +18,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickflow.order import ranged
-from tickflow.runtime import written
-
 BLOCK_ROWS = 8192
+# distances of one step of a meeting (8 bytes each, up to four such arrays)
+WORK_CELLS = 1 << 20
 
 # the grouped functions travel with the job, so the workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "braycurtis":
-        total = np.abs(a[:, None, :] + b[None, :, :]).sum(axis=2)
-        apart = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
-        return np.divide(apart, total, out=np.zeros_like(apart), where=total != 0)
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    """Distances of few vectors to each other, in place by coordinate: (len(a), len(b))."""
+    apart, total = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)) if metric == "braycurtis" else (0, 0))
+    for k in range(a.shape[1]):
+        if metric == "braycurtis":
+            total += np.abs(a[:, k, None] + b[:, k])
+            apart += np.abs(a[:, k, None] - b[:, k])
+        else:
+            apart += (a[:, k, None] - b[:, k]) ** 2
+    if metric != "braycurtis":
+        return np.sqrt(apart)
+    return np.divide(apart, total, out=np.zeros_like(apart), where=total != 0)
+
+
+def _closest(d: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Columns of the k smallest of each row of d, ties by id."""
+    if d.shape[1] > k:
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+    else:
+        limit = d.max(axis=1)
+    for row, most in zip(d, limit):
+        near = np.flatnonzero(row <= most)
+        yield near[np.lexsort((ids[near], row[near]))[:k]]
 
 
-def _nearest(k: int, metric: str, chunk: int = 128):
+def _nearest(k: int, metric: str):
     """Grouped function: the k nearest rows of one training block for a batch of queries."""
     def run(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or train.empty:
             return pd.DataFrame({"q": [], "t": [], "d": [], "y": []})
-        t = np.stack(train["_v"].to_numpy()).astype(float)
-        ids, ys = train["t"].to_numpy(), train["y"].to_numpy()
-        out = []
-        for start in range(0, len(queries), chunk):
-            part = queries.iloc[start:start + chunk]
-            d = _distances(np.stack(part["_v"].to_numpy()).astype(float), t, metric)
-            for row, q in enumerate(part["q"].to_numpy()):
-                order = np.lexsort((ids, d[row]))[:k]
-                out.append(pd.DataFrame({"q": q, "t": ids[order], "d": d[row][order], "y": ys[order]}))
-        return pd.concat(out)
+        t, asked = (np.stack(frame["_v"].to_numpy()).astype(float) for frame in (train, queries))
+        ids, ys, names = train["t"].to_numpy(), train["y"].to_numpy(), queries["q"].to_numpy()
+        found, far, count = [], [], []
+        step = max(1, WORK_CELLS // len(t))
+        for start in range(0, len(asked), step):
+            d = _distances(asked[start:start + step], t, metric)
+            for row, near in zip(d, _closest(d, ids, k)):
+                found.append(near)
+                far.append(row[near])
+                count.append(len(near))
+        at = np.concatenate(found)
+        return pd.DataFrame({"q": np.repeat(names, count), "t": ids[at], "d": np.concatenate(far), "y": ys[at]})
     return run
 
 
-def _meet(queries: DataFrame, train: DataFrame, k: int, metric: str, batch: int) -> DataFrame:
-    """k candidates per (query, block); ``queries`` has _rp, a block visited by the query.
-
-    Many queries may visit one block: they are split into batches of bounded size and the
-    block is copied once per batch.
-    """
-    load = queries.groupBy("_rp").agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("_s"))
-    load = written(load, "load")
-    q = (queries.join(F.broadcast(load), "_rp")
-         .selectExpr("_rp as qr", "cast(pmod(xxhash64(q), _s) as int) as qs", "q", "_v"))
-    t = (train.join(F.broadcast(load), "_rp")
-         .selectExpr("_rp as tr", "explode(sequence(0, _s - 1)) as ts", "t", "_v", "y"))
-    id_type = dict(train.dtypes)["t"]
-    return (q.groupBy("qr", "qs").cogroup(t.groupBy("tr", "ts"))
-            .applyInPandas(_nearest(k, metric),
-                           f"q {dict(queries.dtypes)['q']}, t {id_type}, d double, y double"))
-
-
-def _top(candidates: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("q").orderBy("d", "t")
-    return candidates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-
-
 def nearest(train: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, y: str,
             metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q, t, d, y): the k nearest training rows of each query, ties by id."""
     source = train.select(F.col(id_col).alias("t"), F.col(vector).cast("array<double>").alias("_v"),
                           F.col(y).cast("double").alias("y"))
-    axis = _widest_axis(source)
-    placed = source.withColumn("_x", F.col("_v")[axis])
-    blocks = ranged(placed, "_x", "t", partitions=max(1, ceil(placed.count() / block_rows)))
-    # one row per block
-    limits = (blocks.groupBy("_rp").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-              .orderBy("_rp").toPandas())
-    lows, highs, numbers = (limits[c].to_numpy() for c in ("lo", "hi", "_rp"))
     asked = queries.select(F.col(id_col).alias("q"), F.col(vector).cast("array<double>").alias("_v"))
+    blocks, batches = (max(1, ceil(frame.count() / block_rows)) for frame in (source, asked))
 
-    @F.pandas_udf("int")
-    def own_block(x: pd.Series) -> pd.Series:
-        return pd.Series(numbers[np.clip(np.searchsorted(lows, x, side="right") - 1, 0, len(lows) - 1)])
-
-    @F.pandas_udf("array<int>")
-    def reachable(x: pd.Series, r: pd.Series, own: pd.Series) -> pd.Series:
-        first = np.searchsorted(highs, x - r, side="left")
-        last = np.searchsorted(lows, x + r, side="right")
-        return pd.Series([[int(n) for n in numbers[a:b] if n != o] for a, b, o in zip(first, last, own)])
-
-    home = written(asked.withColumn("_rp", own_block(F.col("_v")[axis])), "queries")
-    near = written(_meet(home, blocks, k, metric, block_rows), "near")
-    bound = near.groupBy("q").agg(F.max("d").alias("_r"), F.count(F.lit(1)).alias("_n"))
-    # fewer than k rows in the own block, or a distance without bound: every block counts
-    radius = F.when((F.col("_n") < k) | F.lit(metric != "euclidean"), float("inf")).otherwise(
-        F.col("_r") * (1 + 1e-9))
-    further = (home.join(bound, "q")
-               .withColumn("_own", F.col("_rp"))
-               .withColumn("_rp", F.explode(reachable(F.col("_v")[axis], radius, F.col("_own"))))
-               .select("q", "_v", "_rp"))
-    return _top(near.unionByName(_meet(further, blocks, k, metric, block_rows)), k)
-
-
-def _widest_axis(source: DataFrame) -> int:
-    """Coordinate with the largest spread."""
-    spread = (source.select(F.posexplode("_v").alias("p", "x")).groupBy("p")
-              .agg(F.stddev_pop("x").alias("s")).orderBy(F.desc("s"), "p").first())
-    return spread["p"]
+    def spread(frame: DataFrame, name: str, own: str, parts: int, other: str, meetings: int) -> DataFrame:
+        return (frame.withColumn(own, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(meetings - 1)))))
+
+    t = spread(source, "t", "_block", blocks, "_batch", batches)
+    q = spread(asked, "q", "_batch", batches, "_block", blocks)
+    kinds = dict(asked.dtypes)["q"], dict(source.dtypes)["t"]
+    met = (q.groupBy("_block", "_batch").cogroup(t.groupBy("_block", "_batch"))
+           .applyInPandas(_nearest(k, metric), f"q {kinds[0]}, t {kinds[1]}, d double, y double"))
+    w = W.partitionBy("q").orderBy("d", "t")
+    return met.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def knn_score(train: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, y: str,

@@ -150,9 +150,20 @@ def baseline_const(spark, sf):
     return round_doubles(metrics.constant_baselines(ticks(spark, sf), "hit"))
 
 
-@query("baseline_random")
+@query("baseline_random", sql(
+    "select " + r6("th", "th") + ", " + ", ".join(r6(f"{f}({m})", f"{n}_{m}") for f, n in (("avg", "mean"), ("max", "max"))
+                                                   for m in ("auc", "f1", "fbeta")) + " from measured group by th",
+    "drawn as (select hit, trial, ('0x' || substr(md5(date_trd || '|' || trd_id || '|' || trial || '|0'), 1, 13))::bigint "
+    "/ 4503599627370496.0::double as prob from ticks, generate_series(0, 19) as g(trial))",
+    "placed as (select *, rank() over (partition by trial order by prob) as place from drawn)",
+    "areas as (select trial, (sum(place) filter (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) "
+    "/ (sum(hit)::double * sum(1 - hit)) as auc from placed group by trial)",
+    "limits as (select 0.5::double as th union all select 1 - avg(hit) from ticks)",
+    "cells as (select trial, th, " + CELLS.format(y="hit") + " from (select *, (prob > th)::bigint as yhat from drawn, limits) "
+    "group by trial, th)",
+    f"measured as (select th, auc, {f_sql(1.0)} as f1, {f_sql(0.4)} as fbeta from cells join areas using (trial))"))
 def baseline_random(spark, sf):
-    return metrics.random_baselines(ticks(spark, sf), "hit")
+    return round_doubles(metrics.random_baselines(ticks(spark, sf), "hit"))
 
 
 @query("cv_estimate", sql(
