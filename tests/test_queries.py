@@ -23,6 +23,24 @@ def test_query_equals_sql(spark, con, name):
     assert ok, text
 
 
+LLM = {"pipeline"} | {n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()}
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - LLM))
+def test_query_without_sql(spark, name):
+    """Learned results: rows are there, scores are probabilities, and they beat chance where the target is known."""
+    rows = entry.queries()[name](spark, SMALL).toPandas()
+    assert len(rows)
+    if "prob" in rows:
+        assert rows["prob"].dropna().between(0, 1).all()
+    if {"y", "prob"} <= set(rows):
+        order = rows["prob"].rank()
+        n, p = len(rows), rows["y"].sum()
+        assert (order[rows["y"] == 1].sum() - p * (p + 1) / 2) / (p * (n - p)) > 0.4
+    if "importance" in rows:
+        assert rows["importance"].notna().all()
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(TABLES) == 14 and duckdb.__version__

@@ -52,3 +52,21 @@ def test_csv_overwrite_and_append(spark, tmp_path):
     for _ in range(3):
         files.write_csv(one, runs, "append", header=False)
     assert spark.read.csv(runs).count() == 3
+
+
+def test_a_rewritten_source_is_read_again(spark, tmp_path):
+    from tickflow.plans.ticks import ticks
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events.parquet")
+    events.limit(100).write.parquet(path)
+    first = ticks(spark, str(tmp_path)).count()
+    events.limit(150).write.mode("overwrite").parquet(path)
+    assert (first, ticks(spark, str(tmp_path)).count()) == (100, 150)
+
+
+def test_broadcast_is_decided_by_bytes_too(spark):
+    from tickflow.runtime import sized, stored_bytes
+    table = spark.range(1000)
+    stored, small = sized(table)
+    assert small and 0 < stored_bytes(stored) < 1 << 20
+    assert not sized(table, max_bytes=10)[1] and not sized(table, max_rows=10)[1]

@@ -66,7 +66,7 @@ SIDE_COLUMNS = [
     "depth_bid7", "depth_ask7",
 ]
 
-# Columns over the current run only; the first fourteen are the one-sided ones.
+# Columns over the current run only, in two lists: one-sided ones and others.
 AUX_SIDE_COLUMNS = [
     "big_c_aux", "big_v_aux", "aggpior_c_aux", "aggpior_v_aux", "loc_aggbig_c_m_aux",
     "loc_aggbig_v_m_aux", "pagg_c_best_aux", "pagg_c_best_0p5_aux", "pagg_c_best_0p7_aux",

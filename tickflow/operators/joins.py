@@ -43,12 +43,6 @@ def side_by_side(rankings: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "position", "full"), rankings)
 
 
-def positions(ranking: DataFrame, by: str, name: str) -> DataFrame:
-    """Position of each row of a ranking (one row per feature), largest first."""
-    w = W.orderBy(F.col(by).desc(), F.col(name).asc())
-    return ranking.withColumn("position", F.row_number().over(w))
-
-
 def asof_forward(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str,
                  carried: Sequence[str], order: Order = DAY_ORDER) -> DataFrame:
     """For each left row and each carried column: its first non-null value on the right at

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickflow.functions.scalars import above
 from tickflow.order import cumulative
 
-# objective, step and first threshold of the sweeps in use; the first one is the default
+# objective, beta and step of the sweeps in use; the first one is the default
 SWEEPS = [("fbeta", 0.4, 0.01), ("fbeta", 1.0, 0.1), ("ap", None, 0.1), ("fbeta", 0.5, 0.1),
           ("fbeta", 0.3, 0.1), ("fbeta", 0.3, 0.025), ("fbeta", 0.5, 0.01)]
 

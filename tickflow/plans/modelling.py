@@ -13,7 +13,7 @@ from tickflow.plans.preparation import binned_sql, edges_sql
 from tickflow.plans.registry import query, r6, r6s, sql
 from tickflow.plans.ticks import RAW_FEATURES, ticks
 from tickflow.plans.windows import tagged
-from tickflow.runtime import written
+from tickflow.runtime import state_of, written
 
 FEATURES = ["f_" + c for c in RAW_FEATURES]
 COLUMNS = [*FEATURES, "prob"]
@@ -26,7 +26,7 @@ _frames: dict = {}
 
 def model_frame(spark, sf):
     """(train, test): normalised features and target, normalisation fitted on the training rows."""
-    slot = (spark.sparkContext.applicationId, sf)
+    slot = (spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/events.parquet"))
     if slot not in _frames:
         raw = tagged(spark, sf, features=True).select(
             "date_trd", "trd_id", "model", F.col("hit").alias("y"),

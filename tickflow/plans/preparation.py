@@ -15,7 +15,7 @@ from tickflow.plans.registry import query, r6, r6s, sql
 from tickflow.plans.ticks import RAW_FEATURES, ticks
 from tickflow.plans.windows import (DIF_ALL, FEATURE_SQL, FIRST_UPDATE, STRIPPED_ALL, UPDATES_SQL,
                                     tagged)
-from tickflow.runtime import written
+from tickflow.runtime import state_of, written
 
 _frames: dict = {}
 
@@ -238,7 +238,7 @@ def feature_frame(spark, sf):
     Rounded to 9 digits, so that values that are equal on paper stay equal and fall into
     the same bin whatever the order in which a mean was summed.
     """
-    slot = (spark.sparkContext.applicationId, sf)
+    slot = (spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/events.parquet"))
     if slot not in _frames:
         trades = tagged(spark, sf, features=True).withColumnRenamed("hit", "f_y")
         matrix = regimes.feature_matrix(basic_features(trades))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tickflow import constants as C
 from tickflow.order import (DAY_ORDER, Order, dense_position, previous_row, running_group_max,
                             running_sum)
-from tickflow.runtime import attach, written
+from tickflow.runtime import attach, state_of, written
 
-_built: dict[tuple[str, str], DataFrame] = {}
+_built: dict[tuple, DataFrame] = {}
 
 # Arrive in the input and feed the engineered features.
 _SPECIAL = {
@@ -127,7 +127,7 @@ def ticks(spark: SparkSession, sf_dir: str, features: bool = False) -> DataFrame
 
     ``features`` keeps the raw ``f_*`` columns; scans read only the columns in use.
     """
-    slot = (spark.sparkContext.applicationId, sf_dir)
+    slot = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/events.parquet"))
     if slot not in _built:
         core = build_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
         _built[slot] = written(with_raw_features(core), "ticks")

@@ -51,6 +51,21 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """When the files of a table were last written and how much they hold; a rewritten table has another state."""
+    found = (spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_modification_time",
+                                             "_metadata.file_size").distinct()
+             .agg(F.count(F.lit(1)), F.max("file_modification_time"), F.sum("file_size")).first())
+    return tuple(found)
+
+
+def remove_stage_tables(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; its lazy results can't be read after."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
