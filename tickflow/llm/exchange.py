@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.words import slices
-from tickflow.runtime import new_path, written
+from tickflow.llm.words import return_memory, slices
+from tickflow.runtime import new_path
 
 PIECE_BYTES = 2_500_000
 SHARD_ENTRIES = 1_000_000         # entries that one task compares at once, about
@@ -141,6 +141,7 @@ def entry_batches(rows: Iterator[tuple], size: int = 8_000_000) -> Iterator[pa.R
             held, total = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+    return_memory()
 
 
 def shard_count(total: int) -> int:
@@ -169,6 +170,7 @@ def recurring(sent: DataFrame, later: bool) -> DataFrame:
         else:
             found[order] = np.repeat(np.maximum.reduceat(doc[order], starts) > least, lengths)
         bits = [pack(np.packbits(x)) for x in np.split(found, np.cumsum(counts)[:-1])]
+        return_memory()
         return pa.table({"part": table.column("part"), "piece": table.column("piece"), "shard": table.column("shard"),
                          "n": table.column("n"), "bits": pa.array(bits, pa.binary())})
 
@@ -220,10 +222,8 @@ def with_answers(found: Parts, answers: DataFrame, run: Callable[[Iterator[Piece
                  schema: str) -> DataFrame:
     """One call per writing task with its pieces and its answers; the pieces are not shuffled."""
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(pieces_of(left), right)
+        out = run(pieces_of(left), right)
+        return_memory()
+        return out
 
     return found.table.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(both, schema)
-
-
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    return written(rows, label)

@@ -22,8 +22,8 @@ from tickflow.runtime import written
 
 LENGTH = 50
 WIDTH = 32                # grams of LENGTH - WIDTH + 1 bytes in each window; a power of two
-PIECE_BYTES = 1_500_000   # of text that a task holds the windows of at once
-BUCKET_BYTES = 1_250_000  # of text per bucket; contexts are a part of it, a few times over
+PIECE_BYTES = 2_000_000   # of text that a task holds the windows of at once
+BUCKET_BYTES = 2_500_000  # of text per bucket; contexts are a part of it, a few times over
 SHARD_BYTES = 250_000     # of contexts in one transform before merging
 END = 0xFF                # ends a context; no byte of UTF-8
 CONTEXTS = "bucket int, part int, piece int, n long, contexts binary"
@@ -147,26 +147,28 @@ class Contexts:
         ids = piece.ids()
         sums = running(_BYTE[self.buf])
         value = run_hash(_BYTE[self.buf], length - width + 1)
-        at = np.arange(len(value), dtype=np.int32)
+        # upper half of the hash, then the place: the smallest is the gram, the leftmost among equals
+        place = np.uint64(0xFFFFFFFF)
+        least = (value & ~place) | np.arange(len(value), dtype=np.uint64)
         step = 1
-        while step < width and len(value) > step:    # smallest of 2, 4, ... grams; the leftmost among equals
-            less = value[step:] < value[:-step]
-            value = np.where(less, value[step:], value[:-step])
-            at = np.where(less, at[step:], at[:-step])
+        while step < width and len(least) > step:    # of 2, 4, ... grams
+            least = np.minimum(least[step:], least[:-step])
             step *= 2
+        at = (least & place).astype(np.int64)
         sizes = np.diff(self.bounds)
         n = max(0, len(self.buf) - length + 1)
         whole = within(sizes, length)[:n]
         document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:n]
         start = np.flatnonzero(whole & (document < len(ids)))
         at = at[start] if n else at[:0]
+        gram = value[at]
         new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
         opens = np.flatnonzero(new)
         self.first = start[opens]
         self.last = start[np.append(opens[1:], len(start)) - 1] if len(start) else start
         # mixed once more, as the smallest of many hashes would crowd the first shards and buckets
-        self.gram = mix(value[self.first] if n else value[:0])
+        self.gram = mix(gram[opens])
         self.doc = document[self.first]
         self.doc_id = ids[self.doc]
         self.ends = self.last + length

@@ -6,6 +6,7 @@ polynomial hashes, read off one running sum per slice, so every span costs the s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,17 +16,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2_000_000
 
 
+pa.set_memory_pool(pa.system_memory_pool())
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):                        # the GNU library only
+    _LIBC.mallopt(-3, 1 << 25)                       # M_MMAP_THRESHOLD and
+    _LIBC.mallopt(-1, 1 << 28)                       # M_TRIM_THRESHOLD: large arrays are used again within a task
+
+
 def return_memory() -> None:
-    """Have freed arrays go back to the system: a worker lives through many stages, and by default the
-    allocators keep the most that any of them needed."""
-    import ctypes
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "mallopt"):                     # the GNU library only
-        libc.mallopt(-3, 1 << 20)                    # M_MMAP_THRESHOLD: own mappings from 1 MB on
-    pa.set_memory_pool(pa.system_memory_pool())
+    """Give freed memory back to the system at the end of a task: a worker lives through many stages, and by
+    default it keeps the most that any of them needed."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
-return_memory()
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
