@@ -8,7 +8,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickflow.llm.links import components
@@ -20,6 +20,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3       # a pair at the threshold shares no band with a chance of 2 in 10,000
 COUNTERS = 1 << 20        # document frequencies are kept in so many counters, whatever the corpus
 BLOCK = 1 << 14
+NEAR = 3                  # neighbours in sample order that a text of a split bucket is held against
 IDF = 0.5                 # the rarest shingle weighs 1 + IDF, one that every document has weighs 1
 _CELLS = 1 << 16
 
@@ -189,10 +190,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Texts are their lower-cased words. Documents with the same words are one node from the start, however
     many they are. A node's shingles (five words; all words of a shorter text) weigh their count times a
     mild inverse document frequency; 36 consistent weighted samples in 12 bands propose links. In every
-    band bucket each node is first held against the bucket's smallest node. Where verified links (weighted
-    Jaccard similarity of whole texts) leave a bucket in several classes, the members of all but its largest
-    class are held against the members of the other classes, so no proposed link between classes is lost
-    and a bucket of copies costs one comparison each. Classes are the connected components.
+    band bucket each node is held against the bucket's smallest node. Where verified links (weighted Jaccard
+    similarity of whole texts) leave a bucket in several classes, its members are also held against their
+    neighbours in the order of their samples, so work stays linear in a bucket's size whatever it holds.
+    Classes are the connected components.
 
     Texts without words (NULL, empty, signs only) are one class. Rows without a doc_id are left out; rows that
     repeat a doc_id are one document, in the class of the smallest id that any of its texts reaches; an empty
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     proposed = members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     links = written(_verified(proposed, texts, shared, similarity), "links")
-    further = written(_contested(members, nodes, components(links), similarity), "contested")
+    further = written(_contested(members, nodes, components(links)), "contested")
     more = _verified(further, texts, shared, similarity)
     links = written(links.unionByName(more), "links")
     found = components(links)
@@ -246,23 +247,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, least: floa
         _verifier(shared, least), PAIR)
 
 
-def _contested(members: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one bucket whose classes differ after the first links, but for pairs within its largest
-    class. Pairs whose samples agree too seldom for the similarity asked for (by five standard deviations)
-    are not worth a look."""
+def _contested(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket whose classes differ after the first links: neighbours in the order of their
+    samples from the band's place on, up to NEAR places apart.
+
+    Texts that are alike agree in most samples, so they stand close together in one of twelve such orders; a
+    bucket of many texts that share a passage costs a few comparisons for each, not one for each pair. The order
+    is a range partitioning, so a hot bucket is spread over many tasks; its boundaries part neighbours of one
+    order only.
+    """
     own = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("component"), "centre")
-    sizes = own.groupBy("band", "component").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
-                                      F.count("*").alias("classes")).where("classes > 1")
-    mixed = written(own.join(split, "band").join(nodes.select("key", "samples"), "key"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    total = BANDS * ROWS
-    least = int(similarity * total - 5 * (similarity * (1 - similarity) * total) ** 0.5)
-    agree = F.expr("size(filter(zip_with(x.samples, y.samples, (s, t) -> s = t), e -> e))")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("x.largest"))
-                   & (F.col("x.component") != F.col("y.component"))
-                   & (F.col("x.key") != F.col("x.centre")) & (F.col("y.key") != F.col("y.centre"))
-                   & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.key") < F.col("y.key")))
-                   & (agree >= max(least, 1)))
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        "band", "key", F.coalesce("component", "key").alias("component"))
+    split = (own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low <> high").select("band"))
+    mixed = own.join(split, "band").join(nodes.select("key", "samples", "bands"), "key")
+    place = F.array_position("bands", F.col("band")).cast("int")
+    turned = F.concat(F.expr(f"slice(samples, {ROWS} * at + 1, {BANDS * ROWS})"), F.expr(f"slice(samples, 1, {ROWS} * at)"))
+    ordered = (mixed.withColumn("at", place).withColumn("turned", turned)
+               .select("band", "turned", "key", "component").repartitionByRange("band", "turned", "key"))
+    ordered = written(ordered.withColumn("task", F.spark_partition_id()), "ordered")
+    order = Window.partitionBy("task").orderBy("band", "turned", "key")
+    pairs = ordered.select("band", "key", "component", *[
+        F.lag(F.struct("band", "key", "component"), k).over(order).alias(f"back{k}") for k in range(1, NEAR + 1)])
+    near = pairs.select("band", "key", "component", F.explode(F.array(*[f"back{k}" for k in range(1, NEAR + 1)])).alias("o"))
+    return (near.where((F.col("o.band") == F.col("band")) & (F.col("o.component") != F.col("component")))
+            .select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct())
