@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -274,3 +275,27 @@ def test_samples_agree_as_often_as_texts_are_similar():
         x, y = sampler.samples(s)
         agree.append(np.mean(x == y))
     assert abs(np.mean(agree) - similarity) < 0.06
+
+
+def test_near_duplicates_in_buckets_that_share_a_passage(spark, documents):
+    """A thousand texts share a passage, so they meet in hot buckets; every alike pair with a common band is linked."""
+    import pyarrow as pa
+    rng = random.Random(23)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, rows = words(100), []
+    for k in range(500):
+        own = words(12)
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + own[:-8] + words(8)))]
+    docs = documents(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+
+    sampler = near_dedup.Sampler(*near_dedup.frequencies(docs))
+    texts = pa.array([t for _, t in rows])
+    samples = sampler.samples(near_dedup.Shingles(texts))
+    bands = samples.reshape(len(rows) // 2, 2, near_dedup.BANDS, near_dedup.ROWS)
+    shared = (bands[:, 0] == bands[:, 1]).all(axis=2).any(axis=1)
+    even = np.arange(0, len(rows), 2)
+    alike = near_dedup.similarities(sampler, texts.take(pa.array(even)), texts.take(pa.array(even + 1)))
+    pairs = [int(i) for i in even[shared & (alike >= near_dedup.SIMILARITY)]]
+    assert len(pairs) > 300 and len(set(got.values())) > 400      # the passage alone links nobody
+    assert [i for i in pairs if got[i] != got[i + 1]] == []

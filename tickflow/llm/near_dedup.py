@@ -8,7 +8,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm.links import components
@@ -20,11 +20,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3       # a pair at the threshold shares no band with a chance of 2 in 10,000
 COUNTERS = 1 << 20        # document frequencies are kept in so many counters, whatever the corpus
 BLOCK = 1 << 14
-NEAR = 3                  # neighbours in sample order that a text of a split bucket is held against
+SALT_ROWS = 1 << 9        # texts with one prefix shingle that are held against each other in one group
+ROUNDING = 1e-6           # bounds are lowered by this share, so rounded sums never leave a pair out
 IDF = 0.5                 # the rarest shingle weighs 1 + IDF, one that every document has weighs 1
 _CELLS = 1 << 16
 
 SKETCH = "doc_id long, key binary, samples array<long>"
+PREFIX = "key binary, total double, shingle long, rest double"
 PAIR = "a binary, b binary, similarity double"
 
 
@@ -79,6 +81,22 @@ class Sampler:
     def weights(self, s: Shingles) -> np.ndarray:
         return s.count.astype(np.float32) * self.weight[(s.value & np.uint64(COUNTERS - 1)).astype(np.int64)]
 
+    def prefixes(self, s: Shingles, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rarest shingles of each text: text number, hash, weight of the text, weight from the shingle on.
+
+        Shingles stand in the order of their unit weight, then of their hash, which is the same in all texts;
+        listed are those from which on a text has at least the share `least` of its weight.
+        """
+        unit = self.weight[(s.value & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        order = np.lexsort((s.value, -unit, s.text))
+        weight = self.weights(s).astype(np.float64)[order]
+        text, value = s.text[order], s.value[order]
+        total = np.bincount(text, weight, minlength=len(s.bounds) - 1)
+        sums = np.concatenate(([0.0], np.cumsum(weight)))
+        rest = total[text] - (sums[:-1] - sums[s.bounds[:-1]][text])
+        keep = np.flatnonzero(rest >= least * (1 - ROUNDING) * total[text])
+        return text[keep], value[keep], total[text[keep]], rest[keep]
+
     def samples(self, s: Shingles) -> np.ndarray:
         """One row per text that has shingles; a sample is the same in two texts with the probability of
         their weighted Jaccard similarity."""
@@ -191,9 +209,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     many they are. A node's shingles (five words; all words of a shorter text) weigh their count times a
     mild inverse document frequency; 36 consistent weighted samples in 12 bands propose links. In every
     band bucket each node is held against the bucket's smallest node. Where verified links (weighted Jaccard
-    similarity of whole texts) leave a bucket in several classes, its members are also held against their
-    neighbours in the order of their samples, so work stays linear in a bucket's size whatever it holds.
-    Classes are the connected components.
+    similarity of whole texts) leave a bucket in several classes, all pairs of texts of such buckets that are of
+    different classes are either excluded by a bound on their rarest shingles or verified too, so every proposed
+    pair that is alike is in one class. Classes are the connected components.
 
     Texts without words (NULL, empty, signs only) are one class. Rows without a doc_id are left out; rows that
     repeat a doc_id are one document, in the class of the smallest id that any of its texts reaches; an empty
@@ -218,7 +236,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     proposed = members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     links = written(_verified(proposed, texts, shared, similarity), "links")
-    further = written(_contested(members, nodes, components(links)), "contested")
+    further = written(_contested(members, texts, components(links), shared, similarity), "contested")
     more = _verified(further, texts, shared, similarity)
     links = written(links.unionByName(more), "links")
     found = components(links)
@@ -247,28 +265,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, least: floa
         _verifier(shared, least), PAIR)
 
 
-def _contested(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket whose classes differ after the first links: neighbours in the order of their
-    samples from the band's place on, up to NEAR places apart.
+def _prefixer(shared: Broadcast, least: float):
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s = Shingles(batch.column("text"))
+            text, value, total, rest = shared.value.prefixes(s, least)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(text)), pa.array(total, pa.float64()),
+                 pa.array(value.view(np.int64), pa.int64()), pa.array(rest, pa.float64())],
+                ["key", "total", "shingle", "rest"])
+    return prefix
+
+
+def _contested(members: DataFrame, texts: DataFrame, found: DataFrame, shared: Broadcast, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of split buckets, of different classes, that no bound keeps below the similarity.
 
-    Texts that are alike agree in most samples, so they stand close together in one of twelve such orders; a
-    bucket of many texts that share a passage costs a few comparisons for each, not one for each pair. The order
-    is a range partitioning, so a hot bucket is spread over many tasks; its boundaries part neighbours of one
-    order only.
+    The rarest shingles of a text that make up a share of 1 - similarity of its weight are its prefix. Of two
+    texts that are alike, the first shingle in common (in order of weight) lies in the prefix of the heavier one
+    and in the rarest 1 - 2 similarity / (1 + similarity) of the lighter one, and what either has from there on
+    is enough for the similarity. Pairs without such a shingle are left out for certain, all others are listed;
+    a passage that thousands share is in no prefix of texts that have enough rare shingles besides.
+    Shingles that many texts have are dealt over SALT_ROWS rows each.
     """
     own = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "band", "key", F.coalesce("component", "key").alias("component"))
     split = (own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("band"))
-    mixed = own.join(split, "band").join(nodes.select("key", "samples", "bands"), "key")
-    place = F.array_position("bands", F.col("band")).cast("int")
-    turned = F.concat(F.expr(f"slice(samples, {ROWS} * at + 1, {BANDS * ROWS})"), F.expr(f"slice(samples, 1, {ROWS} * at)"))
-    ordered = (mixed.withColumn("at", place).withColumn("turned", turned)
-               .select("band", "turned", "key", "component").repartitionByRange("band", "turned", "key"))
-    ordered = written(ordered.withColumn("task", F.spark_partition_id()), "ordered")
-    order = Window.partitionBy("task").orderBy("band", "turned", "key")
-    pairs = ordered.select("band", "key", "component", *[
-        F.lag(F.struct("band", "key", "component"), k).over(order).alias(f"back{k}") for k in range(1, NEAR + 1)])
-    near = pairs.select("band", "key", "component", F.explode(F.array(*[f"back{k}" for k in range(1, NEAR + 1)])).alias("o"))
-    return (near.where((F.col("o.band") == F.col("band")) & (F.col("o.component") != F.col("component")))
-            .select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct())
+    mixed = own.join(split, "band").select("key", "component").distinct()
+    prefix = written(texts.join(mixed.select("key"), "key", "left_semi").mapInArrow(_prefixer(shared, least), PREFIX)
+                     .join(mixed, "key"), "prefixes")
+    hot = (prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.count("*").alias("n"))
+           .where("low <> high").select("shingle", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")))
+    both = written(prefix.join(hot, "shingle"), "shared-prefixes")
+    part = 2 * least / (1 + least) * (1 - ROUNDING)
+    light = both.where(F.col("rest") >= part * F.col("total")).select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "total", "rest")])
+    heavy = both.select(
+        "shingle", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"),
+        *[F.col(c).alias(f"{c}_b") for c in ("key", "component", "total", "rest")])
+    enough = least / (1 + least) * (1 - ROUNDING) * (F.col("total_a") + F.col("total_b"))
+    pairs = light.join(heavy, ["shingle", "salt"]).where(
+        (F.col("component_a") != F.col("component_b"))
+        & (F.struct("total_a", "key_a") < F.struct("total_b", "key_b"))
+        & (F.col("total_a") >= least * (1 - ROUNDING) * F.col("total_b"))
+        & (F.least("rest_a", "rest_b") >= enough))
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
