@@ -106,3 +106,25 @@ def test_toxicity_without_labels(spark, documents):
         model = toxicity.train(docs, some)
         assert {r["score"] for r in toxicity.toxicity(docs, model).collect()} in ({0.0}, {1.0})
     assert toxicity.toxicity(documents([]), model).count() == 0
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, documents):
+    """Two languages of 75 toxic rows each among 1,500: a sample of 150 of each class holds too few, the table has enough."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(1500):
+        toxic = k % 10 == 0
+        rows.append((k, " ".join(rng.choice(words, 20)) + (" vile" if toxic and k % 30 else " vile fair" if k % 17 == 0 else "")))
+        labels.append((k, int(toxic)))
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 20 < 10, "en").otherwise("fr"))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = toxicity.train(docs, marks, sample_rows=60)
+    assert set(sample.thresholds) == {"en", "fr"}
+
+    own = marks.where(~toxicity.held_out(F.col("doc_id")))
+    got = toxicity.toxicity(docs, sample).join(own, "doc_id").toPandas()
+    f1 = lambda p: 2 * (p & (got.toxic == 1)).sum() / (p.sum() + (got.toxic == 1).sum())
+    best = max(f1(got.score >= c) for c in np.unique(got.score))
+    assert f1(got.rejected) > best - 0.08

@@ -17,6 +17,7 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)     # bytes
 LANGUAGE_ROWS = 20        # toxic calibration documents from which a language gets its own threshold
 THRESHOLD = 0.3
+BINS = 100                # cells of the score histogram in one unit of log-odds
 SCHEMA = "doc_id long, lang string, score double"
 
 
@@ -181,15 +182,31 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
 
 
+def cut_of_histogram(bins: np.ndarray, hits: np.ndarray, misses: np.ndarray) -> float:
+    """Score at the edge between bins of log-odds with the best F1; hits and misses are weights by bin."""
+    order = np.argsort(-bins)
+    z, hit = (bins[order] + 0.5) / BINS, np.cumsum(hits[order])
+    f1 = 2 * hit / (np.cumsum(hits[order] + misses[order]) + hits.sum())
+    k = int(np.argmax(f1))
+    cut = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 0.5 / BINS
+    return float(1 / (1 + np.exp(-cut)))
+
+
+def held_side(labels: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Which rows the network is not fitted on: a fifth, or none where that leaves a side without both classes."""
+    side = np.random.default_rng(seed).permutation(len(labels)) % 5 == 0
+    if len(labels) < 50 or len(set(labels[side])) < 2 or len(set(labels[~side])) < 2:
+        side[:] = False
+    return side
+
+
 def fit_model(rows: list, prevalence: float, seed: int = 3) -> Model:
     """Fit on four fifths of the rows (text, lang, label); calibrate scores and thresholds on the rest."""
     labels = np.array([r[2] for r in rows], np.float32)
     if len(rows) == 0 or labels.min() == labels.max():
         return Model(None, float(labels[0]) if len(rows) else 0.0, {}, THRESHOLD)
     texts = [r[0] or "" for r in rows]
-    side = np.random.default_rng(seed).permutation(len(rows)) % 5 == 0
-    if len(rows) < 50 or len(set(labels[side])) < 2 or len(set(labels[~side])) < 2:
-        side[:] = False
+    side = held_side(labels, seed)
     train = np.flatnonzero(~side)
     held = np.flatnonzero(side) if side.any() else train
     net = TextCNN()
@@ -236,7 +253,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `sample_rows` labelled documents of each class; held-out ids give no labels.
 
-    The rows are those with the smallest hash of their id. Label rows without id or label are left
+    The rows are those with the smallest hash of their id; thresholds come from all labelled rows that the
+    network was not fitted on. Label rows without id or label are left
     out; of several labels of one document the larger counts.
     """
     own = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna()
@@ -251,7 +269,59 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     total = sum(counts.values())
     prevalence = min(max(counts.get(1, 0) / total, 1e-4), 1 - 1e-4) if total else 0.0
-    return fit_model(rows, prevalence)
+    model = fit_model(rows, prevalence)
+    labels = np.array([r["toxic"] for r in rows])
+    side = held_side(labels)
+    if model.net and side.any():
+        fitted = sorted({r["doc_id"] for r, held in zip(rows, side) if not held})
+        set_thresholds(model, texts.join(own, "doc_id"), fitted)
+    return model
+
+
+def set_thresholds(model: Model, labelled: DataFrame, fitted: list[int]) -> None:
+    """Thresholds from all labelled rows (doc_id, text, lang, toxic) whose id the network was not fitted on.
+
+    The rows are scored in tasks; a histogram by language, label and log-odds comes to the driver. What was left
+    out is made up for by weights, so each language has the class mix of the whole table.
+    """
+    spark = labelled.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    ids = spark.createDataFrame([(i,) for i in fitted], "doc_id long")
+    langs = labelled.groupBy("lang", "toxic").count().collect()
+    total = {(r["lang"], r["toxic"]): r["count"] for r in langs}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=1_000_000):
+            net = shared.value.net
+            z = np.clip(net.scale * net.logits(batch.column("text")).astype(np.float64) + net.offset, -30, 30)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("toxic"), pa.array(np.floor(z * BINS).astype(np.int32))],
+                ["lang", "toxic", "bin"])
+
+    free = labelled.join(F.broadcast(ids), "doc_id", "left_anti").select("lang", "toxic", "text")
+    found = free.mapInArrow(place, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").count().collect()
+    by_lang: dict = {}
+    for r in found:
+        by_lang.setdefault(r["lang"], []).append((r["bin"], r["toxic"], r["count"]))
+
+    def cut(cells: list, sizes: list[int]) -> float | None:
+        at = np.array(cells, np.int64).reshape(-1, 3)
+        have = [int(at[at[:, 1] == y, 2].sum()) for y in (0, 1)]
+        if min(have) == 0:
+            return None
+        bins, place_of = np.unique(at[:, 0], return_inverse=True)
+        miss, hit = (np.bincount(place_of, at[:, 2] * (at[:, 1] == y), minlength=len(bins)) * sizes[y] / have[y]
+                     for y in (0, 1))
+        return cut_of_histogram(bins, hit, miss)
+
+    whole = cut([c for cells in by_lang.values() for c in cells],
+                [sum(n for (_, t), n in total.items() if t == y) for y in (0, 1)])
+    if whole is None:
+        return
+    model.default, model.thresholds = whole, {}
+    for lang, cells in by_lang.items():
+        if lang is not None and all(sum(n for _, t, n in cells if t == y) >= LANGUAGE_ROWS for y in (0, 1)):
+            model.thresholds[lang] = cut(cells, [total[lang, y] for y in (0, 1)])
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
