@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup, suffix_dedup, token_output, toxicity
+from tickflow.llm import (collocations, decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup,
+                          suffix_dedup, token_output, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +85,11 @@ def op10(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query("op12_collocations")
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 # --- SQL of the operators that it can express ---------------------------------------------------
 
 ORACLES["op2_substring_dedup"] = r"""
@@ -143,3 +149,31 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join places using (doc_id) left join named using (doc_id)"""
+
+ORACLES["op12_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (
+  select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase, count(*) as f
+  from (select lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) as i
+        from w, (select unnest([1, 2, 3, 4]) as m) where len(ws) >= m) group by all),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from g where m > 1 and f >= 30),
+cuts as (
+  select c.lang, c.phrase, m, a, k, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y.f) as score
+  from (select *, unnest(generate_series(1, m - 1)) as k from c) c
+  join (select lang, phrase, f from g where f >= 30) x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ')
+  join (select lang, phrase, f from g where f >= 30) y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:m], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+  select lang, array_to_string(ws[i:i + s - 1], ' ') as phrase, max(a) as over
+  from (select lang, ws, a, s, unnest(generate_series(1, m - s + 1)) as i
+        from c, (select unnest([2, 3]) as s) where s < m) group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n,
+       score::bigint as score
+from best left join inner_parts using (lang, phrase) join totals using (lang)
+where not coalesce(100::hugeint * over >= 80::hugeint * a, false)
+qualify rank <= 2000"""
