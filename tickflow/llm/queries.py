@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickflow.llm import (collocations, decontamination, line_dedup, near_dedup, neighbours, packing, pii, substring_dedup,
-                          suffix_dedup, token_output, toxicity)
+from tickflow.llm import (collocations, conversation_trie, decontamination, language_id, line_dedup, near_dedup, neighbours,
+                          packing, pii, substring_dedup, suffix_dedup, token_output, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,11 +85,22 @@ def op10(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query("op11_conversation_trie")
+def op11(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_collocations")
 def op12(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op13_language_id")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.contract(language_id.label_words(docs, language_id.train(docs)))
+
+
 # --- SQL of the operators that it can express ---------------------------------------------------
 
 ORACLES["op2_substring_dedup"] = r"""
@@ -177,3 +188,34 @@ select lang, row_number() over (partition by lang order by score desc, a desc, e
 from best left join inner_parts using (lang, phrase) join totals using (lang)
 where not coalesce(100::hugeint * over >= 80::hugeint * a, false)
 qualify rank <= 2000"""
+
+# crc32 of a decimal number, bit by bit
+_CRC32 = ("xor(list_reduce(list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint), lambda a, x: "
+          "list_reduce(list_concat([xor(a, x)], range(8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384)), 4294967295::bigint), "
+          "4294967295::bigint)")
+ORACLES["op11_conversation_trie"] = f"""
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+  from conversations where conv_id is not null),
+convs as (select c, c - c % 100 as base, {_CRC32} % 6 as h from (select distinct c from t)),
+r as (
+  select convs.c, 0 as side, pos, role, text from convs join t on t.c = base where pos < h
+  union all select convs.c, 1, pos, role, text from convs join t using (c) where pos >= h),
+named as (
+  select c, row_number() over (partition by c order by side, pos) as depth, length(text) as size,
+         md5(length(role) || ':' || role || text) as name from r),
+paths as (
+  select c, depth, size, string_agg(name, '' order by depth) over (partition by c order by depth) as path from named
+  union all select c, 0, 0, '' from convs),
+nodes as (select depth, path, min(c) as conv_id, count(*) as n_convs, any_value(size) as size from paths group by depth, path),
+ends as (select path, string_agg(c::varchar, ',' order by c) as ids
+         from (select c, max_by(path, depth) as path from paths group by c) group by path),
+family as (select path, count(*) as n_children from (select left(path, (depth::int - 1) * 32) as path from nodes where depth > 0) group by path),
+subtrees as (
+  select left(n.path, d::int * 32) as path, sum((n_convs - 1) * size)::bigint as saved_tokens, count(*) filter (f.path is null) as n_leaves
+  from (select *, unnest(generate_series(0, depth)) as d from nodes) n left join family f on f.path = n.path group by 1)
+select n.conv_id, n.depth::bigint as depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
+       n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes n join subtrees using (path) left join family using (path) left join ends using (path)
+left join nodes up on up.path = left(n.path, (n.depth::int - 1) * 32) and up.depth = n.depth - 1"""
