@@ -123,3 +123,14 @@ def test_lexicon_counts_all_documents(spark):
     rate = np.log((uses + 0.5) / (total + 0.5 * language_id.LEXICON))
     want = (rate - rate.mean()) * (n["en"] / (n["en"] + 2))
     assert np.allclose(table[int(text.hash[0] % np.uint64(language_id.LEXICON))], np.clip(want, -4, 4), atol=1e-5)
+
+
+def test_slices_of_a_batch_read_their_own_texts(model):
+    _, chain = model
+    texts = [ENGLISH(30), None, "--", FRENCH(25), ENGLISH(9), FRENCH(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    whole = language_id._labels(chain, batch).to_pylist()
+    parts = [r for a, n in ((0, 1), (1, 3), (4, 2)) for r in language_id._labels(chain, batch.slice(a, n)).to_pylist()]
+    assert [r["lang_pred"] for r in whole] == ["en", "und", "und", "fr", "en", "fr"]
+    for a, b in zip(whole, parts):
+        assert a["score"] == pytest.approx(b["score"], abs=1e-9) and a["spans"] == b["spans"]

@@ -323,7 +323,8 @@ def label_words(docs: DataFrame, chain: Chain | None) -> DataFrame:
 def _labels(chain: Chain | None, batch: pa.RecordBatch) -> pa.RecordBatch:
     column = batch.column("text")
     lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False)
-    text = Text(pc.if_else(lettered, column, pa.scalar(None, column.type)))
+    # taken by number: a choice between a slice of texts and NULL reads past its buffer
+    text = Text(column.take(pc.if_else(lettered, pa.array(np.arange(len(column))), pa.scalar(None, pa.int64()))))
     n = batch.num_rows
     lang, score = np.full(n, "und", object), np.zeros(n)
     offsets, parts = np.zeros(n + 1, np.int32), (np.empty(0, int),) * 3
