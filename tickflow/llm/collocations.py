@@ -2,12 +2,16 @@
 
 A task counts phrases in a trie over word ids whose leaves are hash containers. A container that grows too
 large bursts into one container per next word; when the trie holds too many phrases, whole subtrees leave it
-as sorted runs. The runs meet by the first two words of their phrases and are summed there. Phrases are
-counted by length: only phrases whose two parts one word shorter are frequent can be frequent themselves.
+as sorted runs. The runs meet by the first two words of their phrases and are summed there.
+
+Only phrases that may be frequent are counted: each pass over the texts counts the phrases of one length and
+sends short keys of those one word longer, whose summed counts are never below the true ones. A phrase can
+only be frequent where its two parts one word shorter are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +23,20 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.words import (LOWER, Words, byte_sums, byte_table, mix, return_memory, slices, span_hash,
                                 string_buffer)
-from tickflow.runtime import BROADCAST_BYTES, BROADCAST_ROWS, stored_bytes, written
+from tickflow.runtime import BROADCAST_ROWS, stored_bytes, written
 
 LEAST = 30                # occurrences of a candidate
 LONGEST = 4               # words of a candidate
 TOP = 2000                # phrases reported for a language
 COVERED = 80              # percent of its occurrences from which a phrase counts as part of a longer one
 BURST = 4096              # phrases in a container before it bursts
-HELD = 1 << 20            # phrases in the trie of a task before subtrees are spilled
+HELD = 1 << 19            # phrases in the trie of a task before subtrees are spilled
+KEYS_HELD = 1 << 21       # short keys of a task before they are sent
 MARK_BITS = 1 << 27       # marks of frequent phrases that are sent to the tasks: 16 MB at any size
 MARK_BLOCKS = 256
+PART_BYTES = 8 << 20      # text whose phrases meet in one group, so that a group is of one size at any scale
+KEY_BITS = 24             # of the short keys within a group
+FEW_BYTES = 16 << 20      # lookup tables up to this size are broadcast
 _ID = 8                   # bytes of a word id
 
 _IS_BREAK = byte_table(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
@@ -36,8 +44,12 @@ _IS_WORD = byte_table(lambda b: b not in b".,;:!? \t" and not 0x0A <= b <= 0x0D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 IDS = [f"w{k + 1}" for k in range(LONGEST)]
-RUN = ", ".join(f"{w} long" for w in IDS) + ", c long, lang string, word string"
-_ARROW = pa.schema([(w, pa.int64()) for w in IDS] + [("c", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
+RUN = "part int, keys binary, run binary, w1 long, c long, lang string, word string"
+_RUN = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("run", pa.binary()), ("w1", pa.int64()), ("c", pa.int64()),
+                  ("lang", pa.string()), ("word", pa.string())])
+SUMMED = "places binary, " + ", ".join(f"{w} long" for w in IDS) + ", f long, lang string, word string"
+_SUMMED = pa.schema([("places", pa.binary())] + [(w, pa.int64()) for w in IDS]
+                    + [("f", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
 
 
 class HatTrie:
@@ -146,89 +158,220 @@ class Phrases:
         breaks = np.cumsum(_IS_BREAK[self.buf])
         self.piece = breaks[self.words.starts] + self.words.document() if len(self.words.starts) else np.empty(0, int)
 
-    def at(self, n: int, marks: np.ndarray | None) -> np.ndarray:
-        """Places of the phrases of n words whose parts of n - 1 words are both marked."""
+    def inside(self, n: int) -> np.ndarray:
+        """Whether a phrase of n words fits into the piece, for each place where one could begin."""
         places = len(self.ids) - n + 1
-        if places <= 0:
-            return np.empty(0, np.int64)
-        inside = self.piece[n - 1:] == self.piece[:places]
-        if marks is not None:
-            part = chained([self.ids[k:places + 1 + k] for k in range(n - 1)])
-            frequent = marked(marks, part)
-            inside &= frequent[:-1] & frequent[1:]
-        return np.flatnonzero(inside)
+        return self.piece[n - 1:] == self.piece[:places] if places > 0 else np.empty(0, bool)
+
+    def whole(self, n: int) -> np.ndarray:
+        """Hash of the n words from each place."""
+        places = max(len(self.ids) - n + 1, 0)
+        return chained([self.ids[k:places + k] for k in range(n)])
 
     def text(self, place: int) -> str:
         return self.buf[self.words.starts[place]:self.words.ends[place]].tobytes().decode("utf-8", "replace")
 
 
-def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & np.uint64(MARK_BITS - 1)
-    return (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+def short_key(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Group of a phrase above its short key there."""
+    return ((hashes >> np.uint64(KEY_BITS)) % np.uint64(parts) << np.uint64(KEY_BITS)) | (hashes & np.uint64((1 << KEY_BITS) - 1))
 
 
-def _rows(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(ids[:, k].view(np.int64)) if k < ids.shape[1] else pa.nulls(len(ids), pa.int64())
-               for k in range(LONGEST)]
-    none = pa.nulls(len(ids), pa.string())
-    return pa.RecordBatch.from_arrays([*columns, pa.array(counts), none, none], schema=_ARROW)
+def mark_place(keys: np.ndarray) -> np.ndarray:
+    return mix(keys + _STEP) & np.uint64(MARK_BITS - 1)
 
 
-def _named(ids: list[int], counts: list[int], langs: list[str], words: list[str] | None) -> pa.RecordBatch:
-    first = pa.array(np.array(ids, np.uint64).view(np.int64)) if words is not None else pa.nulls(len(langs), pa.int64())
-    empty = [pa.nulls(len(langs), pa.int64())] * (LONGEST - 1)
-    texts = pa.array(words, pa.string()) if words is not None else pa.nulls(len(langs), pa.string())
-    return pa.RecordBatch.from_arrays([first, *empty, pa.array(counts, pa.int64()), pa.array(langs, pa.string()), texts],
-                                      schema=_ARROW)
+def marked(marks: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
+    bit = mark_place(short_key(hashes, parts))
+    return (marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _counter(n: int, shared, burst: int, held: int):
-    """Task: sorted runs of phrases of n words. With n = 1 also words by language, with n = 2 the text of the
-    frequent words."""
+def packed_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising short keys of one group as differences, with their counts, in as few bytes as they need."""
+    gaps = np.diff(keys, prepend=keys[:1] * 0)
+    sizes = [max(1, (int(v.max()).bit_length() + 7) // 8) for v in (gaps, counts)]
+    columns = [v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for v, n in zip((gaps, counts), sizes)]
+    return np.array([len(keys), *sizes], "<u4").tobytes() + b"".join(columns)
+
+
+def unpacked_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, *sizes = np.frombuffer(raw, "<u4", 3).tolist()
+    at, out = 12, []
+    for size in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        out.append(wide.view("<u8").ravel().astype(np.int64))
+        at += n * size
+    return np.cumsum(out[0]), out[1]
+
+
+class Keys:
+    """Short keys of the phrases of a task and their counts."""
+
+    def __init__(self, parts: int, held: int = KEYS_HELD):
+        self.parts, self.held = parts, held
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, hashes: np.ndarray) -> bool:
+        """Take in a batch; whether there are now so many that they should be sent."""
+        if len(hashes):
+            self.found.append(np.unique(short_key(hashes, self.parts), return_counts=True))
+        if sum(len(k) for k, _ in self.found) > self.held:
+            self._merge()
+        return sum(len(k) for k, _ in self.found) > self.held // 2
+
+    def _merge(self) -> None:
+        keys = np.concatenate([k for k, _ in self.found])
+        counts = np.concatenate([c for _, c in self.found])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.found = [(keys[starts], np.add.reduceat(counts[order], starts))]
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.found:
+            return
+        self._merge()
+        (keys, counts), self.found = self.found[0], []
+        part = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        low = (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+        rows = [packed_keys(low[a:b], counts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+        yield _sent(part[cuts], keys=rows)
+
+
+def _sent(part: np.ndarray, **columns) -> pa.RecordBatch:
+    """Rows of RUN with the given columns."""
+    columns["part"] = part.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(part), f.type)
+                                       for f in _RUN], schema=_RUN)
+
+
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Group in which the phrases with the same first two words meet."""
+    return (mix(chained([ids[:, k] for k in range(min(2, ids.shape[1]))]) + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+
+
+def packed_run(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run: its distinct word ids, and for each phrase their places among them and its count, all in as few
+    bytes as they need."""
+    words, place = np.unique(ids, return_inverse=True)
+    place = place.reshape(ids.shape).T
+    kinds = [np.min_scalar_type(len(words)), np.min_scalar_type(int(counts.max()))]
+    head = np.array([len(words), len(counts), ids.shape[1], kinds[0].itemsize, kinds[1].itemsize], "<i8")
+    return b"".join([head.tobytes(), words.astype("<u8").tobytes(), place.astype(kinds[0]).tobytes(), counts.astype(kinds[1]).tobytes()])
+
+
+def unpacked_run(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words, phrases, width, a, b = np.frombuffer(raw, "<i8", 5).tolist()
+    ids = np.frombuffer(raw, "<u8", words, 40)
+    at = 40 + 8 * words
+    place = np.frombuffer(raw, f"<u{a}", phrases * width, at).reshape(width, phrases)
+    return ids[place].T, np.frombuffer(raw, f"<u{b}", phrases, at + a * phrases * width).astype(np.int64)
+
+
+def _rows(ids: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A run cut by the groups in which its phrases meet."""
+    part = part_of(ids, parts)
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    cuts = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+    return _sent(names, run=[packed_run(ids[own], counts[own]) for own in cuts])
+
+
+def _summed(least: int):
+    """Group of keys and runs: places of the marks of keys that occur so often, phrases that do, and of named rows
+    the sum of each language and one text for each word."""
+    def merge(table: pa.Table) -> pa.Table:
+        out = []
+
+        def give(n: int, **columns) -> None:
+            out.append(pa.Table.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _SUMMED],
+                                            schema=_SUMMED))
+
+        keys = [unpacked_keys(k) for k in table.column("keys").drop_null().to_pylist()]
+        if keys:
+            low, place = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([c for _, c in keys]))
+            part = table.column("part")[0].as_py()
+            often = low[total >= least].astype(np.uint64) | np.uint64(part << KEY_BITS)
+            give(1, places=pa.array([mark_place(often).astype("<u4").tobytes()], pa.binary()))
+        runs = [unpacked_run(r) for r in table.column("run").drop_null().to_pylist()]
+        if runs:
+            ids, counts = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+            whole = chained([ids[:, k] for k in range(ids.shape[1])])
+            order = np.argsort(whole, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(whole[order]) != 0)))
+            total = np.add.reduceat(counts[order], starts)
+            keep = total >= least
+            found = ids[order[starts[keep]]]
+            give(len(found), f=pa.array(total[keep]), **{IDS[k]: pa.array(np.ascontiguousarray(found[:, k]).view(np.int64))
+                                                         for k in range(found.shape[1])})
+        named = table.filter(pc.is_valid(table.column("lang")))
+        if named.num_rows:
+            by = named.select(["w1", "lang", "word", "c"]).group_by(["w1", "lang", "word"]).aggregate([("c", "sum")])
+            give(by.num_rows, w1=by.column("w1"), f=by.column("c_sum"), lang=by.column("lang"), word=by.column("word"))
+        return pa.concat_tables(out) if out else _SUMMED.empty_table()
+    return merge
+
+
+def _counter(n: int, shared, parts: int, burst: int, held: int):
+    """Task of one pass: sorted runs of the marked phrases of n words and short keys of the phrases of n + 1 words.
+    Before any marks (n = 0) also the words of each language, with n = 1 the texts of the marked words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None if shared is None else shared.value
-        trie, totals, known = HatTrie(n, burst, held), {}, set()
+        trie, keys, totals, known = HatTrie(max(n, 1), burst, held), Keys(parts), {}, set()
         for batch in slices(batches):
             phrases = Phrases(batch)
-            at = phrases.at(n, marks)
-            if n == 1:
+            if n == 0:
                 names = phrases.langs.dictionary.to_pylist()
                 for code, k in enumerate(np.bincount(phrases.lang, minlength=len(names)).tolist()):
                     totals[names[code]] = totals.get(names[code], 0) + k
-            if n == 2:
-                yield from _texts(phrases, marks, known)
-                if len(known) > held:
-                    known.clear()
-            if not len(at):
-                continue
-            whole = chained([phrases.ids[at + k] for k in range(n)])
-            _, first, counts = np.unique(whole, return_index=True, return_counts=True)
-            trie.add(np.stack([phrases.ids[at[first] + k] for k in range(n)], 1), counts)
-            if trie.size > held:
-                for run in trie.spill():
-                    yield _rows(*run)
+                longer = phrases.ids
+            else:
+                whole = phrases.whole(n)
+                frequent = phrases.inside(n)
+                frequent[frequent] = marked(marks, whole[frequent], parts)
+                at = np.flatnonzero(frequent)
+                if len(at):
+                    _, first, counts = np.unique(whole[at], return_index=True, return_counts=True)
+                    trie.add(np.stack([phrases.ids[at[first] + k] for k in range(n)], 1), counts)
+                if n == 1:
+                    yield from _texts(phrases, at, known, parts)
+                    if len(known) > held:
+                        known.clear()
+                if trie.size > held:
+                    for run in trie.spill():
+                        yield _rows(*run, parts)
+                at = np.flatnonzero(phrases.inside(n + 1) & frequent[:-1] & frequent[1:]) if n < LONGEST else np.empty(0, int)
+                longer = chained([phrases.ids[at + k] for k in range(n + 1)]) if len(at) else np.empty(0, np.uint64)
+            if keys.add(longer):
+                yield from keys.send()
+        yield from keys.send()
         for run in trie.spill(everything=True):
-            yield _rows(*run)
+            yield _rows(*run, parts)
         if totals:
-            yield _named([], list(totals.values()), list(totals), None)
-        del trie
+            names = sorted(totals)
+            yield _sent(np.array([zlib.crc32(name.encode()) % parts for name in names]), c=[totals[k] for k in names], lang=names)
+        del trie, keys
         return_memory()
     return count
 
 
-def _texts(phrases: Phrases, marks: np.ndarray, known: set) -> Iterator[pa.RecordBatch]:
-    ids, first = np.unique(phrases.ids, return_index=True)
-    keep = marked(marks, ids)
-    names = phrases.langs.dictionary
-    new = [(i, p) for i, p in zip(ids[keep].tolist(), first[keep].tolist()) if i not in known]
+def _texts(phrases: Phrases, at: np.ndarray, known: set, parts: int) -> Iterator[pa.RecordBatch]:
+    """The words at the given places, each once for a task."""
+    ids, first = np.unique(phrases.ids[at], return_index=True)
+    new = [(i, p) for i, p in zip(ids.tolist(), at[first].tolist()) if i not in known]
     if new:
         known.update(i for i, _ in new)
-        langs = names.take(pa.array(phrases.lang[[p for _, p in new]])).to_pylist()
-        yield _named([i for i, _ in new], [0] * len(new), langs, [phrases.text(p) for _, p in new])
+        own = np.array([i for i, _ in new], np.uint64)
+        langs = phrases.langs.dictionary.take(pa.array(phrases.lang[[p for _, p in new]]))
+        yield _sent(part_of(own[:, None], parts), w1=own.view(np.int64), c=np.zeros(len(own), np.int64), lang=langs,
+                    word=[phrases.text(p) for _, p in new])
 
 
-def _marks(frequent: DataFrame, n: int) -> np.ndarray:
-    """One bit for each frequent phrase, at a place given by its hash; a table of fixed size.
+def _marks(summed: DataFrame) -> np.ndarray:
+    """One bit for each key that occurs often enough, at a place given by its hash; a table of fixed size.
 
     A place that a rare phrase shares with a frequent one only means that some phrases are counted in vain.
     """
@@ -236,10 +379,10 @@ def _marks(frequent: DataFrame, n: int) -> np.ndarray:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = chained([batch.column(w).to_numpy().view(np.uint64) for w in IDS[:n]]) & np.uint64(MARK_BITS - 1)
-            bit = bit.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bit // each).astype(np.int32)),
-                                              pa.array((bit % each).astype(np.int32))], ["block", "bit"])
+            for raw in batch.column("places").to_pylist():
+                bit = np.unique(np.frombuffer(raw, "<u4")).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((bit // each).astype(np.int32)),
+                                                  pa.array((bit % each).astype(np.int32))], ["block", "bit"])
 
     def pack(table: pa.Table) -> pa.Table:
         bits = np.zeros(each, np.uint8)
@@ -247,7 +390,7 @@ def _marks(frequent: DataFrame, n: int) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1),
                          "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = (frequent.select(*IDS[:n]).mapInArrow(place, "block int, bit int").distinct()
+    rows = (summed.where("places is not null").select("places").mapInArrow(place, "block int, bit int")
             .groupBy("block").applyInArrow(pack, "block int, bits binary").collect())
     out = np.zeros(MARK_BITS // 8, np.uint8)
     for r in rows:
@@ -257,7 +400,7 @@ def _marks(frequent: DataFrame, n: int) -> np.ndarray:
 
 def _few(stored: DataFrame) -> bool:
     """Whether a written table has few enough rows and bytes to be broadcast."""
-    return stored_bytes(stored) <= BROADCAST_BYTES and stored.count() <= BROADCAST_ROWS
+    return stored_bytes(stored) <= FEW_BYTES and stored.count() <= BROADCAST_ROWS
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, burst: int = BURST,
@@ -272,25 +415,22 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, burst: int = BURST,
     spark = docs.sparkSession
     source = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
     tables, texts, totals, shared = [], None, None, None
-    for n in range(1, LONGEST + 1):
-        ids = IDS[:n]
-        runs = source.mapInArrow(_counter(n, shared, burst, held), RUN)
-        if n <= 2:                                   # both hold other rows besides
-            runs = written(runs, f"runs{n}")
-        if n == 1:
-            totals = written(runs.where("lang is not null").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
-        if n == 2:
-            texts = runs.where("word is not null").groupBy("w1").agg(
-                F.min("lang").alias("lang"), F.min("word").alias("word")).join(
-                tables[0].select("w1"), "w1", "left_semi")
-            texts = written(texts, "words")
-        # runs of one prefix meet in one partition, so that summing them needs no further shuffle
-        met = runs.where("lang is null").repartition(*ids[:2]).groupBy(*ids).agg(F.sum("c").alias("f"))
-        tables.append(written(met.where(F.col("f") >= least), f"phrases{n}"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // PART_BYTES
+    for n in range(LONGEST + 1):
+        runs = source.mapInArrow(_counter(n, shared, parts, burst, held), RUN)
+        summed = written(runs.groupBy("part").applyInArrow(_summed(least), SUMMED), f"phrases{n}")
         if shared is not None:
             shared.unpersist()
+        if n == 0:
+            totals = written(summed.where("lang is not null").select("lang", F.col("f").alias("n")), "totals")
+        else:
+            tables.append(written(summed.where("lang is null and places is null").select(*IDS[:n], "f"), f"frequent{n}"))
+        if n == 1:
+            texts = written(summed.where("word is not null").select("w1", "lang", "word").join(
+                tables[0].select("w1"), "w1", "left_semi"), "words")
         if n < LONGEST:
-            shared = spark.sparkContext.broadcast(_marks(tables[-1], n))
+            shared = spark.sparkContext.broadcast(_marks(summed))
     return tables, texts, totals
 
 
