@@ -150,3 +150,21 @@ NOT_BINNED = [
 
 # Profile percentiles of the feature notebooks' describe step.
 PROFILE_PERCENTILES = [.001, .01, .05, .1, .15, .2, .3, .4, .5, .6, .7, .8, .85, .9, .95, .99, .999]
+
+# Search ranges by family. A list is a choice, a pair the limits of a log-uniform draw, anything else is
+# taken as it is.
+SEARCH_SPACES = {
+    "logit": {"C": (1e-6, 100.0), "elasticNetParam": 1.0, "balanced": True},
+    "svm": {"C": (1e-6, 100.0), "gamma": (1e-4, 10.0), "balanced": True},
+    "linear_svm": {"C": (1e-6, 100.0)},
+    "rf": {"numTrees": [50, 100, 300], "maxDepth": [3, 8, 10, 17], "minInstancesPerNode": [1, 10, 50],
+           "featureSubsetStrategy": ["sqrt", "log2", "0.1", "0.9"], "impurity": ["gini", "entropy"],
+           "subsamplingRate": [0.2, 0.5, 0.7, 0.9], "balanced": True},
+    "gbt": {"column_share": [0.5, 0.7, 1.0], "row_share": [0.5, 1.0], "rate": [0.1, 0.2, 0.3], "depth": [4, 6, 8],
+            "penalty": [1.0, 2.0, 3.0], "alpha": [0.0, 1.0, 10.0], "gamma": [0.5, 1.0, 1.5, 2.0, 5.0], "max_step": 1.0,
+            "trees": 600},
+    "knn": {"n_neighbors": [1, 2, 5, 10], "metric": ["euclidean", "braycurtis"], "weights": ["uniform", "distance"]},
+    "mlp": {"stepSize": [.005, .01, .05], "maxIter": [10, 20]},
+}
+MLP_LAYERS = (1, 3)
+MLP_LAYER_POWERS = (2, 6)

@@ -41,9 +41,9 @@ def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {r["c"]: r.asDict() for r in rows}
 
 
-def finite(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, x) of the values that are numbers."""
-    return unpivot(df, columns).where(F.abs("x") < float("inf"))
+def finite(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(keep..., c, x) of the values that are numbers."""
+    return unpivot(df, columns, keep).where(F.abs("x") < float("inf"))
 
 
 def order_statistics(df: DataFrame, probs: dict[str, list[float]],

@@ -53,14 +53,14 @@ def average_precision_hard() -> Column:
         recall * precision + (1 - recall) * share)
 
 
-def auc(df: DataFrame, y: str = "y", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC, ties counted half."""
+def auc(df: DataFrame, y: str = "y", prob: str = "prob", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """ROC AUC, ties counted half; with ``weight`` each row counts as much as that says."""
     by = list(by) or ["_one"]
     source = df if "_one" not in by else df.withColumn("_one", F.lit(1))
+    positive = F.col(y).cast("long")
+    up, down = (positive, 1 - positive) if weight is None else (positive * F.col(weight), (1 - positive) * F.col(weight))
     per_score = (source.where(F.col(y).isNotNull() & F.col(prob).isNotNull())
-                 .groupBy(*by, F.col(prob).alias("_p"))
-                 .agg(F.sum(F.col(y).cast("long")).alias("_pos"),
-                      F.sum(1 - F.col(y).cast("long")).alias("_neg")))
+                 .groupBy(*by, F.col(prob).alias("_p")).agg(F.sum(up).alias("_pos"), F.sum(down).alias("_neg")))
     ranked = cumulative(per_score, by, "_p", ["_neg"])
     wins = F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2))
     out = ranked.groupBy(*by).agg(wins.alias("_w"), F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn"))

@@ -1,26 +1,38 @@
-"""Exact k nearest neighbours: even blocks of training rows meet even batches of queries.
+"""Exact k nearest neighbours: pivot blocks, bounds by the triangle inequality, rounds with shrinking radii.
 
-In the tens of dimensions that are used here no bound on single coordinates keeps a query from a block, so
-every query meets every block. A meeting is one grouped task with a fixed amount of work space that returns
-k rows per query; rows and queries are spread by a hash of their id, so repeated vectors don't gather.
+Training rows go to their nearest pivot and, where a pivot has many, to rings by distance from it. What is known of
+a block (its pivot and ring) bounds from below how near its rows can be to a query. Queries go to batches the same
+way. In the first round a batch meets the block it is nearest to, which gives each query a radius; in every further
+round it meets the next few blocks that can still hold a row within the radius of one of its queries. Nothing is
+left out for certain reasons only, so the result is exact.
+
+For the Bray-Curtis distance sum |a - b| / sum |a + b| the numerator obeys the triangle inequality in the L1 norm,
+and the denominator is at most the sum of both L1 norms, which gives the bound there.
+
+A meeting is one grouped task with a fixed amount of work space: pieces of at most `block_rows` training rows and as
+many queries. Pivots and rings are bounded in number, whatever the table.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickflow.runtime import written
+
 BLOCK_ROWS = 8192
+PIVOTS, RINGS = 4096, 16  # at most; blocks are pivots times rings
 # distances of one step of a meeting (8 bytes each, up to four such arrays)
 WORK_CELLS = 1 << 20
+# bounds are taken this much lower, so that rounding never hides a row
+SLACK = 1e-9
 
 # the grouped functions travel with the job, so the workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,67 +52,345 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(apart, total, out=np.zeros_like(apart), where=total != 0)
 
 
-def _closest(d: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Columns of the k smallest of each row of d, ties by id."""
-    if d.shape[1] > k:
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
-    else:
-        limit = d.max(axis=1)
-    for row, most in zip(d, limit):
-        near = np.flatnonzero(row <= most)
-        yield near[np.lexsort((ids[near], row[near]))[:k]]
+def _steps(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, WORK_CELLS // max(columns, 1))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+class Space:
+    """Pivots, and the blocks of training rows around them: distance from the pivot and L1 norm, least and most.
+
+    `known` has the arrays pivots and rings and, once there are blocks, block, near, far, low, high and n.
+    """
+
+    def __init__(self, metric: str, known: dict[str, np.ndarray]):
+        self.metric, self.known = metric, known
+        self.pivots, self.rings = known["pivots"], known["rings"]
+
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Distance from every pivot, in the norm that the bounds use."""
+        out = np.empty((len(x), len(self.pivots)))
+        for s in _steps(len(x), len(self.pivots)):
+            if self.metric == "braycurtis":
+                out[s] = sum(np.abs(x[s, k, None] - self.pivots[:, k]) for k in range(x.shape[1]))
+            else:
+                out[s] = _distances(x[s], self.pivots, "euclidean")
+        return out
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block of each row by its nearest pivot and ring, and its distance from that pivot."""
+        if not len(x):
+            return np.empty(0, np.int64), np.empty(0)
+        away = self.away(x)
+        pivot = away.argmin(axis=1)
+        far = away[np.arange(len(x)), pivot]
+        ring = (far[:, None] > self.rings[pivot]).sum(axis=1)
+        return pivot * (self.rings.shape[1] + 1) + ring, far
+
+    def bounds(self, x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """How near a row of each of the blocks (by number of their line) can be to each query, at the least."""
+        own = {c: self.known[c][blocks] for c in ("block", "near", "far", "low", "high")}
+        pivots = own["block"] // (self.rings.shape[1] + 1)
+        used, place = np.unique(pivots, return_inverse=True)
+        away = Space(self.metric, {"pivots": self.pivots[used], "rings": self.rings}).away(x)[:, place]
+        gap = np.maximum(np.maximum(away - own["far"], own["near"] - away), 0) - SLACK * (away + own["far"])
+        if self.metric == "braycurtis":
+            size = np.abs(x).sum(axis=1)[:, None]
+            most = size + own["high"]
+            gap = np.maximum(gap, np.maximum(size - own["high"], own["low"] - size) - SLACK * most)
+            gap = np.divide(gap, most, out=np.zeros_like(gap), where=most > 0)
+        return np.maximum(gap, 0)
+
+
+def _vectors(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["_v"].to_numpy()).astype(float)
 
 
-def _nearest(k: int, metric: str):
-    """Grouped function: the k nearest rows of one training block for a batch of queries."""
+def _placer(known, metric: str, out: str):
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = _vectors(frame)
+                block, far = Space(metric, known.value).place(x)
+                yield frame.assign(**{out: block, "_far": far, "_size": np.abs(x).sum(axis=1)})
+    return place
+
+
+def _planner(known, metric: str, start: int, stop: int):
+    """Grouped by batch: the blocks at places start to stop of the batch's order that one of its queries needs, and
+    whether any further ones may be needed later."""
+    def plan(frame: pd.DataFrame) -> pd.DataFrame:
+        x, radius = _vectors(frame), frame["_radius"].fillna(np.inf).to_numpy()
+        space = Space(metric, known.value)
+        blocks = space.known["block"]
+        count = len(blocks)
+        least, needed = np.full(count, np.inf), np.zeros(count, bool)
+        for s in _steps(len(x), count):
+            bound = space.bounds(x[s], np.arange(count))
+            least = np.minimum(least, bound.min(axis=0))
+            needed |= (bound <= radius[s, None]).any(axis=0)
+        order = np.lexsort((blocks, -space.known["n"], least))
+        own = order[start:stop][needed[order[start:stop]]]
+        more = int(needed[order[stop:]].sum())
+        batch = int(frame["_batch"].iloc[0])
+        return pd.DataFrame({"_batch": np.full(len(own) + 1, batch, np.int64), "_block": [*blocks[own].tolist(), -1],
+                             "more": [0] * len(own) + [more]})
+    return plan
+
+
+def _meeting(known, k: int, metric: str, ids: Sequence[str], apart: bool):
+    """Grouped function: the k nearest rows of a piece of a block for the queries that can have one there."""
     def run(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        names = [*[f"q_{c}" for c in ids], *[f"t_{c}" for c in ids], "d", "y"]
         if queries.empty or train.empty:
-            return pd.DataFrame({"q": [], "t": [], "d": [], "y": []})
-        t, asked = (np.stack(frame["_v"].to_numpy()).astype(float) for frame in (train, queries))
-        ids, ys, names = train["t"].to_numpy(), train["y"].to_numpy(), queries["q"].to_numpy()
-        found, far, count = [], [], []
-        step = max(1, WORK_CELLS // len(t))
-        for start in range(0, len(asked), step):
-            d = _distances(asked[start:start + step], t, metric)
-            for row, near in zip(d, _closest(d, ids, k)):
-                found.append(near)
-                far.append(row[near])
-                count.append(len(near))
-        at = np.concatenate(found)
-        return pd.DataFrame({"q": np.repeat(names, count), "t": ids[at], "d": np.concatenate(far), "y": ys[at]})
+            return pd.DataFrame({c: [] for c in names})
+        space = Space(metric, known.value)
+        train = train.sort_values([f"t_{c}" for c in ids], kind="stable")     # ties go by id
+        t, block = _vectors(train), np.flatnonzero(space.known["block"] == train["_block"].iloc[0])
+        asked = _vectors(queries)
+        near = space.bounds(asked, block)[:, 0] <= queries["_radius"].fillna(np.inf).to_numpy()
+        queries, asked = queries[near], asked[near]
+        folds = (queries["_fold"].to_numpy(), train["_fold"].to_numpy()) if apart else None
+        radius = queries["_radius"].fillna(np.inf).to_numpy()
+        at, of, far = [], [], []
+        for s in _steps(len(asked), len(t)):
+            d = _distances(asked[s], t, metric)
+            if apart:
+                d[folds[0][s][:, None] == folds[1][None, :]] = np.inf
+            limit = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.inf, radius[s])
+            for i, (row, most) in enumerate(zip(d, np.broadcast_to(limit, len(d)))):
+                found = np.flatnonzero((row <= most) & (row < np.inf))
+                found = found[np.argsort(row[found], kind="stable")[:k]]
+                at.append(found)
+                of.append(np.full(len(found), s.start + i))
+                far.append(row[found])
+        if not at:
+            return pd.DataFrame({c: [] for c in names})
+        at, of = np.concatenate(at), np.concatenate(of)
+        out = {f"q_{c}": queries[f"q_{c}"].to_numpy()[of] for c in ids}
+        out |= {f"t_{c}": train[f"t_{c}"].to_numpy()[at] for c in ids}
+        return pd.DataFrame(out | {"d": np.concatenate(far), "y": train["y"].to_numpy()[at]})
     return run
 
 
+def _dealt(frame: DataFrame, column: str, sizes: pd.DataFrame, ids: Sequence[str], rows: int, out: str) -> tuple[DataFrame, DataFrame]:
+    """Number the pieces of about `rows` rows into which each group is dealt by a hash of the ids, and list all pieces.
+
+    `sizes` has a row (group, n) for each group: at most PIVOTS * RINGS.
+    """
+    spark = frame.sparkSession
+    parts = spark.createDataFrame([(int(g), int(ceil(n / rows))) for g, n in zip(sizes["block"], sizes["n"])],
+                                  f"{column} long, _parts int")
+    dealt = frame.join(F.broadcast(parts), column).withColumn(out, F.pmod(F.xxhash64(*ids), F.col("_parts")).cast("int")).drop("_parts")
+    return dealt, parts.select(column, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias(out))
+
+
+def neighbour_table(train: DataFrame, queries: DataFrame, k: int, ids: Sequence[str], vector: str, y: str,
+                    metric: str = "euclidean", block_rows: int = BLOCK_ROWS, fold: str | None = None,
+                    pivots: int | None = None, visits: list | None = None) -> DataFrame:
+    """ids, neighbours: for each query its k nearest training rows as an array of (d, ids, y), nearest first, ties
+    by ids. Any smaller k reads from the same array.
+
+    With `fold` a query has no neighbours of its own fold. `visits` takes the number of (batch, block) meetings of
+    each round and of all there could be.
+    """
+    spark, ids = train.sparkSession, list(ids)
+    extra = [F.col(fold).cast("long").alias("_fold")] if fold else []
+    source = written(train.select(*[F.col(c).alias(f"t_{c}") for c in ids], F.col(vector).cast("array<double>").alias("_v"),
+                                  F.col(y).cast("double").alias("y"), *extra), "knn-rows")
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in ids], F.col(vector).cast("array<double>").alias("_v"), *extra)
+    types = {c: dict(train.dtypes)[c] for c in ids}
+    neighbour = "struct<d:double," + ",".join(f"`{c}`:{types[c]}" for c in ids) + ",y:double>"
+    rows = source.count()
+    if not rows:
+        return asked.select(*[F.col(f"q_{c}").alias(c) for c in ids], F.expr(f"cast(array() as array<{neighbour}>)").alias("neighbours"))
+    count = min(PIVOTS, rows, pivots or ceil(2 * rows / block_rows))
+    # the rows with the smallest hashes of their ids
+    chosen = source.orderBy(F.xxhash64(*[f"t_{c}" for c in ids]), *[f"t_{c}" for c in ids]).limit(count).select("_v").collect()
+    points = np.unique(np.array([r["_v"] for r in chosen], float), axis=0)
+    known = {"pivots": points, "rings": np.empty((len(points), 0))}
+    typed = ", ".join(f"{n} {t}" for n, t in source.dtypes) + ", _block long, _far double, _size double"
+
+    def placed_rows() -> DataFrame:
+        shared = spark.sparkContext.broadcast(known)
+        return written(source.mapInPandas(_placer(shared, metric, "_block"), typed), "knn-placed")
+
+    placed = placed_rows()
+    wide = min(RINGS, ceil(rows / (len(points) * block_rows)))
+    if wide > 1:
+        cuts = placed.groupBy("_block").agg(F.percentile_approx("_far", [i / wide for i in range(1, wide)], 1000).alias("e")).collect()
+        known["rings"] = np.full((len(points), wide - 1), np.inf)
+        for r in cuts:
+            known["rings"][r["_block"]] = r["e"]
+        placed = placed_rows()
+    blocks = placed.groupBy(F.col("_block").alias("block")).agg(
+        F.min("_far").alias("near"), F.max("_far").alias("far"), F.min("_size").alias("low"), F.max("_size").alias("high"),
+        F.count(F.lit(1)).alias("n")).orderBy("block").toPandas()           # at most PIVOTS * RINGS rows
+    known = spark.sparkContext.broadcast(known | {c: blocks[c].to_numpy() for c in blocks})
+    pieces, split = _dealt(placed.drop("_far", "_size"), "_block", blocks, [f"t_{c}" for c in ids], block_rows, "_piece")
+    own = ", ".join(f"{n} {t}" for n, t in asked.dtypes)
+    homes = written(asked.mapInPandas(_placer(known, metric, "_home"), f"{own}, _home long, _far double, _size double")
+                    .drop("_far", "_size"), "knn-homes")
+    sizes = homes.groupBy(F.col("_home").alias("block")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    # queries of one home are one or more batches
+    batched, _ = _dealt(homes, "_home", sizes, [f"q_{c}" for c in ids], block_rows, "_part")
+    batched = batched.withColumn("_batch", F.col("_home") * F.lit(1 << 20) + F.col("_part"))
+    q = [f"q_{c}" for c in ids]
+    best, start, stop, done, batches = None, 0, 1, 0, 0
+    found_type = ", ".join([f"q_{c} {types[c]}" for c in ids] + [f"t_{c} {types[c]}" for c in ids]) + ", d double, y double"
+    entry = F.struct("d", *[F.col(f"t_{c}").alias(c) for c in ids], "y")
+    while True:
+        if best is None:
+            now = batched.withColumn("_radius", F.lit(None).cast("double"))
+        else:
+            radius = F.when(F.size("neighbours") == k, F.element_at("neighbours", k)["d"])
+            now = batched.join(best.select(*q, radius.alias("_radius")), q, "left")
+        plan = written(now.groupBy("_batch").applyInPandas(_planner(known, metric, start, stop), "_batch long, _block long, more long"),
+                       "knn-plan")
+        totals = plan.agg(F.count(F.when(F.col("_block") >= 0, 1)), F.sum("more"), F.countDistinct("_batch")).first()
+        done, batches = totals[0], totals[2]
+        if visits is not None:
+            visits.append((done, batches * len(blocks)))
+        if done:
+            pairs = plan.where("_block >= 0").select("_batch", "_block")
+            asking = now.drop("_home", "_part").join(pairs, "_batch")
+            asking = asking.join(split, "_block")
+            giving = pieces.join(pairs.select("_block", F.col("_batch").alias("_asker")), "_block").withColumnRenamed("_asker", "_batch")
+            key = ["_batch", "_block", "_piece"]
+            met = (asking.groupBy(*key).cogroup(giving.groupBy(*key))
+                   .applyInPandas(_meeting(known, k, metric, ids, fold is not None), found_type))
+            rows_found = met.select(*q, entry.alias("n"))
+            if best is not None:
+                rows_found = rows_found.unionByName(best.select(*q, F.explode("neighbours").alias("n")))
+            best = written(rows_found.groupBy(*q).agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("neighbours")), "knn-best")
+        if not totals[1]:
+            break
+        start, stop = stop, stop + 4 * (stop - start)
+    none = F.expr(f"cast(array() as array<{neighbour}>)")
+    if best is None:
+        return asked.select(*[F.col(f"q_{c}").alias(c) for c in ids], none.alias("neighbours"))
+    return homes.select(*q).join(best, q, "left").select(
+        *[F.col(f"q_{c}").alias(c) for c in ids], F.coalesce("neighbours", none).alias("neighbours"))
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, y: str,
             metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q, t, d, y): the k nearest training rows of each query, ties by id."""
-    source = train.select(F.col(id_col).alias("t"), F.col(vector).cast("array<double>").alias("_v"),
-                          F.col(y).cast("double").alias("y"))
-    asked = queries.select(F.col(id_col).alias("q"), F.col(vector).cast("array<double>").alias("_v"))
-    blocks, batches = (max(1, ceil(frame.count() / block_rows)) for frame in (source, asked))
+    table = neighbour_table(train, queries, k, [id_col], vector, y, metric, block_rows)
+    return table.select(F.col(id_col).alias("q"), F.explode("neighbours").alias("n")).select(
+        "q", F.col(f"n.{id_col}").alias("t"), "n.d", "n.y")
+
 
-    def spread(frame: DataFrame, name: str, own: str, parts: int, other: str, meetings: int) -> DataFrame:
-        return (frame.withColumn(own, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(meetings - 1)))))
+def share(k: int, weights: str = "uniform", table: str = "neighbours") -> Column:
+    """Share of positive rows among the first k of the neighbours, optionally weighted by inverse distance.
 
-    t = spread(source, "t", "_block", blocks, "_batch", batches)
-    q = spread(asked, "q", "_batch", batches, "_block", blocks)
-    kinds = dict(asked.dtypes)["q"], dict(source.dtypes)["t"]
-    met = (q.groupBy("_block", "_batch").cogroup(t.groupBy("_block", "_batch"))
-           .applyInPandas(_nearest(k, metric), f"q {kinds[0]}, t {kinds[1]}, d double, y double"))
-    w = W.partitionBy("q").orderBy("d", "t")
-    return met.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    Where some are at distance 0, these alone count. NULL without neighbours.
+    """
+    near = f"slice({table}, 1, {k})"
+    if weights == "uniform":
+        return F.expr(f"try_divide(aggregate({near}, 0D, (s, n) -> s + n.y), size({near}))")
+    zeros = f"filter({near}, n -> n.d = 0)"
+    return F.expr(
+        f"case when size({zeros}) > 0 then aggregate({zeros}, 0D, (s, n) -> s + n.y) / size({zeros}) "
+        f"else try_divide(aggregate({near}, 0D, (s, n) -> s + n.y / n.d), aggregate({near}, 0D, (s, n) -> s + 1 / n.d)) end")
 
 
 def knn_score(train: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, y: str,
               weights: str = "uniform", metric: str = "euclidean",
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, prob): share of positive neighbours, optionally weighted by inverse distance."""
-    found = nearest(train, queries, k, id_col, vector, y, metric, block_rows)
-    if weights == "uniform":
-        prob: Column = F.avg("y")
-    else:
-        zeros = F.count(F.when(F.col("d") == 0, 1))
-        prob = F.when(zeros > 0, F.sum(F.when(F.col("d") == 0, F.col("y"))) / zeros).otherwise(
-            F.sum(F.try_divide("y", "d")) / F.sum(F.try_divide(F.lit(1.0), "d")))
-    return found.groupBy(F.col("q").alias(id_col)).agg(prob.alias("prob"))
+    table = neighbour_table(train, queries, k, [id_col], vector, y, metric, block_rows)
+    return table.select(id_col, share(k, weights).alias("prob"))
+
+
+# --- votes with one feature replaced at a time ---------------------------------------------------
+
+QUERY_ROWS = 64
+MERGED = 16               # pieces whose neighbours are merged in one task
+
+
+def _kept(d: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of each row along the last axis, and their targets."""
+    if d.shape[-1] > k:
+        at = np.argpartition(d, k - 1, axis=-1)[..., :k]
+        return np.take_along_axis(d, at, -1), np.take_along_axis(np.broadcast_to(y, d.shape), at, -1)
+    return d, np.broadcast_to(y, d.shape)
+
+
+def _replacing(width: int, k: int):
+    """Grouped function: per query, squared distances and targets of the k nearest rows of one block, for the query as
+    it is (last) and with each feature replaced."""
+    def run(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or train.empty:
+            return pd.DataFrame({c: [] for c in ("_q", "_piece", "far", "who")})
+        t, y = np.stack(train["_x"].to_numpy()).astype(float), train["_y"].to_numpy().astype(np.int8)
+        far, who = [], []
+        for x, other in zip(queries["_x"], queries["_p"]):
+            terms = (np.asarray(x, float) - t) ** 2
+            whole = terms.sum(axis=1)
+            d = np.empty((width + 1, len(t)))
+            for j in range(width):
+                d[j] = whole - terms[:, j] + (other[j] - t[:, j]) ** 2
+            d[width] = whole
+            d[d < 1e-12 * max(whole.max(), 1e-300)] = 0.0
+            kept, target = _kept(d, y, k)
+            far.append(kept.astype("<f8").tobytes())
+            who.append(np.ascontiguousarray(target, np.int8).tobytes())
+        return pd.DataFrame({"_q": queries["_q"].to_numpy(), "_piece": train["_block"].iloc[0], "far": far, "who": who})
+    return run
+
+
+def _merging(width: int, k: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        far = [np.frombuffer(v, "<f8").reshape(width + 1, -1) for v in frame["far"]]
+        who = [np.frombuffer(v, np.int8).reshape(width + 1, -1) for v in frame["who"]]
+        d, y = np.concatenate(far, 1), np.concatenate(who, 1)
+        if d.shape[1] > k:
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            d, y = np.take_along_axis(d, at, 1), np.take_along_axis(y, at, 1)
+        return pd.DataFrame({"_q": frame["_q"].iloc[:1], "_piece": frame["_piece"].iloc[:1] // MERGED,
+                             "far": [d.astype("<f8").tobytes()], "who": [np.ascontiguousarray(y).tobytes()]})
+    return run
+
+
+def _voting(width: int, weights: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            probs = []
+            for far, who in zip(frame["far"], frame["who"]):
+                d = np.sqrt(np.frombuffer(far, "<f8").reshape(width + 1, -1))
+                y = np.frombuffer(who, np.int8).reshape(width + 1, -1)
+                if weights == "uniform":
+                    probs.append(y.mean(axis=1))
+                    continue
+                zero = d == 0
+                w = np.where(zero.any(axis=1, keepdims=True), zero, 1 / np.where(zero, 1, d))
+                probs.append((w * y).sum(axis=1) / w.sum(axis=1))
+            yield pd.DataFrame({"_q": frame["_q"], "probs": [p.tolist() for p in probs]})
+    return run
+
+
+def replaced_votes(train: DataFrame, queries: DataFrame, width: int, k: int, weights: str, ids: Sequence[str],
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(at, y, w, prob): the vote of the k nearest rows for each query, as it is (at = width) and with feature `at`
+    replaced by its other value.
+
+    `train` has ids, `_x` and `_y`, `queries` besides `_p` and `_w`. Every batch of queries meets every block of rows;
+    what a block gives is of one size, and blocks are merged by sixteen. Queries are meant to be few.
+    """
+    rows = written(train, "knn-rows")
+    asked = written(queries.withColumn("_q", F.monotonically_increasing_id()), "knn-asked")
+    blocks, batches = (max(1, ceil(frame.count() / n)) for frame, n in ((rows, block_rows), (asked, QUERY_ROWS)))
+    t = rows.select("_x", "_y", F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("int").alias("_block"),
+                    F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("_batch"))
+    q = asked.select("_q", "_x", "_p", F.pmod(F.col("_q"), F.lit(batches)).cast("int").alias("_batch"),
+                     F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    schema = "_q long, _piece int, far binary, who binary"
+    found = (q.groupBy("_batch", "_block").cogroup(t.groupBy("_batch", "_block"))
+             .applyInPandas(_replacing(width, k), schema))
+    while blocks > 1:
+        found = written(found.groupBy("_q", F.expr(f"_piece div {MERGED}")).applyInPandas(_merging(width, k), schema), "knn-merged")
+        blocks = ceil(blocks / MERGED)
+    votes = found.mapInPandas(_voting(width, weights), "_q long, probs array<double>")
+    return votes.join(asked.select("_q", F.col("_y").alias("y"), F.col("_w").alias("w")), "_q").select(
+        "y", "w", F.posexplode("probs").alias("at", "prob"))

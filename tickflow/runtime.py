@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -16,10 +17,11 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; on a cluster the caller brings its own."""
+    """Session for tests and the bench, with a scratch folder of its one process; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tickflow")
@@ -27,6 +29,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TICKFLOW_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tickflow-"))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -36,8 +39,8 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used only where
-    the driver is the only process and the setting is absent.
+    The cluster names it in ``spark.checkpoint.dir``, and ``local_session`` sets one. Only a session of one process that
+    was started without the setting gets a temporary folder.
     """
     app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,11 +55,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def state_of(spark: SparkSession, path: str) -> tuple:
-    """When the files of a table were last written and how much they hold; a rewritten table has another state."""
-    found = (spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_modification_time",
-                                             "_metadata.file_size").distinct()
-             .agg(F.count(F.lit(1)), F.max("file_modification_time"), F.sum("file_size")).first())
-    return tuple(found)
+    """Number and size of the files of a table and when its folder last changed; no row is read and no job is run.
+
+    A table that is written anew has another state. (Where folders have no times, as in object stores, one with as many
+    files of the same total size has not.)
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = system.getContentSummary(folder)
+    return held.getFileCount(), held.getLength(), system.getFileStatus(folder).getModificationTime()
 
 
 def remove_stage_tables(spark: SparkSession) -> None:
@@ -66,7 +73,24 @@ def remove_stage_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for an application; tasks import it there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tickflow-"), "tickflow.zip")     # the driver hands it out itself
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
+    ship(spark)
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
