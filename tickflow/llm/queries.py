@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickflow.llm import (collocations, conversation_trie, decontamination, language_id, line_dedup, near_dedup, neighbours,
                           packing, pii, substring_dedup, suffix_dedup, token_output, toxicity)
+from tickflow.runtime import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,8 +71,8 @@ def op7(spark, sf_dir):
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.contract(toxicity.toxicity(docs, model))
+    model, scored = toxicity.train_scored(docs, table(spark, sf_dir, "labels"))
+    return toxicity.contract(toxicity.judged(scored, model) if scored is not None else toxicity.toxicity(docs, model))
 
 
 @query("op9_neighbours")

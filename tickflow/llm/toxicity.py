@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm.words import ALNUM, LOWER, Words, byte_sums, mix, slices, span_hash, string_buffer
+from tickflow.runtime import written
 
 SAMPLE_ROWS = 4_000       # labelled documents of each class that the model is fitted on, at most
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)     # bytes
-LANGUAGE_ROWS = 20        # toxic calibration documents from which a language gets its own threshold
+LANGUAGE_ROWS = 20        # calibration documents of either label from which a language gets its own threshold
+LANGUAGES = 64            # languages with thresholds of their own, at most: those with the most labelled documents
 THRESHOLD = 0.3
 BINS = 100                # cells of the score histogram in one unit of log-odds
 SCHEMA = "doc_id long, lang string, score double"
@@ -251,11 +253,19 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of `train_scored`."""
+    return train_scored(docs, labels, sample_rows)[0]
+
+
+def train_scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame | None]:
     """Fit on at most `sample_rows` labelled documents of each class; held-out ids give no labels.
 
-    The rows are those with the smallest hash of their id; thresholds come from all labelled rows that the
-    network was not fitted on. Label rows without id or label are left
-    out; of several labels of one document the larger counts.
+    The rows are those with the smallest hash of their id; where rows repeat an id, the first text by its bytes
+    stands for it. Then every document is scored once, into a written table (doc_id, lang, z) that comes back with
+    the model, and its join with the labels gives the thresholds: from all labelled rows that the network was not
+    fitted on. A language has a threshold of its own where LANGUAGE_ROWS such rows of either label exist, at most
+    LANGUAGES have one; all others have the common one. Label rows without id or label are left out; of several
+    labels of one document the larger counts. Without labels of both classes there is no table.
     """
     own = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna()
            .where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
@@ -265,63 +275,82 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = []
     for y in (0, 1):
         sample = own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        rows += texts.join(F.broadcast(sample), "doc_id").select("text", "lang", "toxic", "doc_id").collect()
+        found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
+        rows += found.select("t.text", "t.lang", "toxic", "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     total = sum(counts.values())
     prevalence = min(max(counts.get(1, 0) / total, 1e-4), 1 - 1e-4) if total else 0.0
     model = fit_model(rows, prevalence)
-    labels = np.array([r["toxic"] for r in rows])
-    side = held_side(labels)
-    if model.net and side.any():
+    if model.net is None:
+        return model, None
+    scored = written(log_odds(docs, model), "toxicity-scores")
+    side = held_side(np.array([r["toxic"] for r in rows]))
+    if side.any():
         fitted = sorted({r["doc_id"] for r, held in zip(rows, side) if not held})
-        set_thresholds(model, texts.join(own, "doc_id"), fitted)
-    return model
-
+        set_thresholds(model, scored.join(own, "doc_id"), fitted)
+    return model, scored
 
-def set_thresholds(model: Model, labelled: DataFrame, fitted: list[int]) -> None:
-    """Thresholds from all labelled rows (doc_id, text, lang, toxic) whose id the network was not fitted on.
 
-    The rows are scored in tasks; a histogram by language, label and log-odds comes to the driver. What was left
-    out is made up for by weights, so each language has the class mix of the whole table.
-    """
-    spark = labelled.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    ids = spark.createDataFrame([(i,) for i in fitted], "doc_id long")
-    langs = labelled.groupBy("lang", "toxic").count().collect()
-    total = {(r["lang"], r["toxic"]): r["count"] for r in langs}
+def log_odds(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, z: the log-odds of every row of documents, from its whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=1_000_000):
             net = shared.value.net
-            z = np.clip(net.scale * net.logits(batch.column("text")).astype(np.float64) + net.offset, -30, 30)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("toxic"), pa.array(np.floor(z * BINS).astype(np.int32))],
-                ["lang", "toxic", "bin"])
+            z = np.clip(net.scale * net.logits(batch.column("text")).astype(np.float64) + net.offset, -500, 500)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(z, pa.float64())],
+                                             ["doc_id", "lang", "z"])
 
-    free = labelled.join(F.broadcast(ids), "doc_id", "left_anti").select("lang", "toxic", "text")
-    found = free.mapInArrow(place, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").count().collect()
-    by_lang: dict = {}
-    for r in found:
-        by_lang.setdefault(r["lang"], []).append((r["bin"], r["toxic"], r["count"]))
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(
+        place, "doc_id long, lang string, z double")
+
+
+def set_thresholds(model: Model, labelled: DataFrame, fitted: list[int]) -> None:
+    """Thresholds from all labelled rows (doc_id, lang, z, toxic) whose id the network was not fitted on.
 
-    def cut(cells: list, sizes: list[int]) -> float | None:
+    A histogram by language, label and log-odds comes to the driver. What was left out is made up for by weights,
+    so each language has the class mix of the whole table.
+    """
+    spark = labelled.sparkSession
+    ids = spark.createDataFrame([(i,) for i in fitted], "doc_id long")
+    binned = written(labelled.join(F.broadcast(ids.withColumn("fit", F.lit(True))), "doc_id", "left").select(
+        "lang", "toxic", F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z"))) * BINS).cast("int").alias("bin"),
+        F.col("fit").isNull().alias("free")).groupBy("lang", "toxic", "bin", "free").count(), "toxicity-bins")
+    sizes = (binned.groupBy("lang").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("count")).otherwise(0)).alias(f"n{y}") for y in (0, 1)],
+                                        *[F.sum(F.when((F.col("toxic") == y) & F.col("free"), F.col("count")).otherwise(0)).alias(f"f{y}")
+                                          for y in (0, 1)]))
+    able = (sizes.where((F.col("lang").isNotNull()) & (F.least("f0", "f1") >= LANGUAGE_ROWS))
+            .orderBy(F.desc(F.col("n0") + F.col("n1")), "lang").limit(LANGUAGES).collect())
+
+    def cut(cells: list, total: list[int]) -> float | None:
         at = np.array(cells, np.int64).reshape(-1, 3)
         have = [int(at[at[:, 1] == y, 2].sum()) for y in (0, 1)]
         if min(have) == 0:
             return None
         bins, place_of = np.unique(at[:, 0], return_inverse=True)
-        miss, hit = (np.bincount(place_of, at[:, 2] * (at[:, 1] == y), minlength=len(bins)) * sizes[y] / have[y]
+        miss, hit = (np.bincount(place_of, at[:, 2] * (at[:, 1] == y), minlength=len(bins)) * total[y] / have[y]
                      for y in (0, 1))
         return cut_of_histogram(bins, hit, miss)
 
-    whole = cut([c for cells in by_lang.values() for c in cells],
-                [sum(n for (_, t), n in total.items() if t == y) for y in (0, 1)])
-    if whole is None:
+    free = binned.where("free")
+    cells = [(r["bin"], r["toxic"], r["n"]) for r in free.groupBy("bin", "toxic").agg(F.sum("count").alias("n")).collect()]
+    whole = sizes.agg(F.sum("n0"), F.sum("n1")).first()
+    common = cut(cells, [whole[0] or 0, whole[1] or 0])
+    if common is None:
         return
-    model.default, model.thresholds = whole, {}
-    for lang, cells in by_lang.items():
-        if lang is not None and all(sum(n for _, t, n in cells if t == y) >= LANGUAGE_ROWS for y in (0, 1)):
-            model.thresholds[lang] = cut(cells, [total[lang, y] for y in (0, 1)])
+    model.default, model.thresholds = common, {}
+    by_lang: dict = {}
+    for r in free.where(F.col("lang").isin([r["lang"] for r in able])).collect():
+        by_lang.setdefault(r["lang"], []).append((r["bin"], r["toxic"], r["count"]))
+    for r in able:
+        model.thresholds[r["lang"]] = cut(by_lang[r["lang"]], [r["n0"], r["n1"]])
+
+
+def judged(scored: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and whether it reaches its language's threshold, from a table of log-odds."""
+    score = 1 / (1 + F.exp(-F.col("z")))
+    return scored.withColumn("score", score).select("doc_id", "score", (F.col("score") >= threshold(model)).alias("rejected"))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
