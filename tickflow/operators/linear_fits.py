@@ -28,7 +28,9 @@ BLOCK_ROWS = 4096
 RESOLUTION = 512          # steps of a unit of score (log-odds or margin)
 REACH = 16                # scores beyond are counted as this
 FITS = 96                 # fits with cross-products in one pass
+SIDE_BY_SIDE = 32         # fits without them whose sums travel as one row
 FAN_IN = 32               # files whose sums meet in one task
+PLACE = 40                # bits of a score code, below the number of its fit
 
 # the functions travel with the job, so the workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -143,26 +145,29 @@ class Blocks:
         held, only = (np.array([none if v is None else v for v in own]) for own in zip(*((s.fit.held, s.fit.only) for s in states)))
         plan = (np.stack([s.beta for s in states], 1), weights, held, only, [s.fit.loss for s in states],
                 [np.array([*s.fit.columns, width]) for s in states] if hessians else None, width)
-        shared = spark.sparkContext.broadcast(plan)
-        parts = self.table.mapInArrow(_scan(shared), "task int, dense binary, bins binary")
+        shared, each = spark.sparkContext.broadcast(plan), 1 if hessians else SIDE_BY_SIDE
+        parts = self.table.mapInArrow(_scan(shared, each), "task int, dense binary, bins binary")
         if self.fan > 1:
             parts = (parts.withColumn("part", F.expr(f"spark_partition_id() div {FAN_IN}")).groupBy("task", "part")
                      .applyInArrow(_added, "task int, dense binary, bins binary"))
-        rows = parts.groupBy("task").applyInArrow(_finished, "task int, dense binary, auc double, train_auc double").collect()
+        rows = parts.groupBy("task").applyInArrow(
+            _finished, "task int, dense binary, auc array<double>, train_auc array<double>").collect()
         shared.unpersist()
         for s in states:                      # where no block has rows
             own = len(s.fit.columns) + 1
             s.loss, s.gradient, s.hessian, s.auc, s.train_auc = 0.0, np.zeros(width + 1), np.zeros((own, own)), np.nan, np.nan
         for r in rows:
-            s, dense = states[r["task"]], np.frombuffer(r["dense"], "<f8")
-            s.auc, s.train_auc = r["auc"], r["train_auc"]
-            s.loss, s.gradient = float(dense[0]), dense[1:width + 2].copy()
-            if hessians:
-                own = len(s.fit.columns) + 1
-                s.hessian = dense[width + 2:].reshape(own, own).copy()
+            own = states[r["task"] * each:(r["task"] + 1) * each]
+            for s, dense, auc, train_auc in zip(own, np.frombuffer(r["dense"], "<f8").reshape(len(own), -1), r["auc"], r["train_auc"]):
+                s.auc, s.train_auc = auc, train_auc
+                s.loss, s.gradient = float(dense[0]), dense[1:width + 2].copy()
+                if hessians:
+                    size = len(s.fit.columns) + 1
+                    s.hessian = dense[width + 2:].reshape(size, size).copy()
 
 
-def _scan(shared):
+def _scan(shared, each: int):
+    """Sums of one pass; a row holds those of `each` fits, one after the other."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beta, weights, held, only, losses, own, width = shared.value
         fits = beta.shape[1]
@@ -199,10 +204,13 @@ def _scan(shared):
                         h = part.T @ (part * (w[:, t] * curve[:, t])[:, None])
                         dense[t] = h if dense[t] is None else dense[t] + h
         out = []
-        for t in range(fits):
-            if bins[t]:
-                numbers = [np.array([total[t]]), slope[:, t]] + ([dense[t].ravel()] if own is not None else [])
-                out.append((t, np.concatenate(numbers).astype("<f8").tobytes(), _packed(_merged(bins[t]))))
+        for first in range(0, fits, each) if bins[0] else ():
+            own_fits = range(first, min(first + each, fits))
+            numbers = [np.concatenate([[total[t]], slope[:, t]] + ([dense[t].ravel()] if own is not None else [])) for t in own_fits]
+            merged = [_merged(bins[t]) for t in own_fits]
+            codes = np.concatenate([codes + (i << PLACE) for i, (codes, _) in enumerate(merged)])
+            out.append((first // each, np.concatenate(numbers).astype("<f8").tobytes(),
+                        _packed((codes, np.concatenate([counts for _, counts in merged])))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()),
                                               pa.array([o[2] for o in out], pa.binary())], ["task", "dense", "bins"])
@@ -239,14 +247,17 @@ def _added(table: pa.Table) -> pa.Table:
 def _finished(table: pa.Table) -> pa.Table:
     whole = _added(table)
     codes, counts = _unpacked(whole.column("bins")[0].as_py())
-    step, label, seen = codes >> 2, (codes >> 1) & 1, codes & 1
-    areas = []
-    for side in (0, 1):
-        at = seen == side
-        _, place = np.unique(step[at], return_inverse=True)
-        areas.append(_area(*(np.bincount(place, counts[at] * (label[at] == c)) if at.any() else np.zeros(1) for c in (1, 0))))
+    fit, codes = codes >> PLACE, codes & ((1 << PLACE) - 1)
+    areas: tuple[list, list] = ([], [])
+    for t in range(int(fit.max()) + 1 if len(fit) else 0):
+        mine = fit == t
+        step, label, seen, n = codes[mine] >> 2, (codes[mine] >> 1) & 1, codes[mine] & 1, counts[mine]
+        for side in (0, 1):
+            at = seen == side
+            _, place = np.unique(step[at], return_inverse=True)
+            areas[side].append(_area(*(np.bincount(place, n[at] * (label[at] == c)) if at.any() else np.zeros(1) for c in (1, 0))))
     return pa.table({"task": whole.column("task"), "dense": whole.column("dense"),
-                     "auc": pa.array([areas[0]], pa.float64()), "train_auc": pa.array([areas[1]], pa.float64())})
+                     "auc": pa.array([areas[0]], pa.list_(pa.float64())), "train_auc": pa.array([areas[1]], pa.list_(pa.float64()))})
 
 
 # --- algebra on the driver -----------------------------------------------------------------
@@ -360,7 +371,24 @@ def _inverse_without(inverse: np.ndarray, k: int) -> np.ndarray:
     return inverse[np.ix_(rest, rest)] - np.outer(inverse[rest, k], inverse[k, rest]) / inverse[k, k]
 
 
-def _polished(blocks: Blocks, states: list[State], inverses: list[np.ndarray], tolerance: float, most: int) -> bool:
+@dataclass
+class Lessened:
+    """An inverse without its k-th row and column, applied without being formed."""
+
+    inverse: np.ndarray
+    k: int
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        wide = np.insert(g, self.k, 0.0)
+        out = self.inverse @ wide
+        out -= self.inverse[:, self.k] * (out[self.k] / self.inverse[self.k, self.k])
+        return np.delete(out, self.k)
+
+    def formed(self) -> np.ndarray:
+        return _inverse_without(self.inverse, self.k)
+
+
+def _polished(blocks: Blocks, states: list[State], solvers: list, tolerance: float, most: int) -> bool:
     """Newton steps with given inverses until all states are done; False where that does not get there.
 
     The inverses come from a nearby solution, so a step or two are enough and a pass needs gradients only.
@@ -377,12 +405,12 @@ def _polished(blocks: Blocks, states: list[State], inverses: list[np.ndarray], t
             else:
                 at = _own(s)
                 s.beta = s.beta.copy()
-                s.beta[at] -= inverses[i] @ _pull(s)
+                s.beta[at] -= solvers[i](_pull(s))
     return all(s.done for s in states)
 
 
-def _neighbours(blocks: Blocks, family: list[tuple[Fit, np.ndarray, np.ndarray]], tolerance: float) -> list[State]:
-    """Solutions of fits (fit, start, inverse) that differ little from a solved one."""
+def _neighbours(blocks: Blocks, family: list[tuple], tolerance: float) -> list[State]:
+    """Solutions of fits (fit, start, inverse as a function) that differ little from a solved one."""
     states = [State(f, b.copy()) for f, b, _ in family]
     if not _polished(blocks, states, [k for _, _, k in family], tolerance, 4):
         left = [i for i, s in enumerate(states) if not s.done]
@@ -392,8 +420,9 @@ def _neighbours(blocks: Blocks, family: list[tuple[Fit, np.ndarray, np.ndarray]]
 
 
 def without_each(blocks: Blocks, parents: list[State], inverses: list[np.ndarray], tolerance: float = 1e-5
-                 ) -> dict[int, list[tuple[State, np.ndarray]]]:
-    """For each column of the parents (which share their columns, one parent a fold): the fits without it.
+                 ) -> dict[int, list[tuple[State, Lessened]]]:
+    """For each column of the parents (which share their columns, one parent a fold): the fits without it, with the
+    inverses that they were found by.
 
     A fit starts where the parent's quadratic has its minimum without the column.
     """
@@ -406,7 +435,7 @@ def without_each(blocks: Blocks, parents: list[State], inverses: list[np.ndarray
             start[at] -= inverse[:, k] * parent.beta[c] / inverse[k, k]
             start[c] = 0.0
             fit = replace(parent.fit, columns=tuple(o for o in columns if o != c))
-            family.append((fit, start, _inverse_without(inverse, k)))
+            family.append((fit, start, Lessened(inverse, k)))
             names.append(c)
     states = _neighbours(blocks, family, tolerance)
     out: dict[int, list] = {}
@@ -432,7 +461,7 @@ def backward(blocks: Blocks, folds: int, keep: int, l2: float = 1.0, balanced: b
         found = without_each(blocks, parents, inverses)
         scores = {c: float(np.mean([s.auc for s, _ in own])) for c, own in found.items()}
         worst = max(found, key=lambda c: (round(scores[c], 12), -c))
-        parents, inverses = ([pair[i] for pair in found[worst]] for i in (0, 1))
+        parents, inverses = [s for s, _ in found[worst]], [k.formed() for _, k in found[worst]]
         log.append((blocks.columns[worst], scores[worst]))
     return log
 
@@ -465,7 +494,7 @@ def addition(blocks: Blocks, ordered: Sequence[str], folds: int, threshold: floa
                 inverse = np.linalg.inv(h[np.ix_(at, at)])
                 start = w.beta.copy()
                 start[at] -= inverse @ _pull(w)[at]
-                family.append((replace(w.fit, columns=own), start, inverse))
+                family.append((replace(w.fit, columns=own), start, inverse.__matmul__))
         states = _neighbours(blocks, family, 1e-5)
         for i, c in enumerate(list(waiting)):
             own = states[i * folds:(i + 1) * folds]
