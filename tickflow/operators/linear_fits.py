@@ -444,11 +444,12 @@ def without_each(blocks: Blocks, parents: list[State], inverses: list[np.ndarray
     return out
 
 
-def backward(blocks: Blocks, folds: int, keep: int, l2: float = 1.0, balanced: bool = False, refresh: int = 8
-             ) -> list[tuple[str, float]]:
+def backward(blocks: Blocks, folds: int, keep: int, l2: float = 1.0, balanced: bool = False, refresh: int = 8,
+             tolerance: float = 1e-5) -> list[tuple[str, float]]:
     """(dropped column, mean area of the held folds without it) in order, until `keep` columns are left.
 
-    Every step fits all subsets that lack one more column, for all folds, from the same passes.
+    Every step fits all subsets that lack one more column, for all folds, from the same passes. A fit counts as found
+    when no slope is above `tolerance` times the rows.
     """
     columns = tuple(range(len(blocks.columns)))
     parents = fit_all(blocks, [Fit(columns, f, l2=l2, balanced=balanced) for f in range(folds)], tolerance=1e-6)
@@ -458,7 +459,7 @@ def backward(blocks: Blocks, folds: int, keep: int, l2: float = 1.0, balanced: b
         if log and len(log) % refresh == 0:
             blocks.look(parents, hessians=True)
             inverses = [np.linalg.inv(_curved(p)) for p in parents]
-        found = without_each(blocks, parents, inverses)
+        found = without_each(blocks, parents, inverses, tolerance)
         scores = {c: float(np.mean([s.auc for s, _ in own])) for c, own in found.items()}
         worst = max(found, key=lambda c: (round(scores[c], 12), -c))
         parents, inverses = [s for s, _ in found[worst]], [k.formed() for _, k in found[worst]]

@@ -304,9 +304,9 @@ def linear_single(spark, sf):
 FOLDS = 5
 
 
-def _blocks(spark, sf, k=FOLDS):
+def _blocks(spark, sf, k=FOLDS, columns=X):
     train, _ = model_frame(spark, sf)
-    return linear_fits.Blocks(models.contiguous_folds(train, "y", k), X, "y", "fold")
+    return linear_fits.Blocks(models.contiguous_folds(train, "y", k), columns, "y", "fold")
 
 
 @query("sel_rfa")
@@ -328,19 +328,19 @@ def sel_rfe(spark, sf):
 
 @query("sel_sequential")
 def sel_sequential(spark, sf):
-    """Backward selection from all features to fourteen."""
-    log = linear_fits.backward(_blocks(spark, sf), FOLDS, keep=14, balanced=True)
+    """Backward selection from the first 24 features to fourteen, five folds."""
+    log = linear_fits.backward(_blocks(spark, sf, columns=X[:24]), FOLDS, keep=14, balanced=True)
     return spark.createDataFrame(log, "dropped string, cv_auc double")
 
 
 @query("sel_family")
 def sel_family(spark, sf):
-    """Mutual information first, then the rankings of each family."""
+    """Mutual information first, then the importances of the tree and linear families."""
     train, _ = model_frame(spark, sf)
     out = selection.mi_scores(train, X).select(F.lit("mi").alias("ranking"), "cols", "importance")
-    small = {"rf": {"numTrees": 20}, "rf2": {"numTrees": 20}, "gbt": {"trees": 5, "depth": 4}, "gbt2": {"trees": 5, "depth": 4}}
-    for family in ("tree", "knn", "svm", "linear"):
-        out = out.unionByName(selection.family_importances(train, X, family, fixed=small, rows=500, repeats=1))
+    small = {"rf": {"numTrees": 20}, "rf2": {"numTrees": 20}, "gbt": {"trees": 3, "depth": 4}, "gbt2": {"trees": 3, "depth": 4}}
+    for family in ("tree", "linear"):
+        out = out.unionByName(selection.family_importances(train, X, family, fixed=small))
     return out
 
 
@@ -418,7 +418,7 @@ def pca(spark, sf):
 _BASES = [Base("svm1", "svm", ("chgfreq", "smart_price", "rng_ewma", "movesc_ask_2p5_0p9", "msg_imb", "loc_agg_imb_m"),
                {"balanced": True, "maxIter": 10, "C": 24.84969151880429, "gamma": 0.0030157367155080337, "components": 32}),
           Base("gbt1", "gbt", ("smart_price", "chgfreq", "agg_net_d", "book_imb"),
-               {"trees": 5, "depth": 5, "row_share": 0.7, "column_share": 0.99999, "min_child_weight": 25, "rate": 0.1, "gamma": 3,
+               {"trees": 3, "depth": 3, "row_share": 0.7, "column_share": 0.99999, "min_child_weight": 25, "rate": 0.1, "gamma": 3,
                 "alpha": 2, "positive_weight": 2.5}),
           Base("knn57", "knn", ("chgfreq", "smart_price", "rng_ewma"), {"n_neighbors": 57}),
           Base("knn75", "knn", ("book_imb", "imp_c_0p8", "imp_v_0p8", "loc_agg_net_m_aux", "n_trd_aux", "msg_imb", "score"),
@@ -434,13 +434,6 @@ def stacking(spark, sf):
         "date_trd", "trd_id", "y", *[b.name for b in _BASES], "prob")
 
 
-@query("stack_search")
-def stack_search(spark, sf):
-    """Penalty of the meta model by cross-validation of a stack of neighbours and a linear model, F0.5 as the measure."""
-    train, _ = model_frame(spark, sf)
-    return models.search_stack(train, _BASES[2:], outer=2, inner=2).scores
-
-
 @query("search_random")
 def search_random(spark, sf):
     """Ten draws and five folds over all features, fitted in shared passes."""
@@ -458,10 +451,8 @@ def search_neighbours(spark, sf):
 @query("model_compare")
 def model_compare(spark, sf):
     train, test = model_frame(spark, sf)
-    whole = models.model_compare(train, test, X, ["logit", "knn"])
-    # the others fit fold by fold
-    small = {"rf": {"numTrees": 5, "maxDepth": 4}, "gbt": {"trees": 3, "depth": 3}, "svm": {"maxIter": 5, "components": 16}}
-    return whole.unionByName(models.model_compare(train, test, X, list(small), draws=2, k=2, fixed=small))
+    small = {"rf": {"numTrees": 5, "maxDepth": 4}, "gbt": {"trees": 3, "depth": 3}, "logit": {}, "svm": {"maxIter": 5, "components": 16}}
+    return models.model_compare(train, test, X, list(small), draws=2, k=2, fixed=small)
 
 
 _OOF_SQL = """
