@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.words import ALNUM, LOWER, Words, byte_sums, mix, slices, span_hash, string_buffer
+from tickflow.llm.words import ALNUM, LOWER, Words, byte_sums, mix, return_memory, slices, span_hash, string_buffer
 from tickflow.runtime import written
 
 SAMPLE_ROWS = 4_000       # labelled documents of each class that the model is fitted on, at most
@@ -301,6 +301,7 @@ def log_odds(docs: DataFrame, model: Model) -> DataFrame:
             z = np.clip(net.scale * net.logits(batch.column("text")).astype(np.float64) + net.offset, -500, 500)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(z, pa.float64())],
                                              ["doc_id", "lang", "z"])
+        return_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(
         place, "doc_id long, lang string, z double")
@@ -387,6 +388,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             own = shared.value
             limit = np.array([own.thresholds.get(x, own.default) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array(own.score(batch.column("text")) < limit))
+        return_memory()
 
     return docs.mapInArrow(keep, docs.schema)
 
