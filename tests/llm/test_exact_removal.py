@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -156,6 +157,8 @@ def brute_lines(rows, rare):
             continue
         shared = {x: len(holders[x]) for x in set(v) if holders[x][0] < i}
         partners = {holders[x][0] for x, n in shared.items() if n <= rare or n == min(shared.values())}
+        gone = {k for e in partners for k in line_dedup.patience(nodes[e], v)}
+        partners |= {holders[x][0] for k, x in enumerate(v) if k not in gone and x in shared}
         out[i] = len({k for e in partners for k in line_dedup.patience(nodes[e], v)})
     return out
 
@@ -166,3 +169,42 @@ def test_lines_equal_brute_force(documents):
     got = {r["doc_id"]: r["__n_removed"] for r in line_dedup.dedup_lines(documents(rows), rare_least=4).collect()}
     want = brute_lines(rows, 4)
     assert {i: n for i, n in got.items() if i in want} == want
+
+
+def test_every_shared_line_is_cut_however_many_hold_it(documents):
+    """Lines that half of the texts hold go as well, though each text also has rarer leads to other partners."""
+    rng = random.Random(5)
+    notices = [f"notice {k} that many hold" for k in range(6)]
+    rows = []
+    for k in range(300):
+        text = [f"own {k}"] + [f"pair {k // 2}"] + sorted(rng.sample(notices, 3)) + [f"end {k}"]
+        rows.append((k, "\n".join(text)))
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(documents(rows), rare_least=3).collect()}
+    first = {}
+    for k, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(x, k)
+    for k, t in rows:                      # all texts have them in one order, so nothing stands in the way
+        assert got[k] == [x for x in t.split("\n") if first[x] == k]
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_common_order(monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "TABLE_BITS", bits)
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = line_dedup.common_order(a, b)
+        it = iter(a)
+        assert got == sorted(set(got)) and all(any(x == b[k] for x in it) for k in got) and len(got) == best[-1][-1]
+
+
+def test_lines_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a\nb", 5, "x", 7), (2, "b\nc", 6, None, 8)],
+                                 "doc_id long, text string, __id long, __marks string, __n_lines long")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert got[2]["text"] == "c" and got[2]["__id"] == 6 and got[1]["__marks"] == "x" and got[2]["__n_lines"] == 2

@@ -299,3 +299,15 @@ def test_near_duplicates_in_buckets_that_share_a_passage(spark, documents):
     pairs = [int(i) for i in even[shared & (alike >= near_dedup.SIMILARITY)]]
     assert len(pairs) > 300 and len(set(got.values())) > 400      # the passage alone links nobody
     assert [i for i in pairs if got[i] != got[i + 1]] == []
+
+
+def test_signs_tell_agreeing_samples(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(-2**62, 2**62, (400, near_dedup.BANDS * near_dedup.ROWS))
+    b = np.where(rng.random(a.shape) < rng.random((400, 1)), a, a + rng.integers(1, 64, a.shape))
+    agreeing = (a == b).sum(axis=1)
+    pairs = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(
+        zip(near_dedup.sample_signs(a), near_dedup.sample_signs(b)))], "k long, x array<long>, y array<long>")
+    got = {r["k"] for r in pairs.where(near_dedup._agree("x", "y")).collect()}
+    assert got == set(np.flatnonzero(agreeing >= near_dedup.AGREE).tolist()) and 50 < len(got) < 350
+    assert (near_dedup.band_hashes(a)[:, 0] != near_dedup.band_hashes(a)[:, 1]).all()

@@ -18,6 +18,7 @@ RARE_LEAST = 10           # or in so many, whichever is more
 
 NOT_NEWLINE = byte_table(lambda b: b != 0x0A)
 LINES = "doc_id long, key binary, lines array<long>"
+TABLE_BITS = 1 << 28      # of one alignment table; longer sequences are halved
 
 
 def text_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -58,11 +59,56 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _states(a: Sequence[int], b: Sequence[int]) -> Iterator[int]:
+    """After each element of a, a number whose zero bits mark where a longest common subsequence with b's head grows."""
+    at: dict[int, int] = {}
+    for k, v in enumerate(b):
+        at[v] = at.get(v, 0) | 1 << k
+    full = state = (1 << len(b)) - 1
+    for v in a:
+        hit = state & at.get(v, 0)
+        state = (state + hit | state - hit) & full
+        yield state
+
+
+def _head_lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a and b[:k] for every k."""
+    state = (1 << len(b)) - 1
+    for state in _states(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits[:len(b)].astype(np.int64))))
+
+
+def common_order(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """Places in b of a longest common subsequence of a and b."""
+    if not set(a) & set(b):
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_head_lengths(a[:half], b) + _head_lengths(a[half:][::-1], b[::-1])[::-1]))
+        return common_order(a[:half], b[:cut]) + [cut + k for k in common_order(a[half:], b[cut:])]
+    size = len(b) // 8 + 1
+    rows = [state.to_bytes(size, "little") for state in _states(a, b)]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        byte, bit = j - 1 >> 3, j - 1 & 7
+        if rows[i - 1][byte] >> bit & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1][byte] >> bit & 1:
+            j -= 1
+            out.append(j)
+    return out[::-1]
+
+
 def patience(a: Sequence[int], b: Sequence[int]) -> list[int]:
     """Places in b of the lines that a patience diff aligns with lines of a.
 
     Equal heads and tails are aligned; between them the lines that either side has once are matched in the
-    longest common order, and the gaps between matches are treated the same way.
+    longest common order, and the gaps between matches are treated the same way. A gap without such a line is
+    aligned by a longest common subsequence.
     """
     out: list[int] = []
     todo = [(0, len(a), 0, len(b))]
@@ -85,6 +131,7 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[int]:
         common = sorted((k, once[v]) for v, k in seen.items() if k >= 0 and once.get(v, -1) >= 0)
         chain = [common[k] for k in _rising([at for _, at in common])]
         if not chain:
+            out += [b0 + k for k in common_order(a[a0:a1], b[b0:b1])]
             continue
         last_a, last_b = a0, b0
         for kb, ka in chain:
@@ -103,35 +150,69 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["key", "places"])
 
 
-def overlaps(listed: DataFrame, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST) -> DataFrame:
-    """key, earlier: pairs of different texts to align, the earlier one holding a shared line first.
+def leads(texts: DataFrame) -> DataFrame:
+    """key, line, n, earlier: for every line that different texts share, how many hold it and the first one that does."""
+    held = texts.select("key", "first", F.explode(F.array_distinct("lines")).alias("line"))
+    shared = (held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("first", "key")).alias("owner"))
+              .where("n > 1"))
+    return (held.join(shared, "line").where(F.col("key") != F.col("owner.key"))
+            .select("key", "line", "n", F.col("owner.key").alias("earlier")))
+
+
+def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and the places of the lines that an alignment with an earlier text covers, one row a pair."""
+    lines = texts.select("key", "lines")
+    both = pairs.join(lines, "key").join(
+        lines.select(F.col("key").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+    return both.select("key", "lines", "earlier_lines").mapInArrow(_aligned, "key binary, places array<int>")
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, line = [], []
+        for name, lines, places in zip(batch.column("key"), batch.column("lines"), batch.column("places")):
+            values = np.asarray(lines.values)
+            open_ = np.ones(len(values), bool)
+            if places.is_valid:
+                open_[np.asarray(places.values)] = False
+            rest = np.unique(values[open_])
+            key += [name.as_py()] * len(rest)
+            line.append(rest)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.binary()), pa.array(np.concatenate(line) if line else [], pa.int64())], ["key", "line"])
+
 
-    A text is led to its partners by its rare shared lines; where it has none, by the rarest it shares. Each
-    such line leads to one partner, the first text that holds it, so pairs never outnumber lines.
+def covered_places(listed: DataFrame, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST) -> DataFrame:
+    """key, places: the lines of each text that alignments with earlier texts cover.
+
+    First a text is led to its partners by its rare shared lines or, where it has none, by the rarest it shares.
+    Then every line that is left and that an earlier text holds leads to its first holder, however many hold it.
+    So each shared line has been aligned with its first holder, or is covered already; pairs never outnumber lines.
     """
     texts = listed.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("lines").alias("lines"))
     texts = written(texts, "line-texts")
     rare = max(rare_least, int(rare_share * texts.count()))
-    held = texts.select("key", "first", F.explode(F.array_distinct("lines")).alias("line"))
-    shared = (held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("first", "key")).alias("owner"))
-              .where("n > 1"))
-    led = written(held.join(shared, "line").where(F.col("key") != F.col("owner.key"))
-                  .select("key", "n", F.col("owner.key").alias("earlier")), "led")
+    led = written(leads(texts), "led")
     rarest = led.groupBy("key").agg(F.min("n").alias("least"))
-    pairs = (led.join(rarest, "key").where((F.col("n") <= rare) | (F.col("n") == F.col("least")))
-             .select("key", "earlier").distinct())
-    lines = texts.select("key", "lines")
-    return (pairs.join(lines, "key").join(lines.select(F.col("key").alias("earlier"),
-                                                       F.col("lines").alias("earlier_lines")), "earlier"))
+    pairs = written(led.join(rarest, "key").where((F.col("n") <= rare) | (F.col("n") == F.col("least")))
+                    .select("key", "earlier").distinct(), "line-pairs")
+    found = written(_gathered(aligned(pairs, texts)), "line-places")
+    left = (texts.join(rarest.select("key"), "key").join(found, "key", "left").select("key", "lines", "places")
+            .mapInArrow(_left, "key binary, line long"))
+    more = (led.join(left, ["key", "line"]).select("key", "earlier").distinct()
+            .join(pairs, ["key", "earlier"], "left_anti"))
+    return _gathered(found.unionByName(aligned(written(more, "line-pairs"), texts)))
 
 
 def removed_lines(docs: DataFrame, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST) -> DataFrame:
     """doc_id, key, whole (an earlier document has the same lines) and places of the lines to delete."""
     listed = written(docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
                      .where("doc_id is not null").mapInArrow(_listed, LINES).where("size(lines) > 0"), "lines")
-    aligned = overlaps(listed, rare_share, rare_least).select("key", "lines", "earlier_lines").mapInArrow(
-        _aligned, "key binary, places array<int>")
-    cut = aligned.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    cut = covered_places(listed, rare_share, rare_least)
     first = listed.groupBy("key").agg(F.min("doc_id").alias("first"))
     own = listed.select("doc_id", "key").distinct().join(first, "key").join(cut, "key", "left")
     return own.select("doc_id", "key", (F.col("doc_id") > F.col("first")).alias("whole"), "places").where(
@@ -146,12 +227,12 @@ def kept_text(text: str, whole: bool, places: list[int]) -> tuple[str, int, int]
     return "\n".join(piece for k, piece in enumerate(pieces) if k not in gone), len(full), len(gone)
 
 
-def _cutter(names: list[str]):
+def _cutter(names: list[str], marked: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             _, _, keys = text_lines(batch.column("text"))
             texts = batch.column("text").to_pylist()
-            marks = batch.column("__marks").to_pylist()
+            marks = batch.column(marked).to_pylist()
             rows = []
             for text, key, found in zip(texts, keys, marks):
                 mark = next((m for m in found or () if m["key"] == key), None)
@@ -169,21 +250,24 @@ def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, rare_least: int
     """All rows and columns of docs, the text without lines that an earlier document has, and the columns
     __n_lines (lines that are not empty) and __n_removed.
 
-    Two documents overlap when they share a rare line (see `overlaps`); a patience diff of their lines aligns
-    them, and what is aligned goes from the document with the larger id. Alignments use the texts as they came.
+    Documents that share lines are aligned by a patience diff, led by rare lines first (see `covered_places`), and
+    what is aligned goes from the document with the larger id. Alignments use the texts as they came. A shared line
+    stays only where it stands in another order than in the documents that it was aligned with.
     A document with the very lines of an earlier one loses all of them.
 
     NULL stays NULL and has no lines; empty lines and texts stay; rows without a doc_id stay as they are and are
     no partner; rows that repeat a doc_id with the same text are one document and stay alike; other columns pass
-    through; an empty table gives an empty result.
+    through, but for those named like the two new ones, which are replaced; an empty table gives an empty result.
     """
+    docs = docs.drop("__n_lines", "__n_removed")
+    own_id, marked = ("_" * max(map(len, docs.columns)) + name for name in ("id", "marks"))     # longer than any column
     marks = removed_lines(docs, rare_share, rare_least).groupBy("doc_id").agg(
-        F.collect_list(F.struct("key", "whole", "places")).alias("__marks")).withColumnRenamed("doc_id", "__id")
+        F.collect_list(F.struct("key", "whole", "places")).alias(marked)).withColumnRenamed("doc_id", own_id)
     joined = docs.withColumn("text", F.col("text").cast("string")).join(
-        marks, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+        marks, F.col("doc_id").cast("long") == F.col(own_id), "left").drop(own_id)
     schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("__n_lines", "long").add(
         "__n_removed", "long")
-    return joined.mapInArrow(_cutter(docs.columns), schema)
+    return joined.mapInArrow(_cutter(docs.columns, marked), schema)
 
 
 def contract(found: DataFrame) -> DataFrame:

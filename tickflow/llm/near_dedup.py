@@ -8,16 +8,18 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickflow.llm.exchange import pack, unpack
 from tickflow.llm.links import components
 from tickflow.llm.words import ALNUM, LOWER, Words, mix, run_hash, running, slices, span_hash, string_buffer, within
-from tickflow.runtime import written
+from tickflow.runtime import attach, written
 
 SHINGLE = 5               # words
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3       # a pair at the threshold shares no band with a chance of 2 in 10,000
+AGREE = 17                # of the 36 samples; a pair at the threshold agrees in fewer with a chance of 3 in 1,000,000
 COUNTERS = 1 << 20        # document frequencies are kept in so many counters, whatever the corpus
 BLOCK = 1 << 14
 SALT_ROWS = 1 << 9        # texts with one prefix shingle that are held against each other in one group
@@ -25,8 +27,8 @@ ROUNDING = 1e-6           # bounds are lowered by this share, so rounded sums ne
 IDF = 0.5                 # the rarest shingle weighs 1 + IDF, one that every document has weighs 1
 _CELLS = 1 << 16
 
-SKETCH = "doc_id long, key binary, samples array<long>"
-PREFIX = "key binary, total double, shingle long, rest double"
+SKETCH = "doc_id long, key binary, bands array<long>, signs array<long>"
+PREFIX = "key binary, component long, total double, shingle long, rest double"
 PAIR = "a binary, b binary, similarity double"
 
 
@@ -108,7 +110,7 @@ class Sampler:
         log_w = np.log(self.weights(s))
         cell = np.uint64(_CELLS - 1)
         for k in range(BANDS * ROWS):
-            u = mix(s.value + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+            u = mix(s.value + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
             rate = self.rate[(u & cell).astype(np.int64)]
             shift = ((u >> np.uint64(32)) & cell).astype(np.float32) / np.float32(_CELLS)
             t = np.floor(log_w / rate + shift)
@@ -135,13 +137,13 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         if documents:
             parts = total.reshape(-1, BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts]),
+                [pa.array(range(len(parts)), pa.int32()), pa.array([pack(p.astype("<i4")) for p in parts]),
                  pa.array([documents] * len(parts), pa.int64())], ["block", "counts", "documents"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for part in table.column("counts"):
-            total += np.frombuffer(part.as_py(), "<i4")
+            total += unpack(part.as_py(), "<i4")[0]
         return pa.table({"block": table.column("block").slice(0, 1),
                          "counts": pa.array([total.astype("<i8").tobytes()], pa.binary()),
                          "documents": pa.array([sum(table.column("documents").to_pylist())], pa.int64())})
@@ -154,19 +156,50 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, max((r["documents"] for r in rows), default=0)
 
 
+def band_hashes(samples: np.ndarray) -> np.ndarray:
+    """One hash per text and band."""
+    parts = samples.view(np.uint64).reshape(len(samples), BANDS, ROWS)
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(samples), 0)
+    for r in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return out.view(np.int64)
+
+
+def sample_signs(samples: np.ndarray) -> np.ndarray:
+    """Six bits of each sample, a byte each, eight to a number; the places left over are alike in all texts."""
+    out = np.zeros((len(samples), -(-samples.shape[1] // 8) * 8), np.uint8)
+    out[:, :samples.shape[1]] = samples.astype(np.uint8) & 0x3F
+    return out.view("<i8")
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether the signs of two texts differ in at most BANDS * ROWS - AGREE places.
+
+    Equal samples have equal signs; unequal ones have them once in 64, which only lets a pair through.
+    """
+    differing = F.lit(0)
+    for k in range(-(-BANDS * ROWS // 8)):          # a byte that is not zero carries into its seventh bit
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k]) + F.lit(0x3F3F3F3F3F3F3F3F)
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x4040404040404040)))
+    return differing <= BANDS * ROWS - AGREE
+
+
+def _lists(rows: np.ndarray, filled: np.ndarray) -> pa.ListArray:
+    """A list for each text; an empty one where it is not filled."""
+    bounds = np.concatenate(([0], np.cumsum(filled * rows.shape[1])))
+    return pa.ListArray.from_arrays(bounds.astype(np.int32), np.ascontiguousarray(rows).ravel())
+
+
 def _sketcher(shared: Broadcast):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             s = Shingles(batch.column("text"))
-            found = shared.value.samples(s)
-            rows = np.zeros((batch.num_rows, found.shape[1]), np.int64)
+            samples = shared.value.samples(s)
             filled = np.diff(s.bounds) > 0
-            rows[filled] = found
-            samples = pa.ListArray.from_arrays(
-                np.concatenate(([0], np.cumsum(filled * found.shape[1]))).astype(np.int32), rows[filled].ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.key(k) for k in range(batch.num_rows)], pa.binary()), samples],
-                ["doc_id", "key", "samples"])
+                [batch.column("doc_id"), pa.array([s.key(k) for k in range(batch.num_rows)], pa.binary()),
+                 _lists(band_hashes(samples), filled), _lists(sample_signs(samples), filled)],
+                ["doc_id", "key", "bands", "signs"])
     return sketch
 
 
@@ -196,10 +229,11 @@ def _verifier(shared: Broadcast, least: float):
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text is the one that their key names (a doc_id may have several texts)."""
     for batch in slices(batches):
         s = Shingles(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s.key(k) for k in range(batch.num_rows)], pa.binary()), batch.column("text")], ["key", "text"])
+        own = np.flatnonzero([s.key(k) == key for k, key in enumerate(batch.column("key").to_pylist())])
+        yield batch.take(pa.array(own)).select(["key", "text"])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -208,10 +242,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Texts are their lower-cased words. Documents with the same words are one node from the start, however
     many they are. A node's shingles (five words; all words of a shorter text) weigh their count times a
     mild inverse document frequency; 36 consistent weighted samples in 12 bands propose links. In every
-    band bucket each node is held against the bucket's smallest node. Where verified links (weighted Jaccard
-    similarity of whole texts) leave a bucket in several classes, all pairs of texts of such buckets that are of
-    different classes are either excluded by a bound on their rarest shingles or verified too, so every proposed
-    pair that is alike is in one class. Classes are the connected components.
+    band bucket each node is held against the bucket's smallest node. Pairs that agree in fewer than AGREE of their
+    samples are left out; the others are verified by the weighted Jaccard similarity of whole texts. Where verified
+    links leave a bucket in several classes, its pairs of different classes are left out only by their samples or by a
+    bound on their rarest shingles, and verified otherwise. Classes are the connected components.
 
     Texts without words (NULL, empty, signs only) are one class. Rows without a doc_id are left out; rows that
     repeat a doc_id are one document, in the class of the smallest id that any of its texts reaches; an empty
@@ -222,23 +256,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             .where("doc_id is not null"))
     shared = spark.sparkContext.broadcast(Sampler(*frequencies(docs)))
     sketch = written(docs.mapInArrow(_sketcher(shared), SKETCH), "sketch")
-    nodes = sketch.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("samples").alias("samples"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)])
-                      for b in range(BANDS)])
-    nodes = written(nodes.where(F.size("samples") > 0).withColumn("bands", bands), "nodes")
-    buckets = nodes.select("key", "first", F.explode("bands").alias("band"))
-    centres = (buckets.groupBy("band").agg(F.min(F.struct("first", "key")).alias("centre"), F.count("*").alias("n"))
-               .where("n > 1"))
-    members = written(buckets.join(centres, "band").select(
-        "band", "key", "first", F.col("centre.key").alias("centre"), F.col("centre.first").alias("centre_first")),
-        "members")
+    nodes = written(sketch.where(F.size("bands") > 0).groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"), F.any_value("signs").alias("signs")), "nodes")
+    held = nodes.select("key", "first", F.explode("bands").alias("band"))
+    several = written(held.groupBy("band").count().where("count > 1").select("band"), "bands")
+    buckets = written(held.join(several, "band"), "buckets")
+    centres = buckets.groupBy("band").agg(F.min(F.struct("first", "key")).alias("centre"))
+    members = written(buckets.join(centres, "band").select("band", "key", "first", F.col("centre.key").alias("centre")),
+                      "members")
+
     texts = written(_texts(docs, members), "texts")
 
-    proposed = members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(_verified(proposed, texts, shared, similarity), "links")
-    further = written(_contested(members, texts, components(links), shared, similarity), "contested")
-    more = _verified(further, texts, shared, similarity)
-    links = written(links.unionByName(more), "links")
+    links = written(_verified(_likely(members.where("key != centre").select(
+        F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), nodes), texts, shared, similarity), "links")
+    further = _likely(_contested(texts, members, components(links), shared, similarity), nodes, True)
+    links = written(links.unionByName(_verified(further, texts, shared, similarity)), "links")
     found = components(links)
     own = sketch.select("doc_id", "key").join(
         found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
@@ -251,14 +283,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """key, text of the nodes that share a bucket with another."""
-    wanted = members.select("key", "first").distinct()
-    rows = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return (rows.select("text").mapInArrow(_keyed, "key binary, text string")
-            .join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
+    """key, text of the nodes that share a bucket with another; the only step that meets documents with nodes."""
+    wanted = members.select(F.col("first").alias("doc_id"), "key").distinct()
+    rows = attach(docs, wanted, ["doc_id"], "inner").select("key", "text")
+    return rows.mapInArrow(_keyed, "key binary, text string").groupBy("key").agg(F.any_value("text").alias("text"))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, banded: bool = False) -> DataFrame:
+    """The pairs (a, b) that agree in enough samples and, where asked for, in a band."""
+    held = nodes.select("key", "signs", *["bands"][:banded])
+    pairs = (pairs.join(held.select(*[F.col(c).alias(f"{c}_a") for c in held.columns]), F.col("a") == F.col("key_a"))
+             .join(held.select(*[F.col(c).alias(f"{c}_b") for c in held.columns]), F.col("b") == F.col("key_b")))
+    like = _agree("signs_a", "signs_b")
+    return written(pairs.where(like & F.arrays_overlap("bands_a", "bands_b") if banded else like).select("a", "b"), "likely")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are alike, with their similarity."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = written(attach(texts, keys, ["key"], "left_semi"), "pair-texts")
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(
@@ -270,15 +313,16 @@ def _prefixer(shared: Broadcast, least: float):
         for batch in slices(batches):
             s = Shingles(batch.column("text"))
             text, value, total, rest = shared.value.prefixes(s, least)
+            at = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(text)), pa.array(total, pa.float64()),
+                [batch.column("key").take(at), batch.column("component").take(at), pa.array(total, pa.float64()),
                  pa.array(value.view(np.int64), pa.int64()), pa.array(rest, pa.float64())],
-                ["key", "total", "shingle", "rest"])
+                ["key", "component", "total", "shingle", "rest"])
     return prefix
 
 
-def _contested(members: DataFrame, texts: DataFrame, found: DataFrame, shared: Broadcast, least: float) -> DataFrame:
-    """Pairs (a, b) of texts of split buckets, of different classes, that no bound keeps below the similarity.
+def _contested(texts: DataFrame, members: DataFrame, found: DataFrame, shared: Broadcast, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of split buckets, of different classes, that no bound keeps below the similarity.
 
     The rarest shingles of a text that make up a share of 1 - similarity of its weight are its prefix. Of two
     texts that are alike, the first shingle in common (in order of weight) lies in the prefix of the heavier one
@@ -288,23 +332,24 @@ def _contested(members: DataFrame, texts: DataFrame, found: DataFrame, shared: B
     Shingles that many texts have are dealt over SALT_ROWS rows each.
     """
     own = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("component"))
+        "band", "key", F.xxhash64(F.coalesce("component", "key")).alias("component"))
+    own = written(own, "own-classes")
     split = (own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("band"))
     mixed = own.join(split, "band").select("key", "component").distinct()
-    prefix = written(texts.join(mixed.select("key"), "key", "left_semi").mapInArrow(_prefixer(shared, least), PREFIX)
-                     .join(mixed, "key"), "prefixes")
+    prefix = written(attach(texts, mixed, ["key"], "inner").mapInArrow(_prefixer(shared, least), PREFIX), "prefixes")
     hot = (prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                          F.count("*").alias("n"))
            .where("low <> high").select("shingle", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")))
     both = written(prefix.join(hot, "shingle"), "shared-prefixes")
     part = 2 * least / (1 + least) * (1 - ROUNDING)
+    columns = ("key", "component", "total", "rest")
     light = both.where(F.col("rest") >= part * F.col("total")).select(
         "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "total", "rest")])
+        *[F.col(c).alias(f"{c}_a") for c in columns])
     heavy = both.select(
         "shingle", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"),
-        *[F.col(c).alias(f"{c}_b") for c in ("key", "component", "total", "rest")])
+        *[F.col(c).alias(f"{c}_b") for c in columns])
     enough = least / (1 + least) * (1 - ROUNDING) * (F.col("total_a") + F.col("total_b"))
     pairs = light.join(heavy, ["shingle", "salt"]).where(
         (F.col("component_a") != F.col("component_b"))
