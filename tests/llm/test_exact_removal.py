@@ -208,3 +208,28 @@ def test_lines_with_clashing_columns(spark):
                                  "doc_id long, text string, __id long, __marks string, __n_lines long")
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(rows).collect()}
     assert got[2]["text"] == "c" and got[2]["__id"] == 6 and got[1]["__marks"] == "x" and got[2]["__n_lines"] == 2
+
+
+@pytest.mark.parametrize("shards", [1, 7, 5000])
+def test_answers_come_back_to_their_hashes(shards):
+    """What a piece sends by shard and what it reads from the answers are the same hashes, however many shards there are."""
+    import pyarrow as pa
+    from tickflow.llm import exchange
+    rng = np.random.default_rng(shards)
+    hashes = rng.integers(0, 2**64, 3000, dtype=np.uint64)[rng.integers(0, 3000, 6000)]
+    doc = np.sort(rng.integers(0, 40, 6000))
+    piece = exchange.Piece(3, 1, pa.array(range(100, 140), pa.int64()), pa.array(["x"] * 40))
+    wanted = set(np.unique(hashes)[::3].tolist())
+    rows, sent = [], 0
+    _, first = np.unique(hashes, return_index=True)
+    own = hashes[np.sort(first)]
+    for s, part, number, n, low, docs in exchange.entries(piece, hashes, doc, shards):
+        mine = own[exchange.shard_of(own, shards) == s]
+        assert mine.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :exchange.KEPT].tobytes() == low
+        ids, counts = exchange.unpack(docs, "<i8", "<i4")
+        assert counts.sum() == n == len(mine) and set(ids.tolist()) <= set(range(100, 140))
+        sent += n
+        rows.append((part, number, s, n, exchange.pack(np.packbits([int(h) in wanted for h in mine]))))
+    answers = pa.table(dict(zip(("part", "piece", "shard", "n", "bits"), map(list, zip(*rows[::-1])))))
+    assert sent == len(own)
+    assert exchange.Answers(answers).flagged(piece, hashes, shards).tolist() == sorted(wanted)

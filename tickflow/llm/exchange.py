@@ -114,14 +114,12 @@ def entries(piece: Piece, hashes: np.ndarray, doc: np.ndarray, shards: int) -> I
     hashes, doc = hashes[first], doc[first]
     shard = shard_of(hashes, shards)
     order = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    used, starts = np.unique(shard[order], return_index=True)
     ids = piece.ids()
-    for s in range(shards):
-        own = order[bounds[s]:bounds[s + 1]]
-        if len(own):
-            at, count = np.unique(doc[own], return_counts=True)
-            low = hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
-            yield (s, piece.part, piece.piece, len(own), low.tobytes(), pack(ids[at], count.astype("<i4")))
+    for s, own in zip(used.tolist(), np.split(order, starts[1:])):       # only shards that the piece has hashes of
+        at, count = np.unique(doc[own], return_counts=True)
+        low = hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
+        yield (s, piece.part, piece.piece, len(own), low.tobytes(), pack(ids[at], count.astype("<i4")))
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -192,10 +190,11 @@ class Answers:
         _, first = np.unique(hashes, return_index=True)
         first.sort()
         own = hashes[first]
-        shard = shard_of(own, shards)
+        found = self.of.get((piece.part, piece.piece), {})
+        order = np.argsort(shard_of(own, shards), kind="stable")         # as `entries` has sent them, shard by shard
         flags = np.zeros(len(own), bool)
-        for s, bits in self.of.get((piece.part, piece.piece), {}).items():
-            flags[np.flatnonzero(shard == s)] = bits
+        if found:
+            flags[order] = np.concatenate([found[s] for s in sorted(found)])
         return np.sort(own[flags])
 
 
