@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) < set(found)
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) < set(found)
     assert "pipeline" in found and len(corpus_pipeline.STAGES) == 5
 
 
