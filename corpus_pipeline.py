@@ -32,11 +32,14 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates its smallest id stays; rows without an id all stay.
 
-    Rows that repeat the id that stays are one document: one of them stays.
+    Rows that repeat the id that stays are one document: the one with the smallest text stays, so a task that runs
+    again keeps the same one.
     """
     classes = near_dedup.near_duplicates(docs)
     stays = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(stays, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = (docs.join(stays, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").groupBy("doc_id")
+            .agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
+            .select("row.*"))
     return kept.unionByName(docs.where("doc_id is null"))
 
 
