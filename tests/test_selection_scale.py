@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tickflow.operators import selection
+from tickflow.plans import modelling
 
 
 def plan(df):
@@ -37,3 +38,9 @@ def test_noise_is_not_written(spark, monkeypatch):
     got = {r["cols"]: r["importance"] for r in selection.mi_random(df, "y", 1).collect()}
     assert set(got) == {f"{c}_0" for c in ("uniform", "exp", "lognormal", "normal", "zero", "one")}
     assert got["zero_0"] == got["one_0"] == 0 < got["uniform_0"]
+
+
+def test_rankings_are_computed_once(spark):
+    table = modelling.rankings(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in plan(table)
+    assert table.count() == 3 * len(modelling._RANKED)
