@@ -167,3 +167,14 @@ def test_gaps_and_repeats_cannot_cancel(spark, positions, good):
         else:
             with pytest.raises(ValueError):
                 require_gap_free(df, Order(block_rows=rows))
+
+
+def test_only_groups_that_cross_a_block_are_carried(spark, monkeypatch):
+    rows = [("d", i, i // 3, float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "d string, p long, g long, x double")
+    carried_rows, attach = [], o.attach
+    monkeypatch.setattr(o, "attach", lambda left, table, *a, **k: carried_rows.append(table.count()) or attach(left, table, *a, **k))
+    got = {r["p"]: r["m"] for r in o.running_group_max(df, "g", "x", "m", o.Order("d", "p", block_rows=8)).collect()}
+    assert got == {p: max(r[3] for r in rows if r[2] == g and r[1] <= p) for _, p, g, _ in rows}
+    # blocks end after rows 7, 15, 23 and 31; the groups of three rows are cut by the first, second and fourth
+    assert carried_rows == [3]
