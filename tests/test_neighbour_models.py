@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,29 @@ def test_too_many_classes_are_refused(spark):
         models.contiguous_folds(df, "y", 3)
     with pytest.raises(ValueError):
         models.with_weights(df)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_meetings_of_long_vectors_are_one_product(monkeypatch, apart):
+    """Every row's neighbours with ties by id, bit by bit, without the distances of all pairs in full."""
+    rng = np.random.default_rng(5)
+    q, t = (np.round(rng.normal(size=(n, 40)), 1) for n in (60, 900))
+    t[300:330] = t[:30]
+    q[:20] = t[:20]
+    full = neighbours._distances(q, t, "euclidean")
+    ids, folds = rng.permutation(900), (np.arange(60) % 3, np.arange(900) % 3)
+    if apart:
+        full[folds[0][:, None] == folds[1]] = np.inf
+    known = {"pivots": t[:1], "rings": np.empty((1, 0)), "block": np.array([0]), "near": np.array([0.0]), "far": np.array([1e3]),
+             "low": np.array([0.0]), "high": np.array([1e3]), "n": np.array([900])}
+    queries = pd.DataFrame({"q_id": np.arange(60), "_v": list(q), "_radius": [np.nan, 8.0] * 30, "_fold": folds[0]})
+    train = pd.DataFrame({"t_id": ids, "_v": list(t), "y": 1.0, "_block": 0, "_fold": folds[1]})
+    monkeypatch.setattr(neighbours, "_distances", lambda a, b, metric, real=neighbours._distances: real(a, b, metric)
+                        if len(b) < 900 else pytest.fail("all pairs"))
+    run = neighbours._meeting(type("Known", (), {"value": known}), 5, "euclidean", ["id"], apart)
+    got = run(queries, train)
+    for i in range(60):
+        order = np.lexsort((ids, full[i]))[:5]
+        order = order[full[i][order] <= (8.0 if i % 2 else 1e300)]
+        mine = got[got["q_id"] == i]
+        assert mine["t_id"].tolist() == ids[order].tolist() and mine["d"].tolist() == full[i][order].tolist()
