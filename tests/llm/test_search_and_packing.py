@@ -311,3 +311,28 @@ def test_signs_tell_agreeing_samples(spark):
     got = {r["k"] for r in pairs.where(near_dedup._agree("x", "y")).collect()}
     assert got == set(np.flatnonzero(agreeing >= near_dedup.AGREE).tolist()) and 50 < len(got) < 350
     assert (near_dedup.band_hashes(a)[:, 0] != near_dedup.band_hashes(a)[:, 1]).all()
+
+
+def test_a_packing_task_needs_little_memory_and_returns_it(monkeypatch):
+    """Two megabytes of text in one batch are encoded below 40 MB, with the ids of single texts, and memory is given back."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tickflow.llm import tokens, words
+    rng = np.random.default_rng(3)
+    some = np.array([f"word{k} " for k in range(500)])
+    texts = ["".join(rng.choice(some, 300)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    encode = tokens.encoder(tokens.definition(tokenizer_path())).encode
+    want = [encode([t])[0] for t in texts]
+    returned = []
+    monkeypatch.setattr(words, "return_memory", lambda: returned.append(1))
+    tracemalloc.start()
+    got = [encode(part.column("text").to_pylist()) for part in words.slices(iter([batch]), size=packing.PIECE_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.concatenate([ids for ids, _ in got]) == np.concatenate(want)).all()
+    assert np.concatenate([n for _, n in got]).tolist() == [len(w) for w in want]
+    assert peak < 40 << 20 and returned == [1]

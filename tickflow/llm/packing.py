@@ -23,6 +23,7 @@ from tickflow.runtime import written
 CAPACITY = 1024
 END = 2
 GROUPS = 1000             # groups of equal cardinality that large lengths are rounded up in
+PIECE_BYTES = 500_000     # text encoded at once; its code points, hashes and marks take about forty times as much
 SMALL = 1 / 16            # lengths up to this share of the capacity are packed last, best fit
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -43,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         encode = encoder(shared.value).encode
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, size=4_000_000):
+        for batch in slices(batches, size=PIECE_BYTES):
             names = batch.column("doc_id").to_pylist()
             ids, counts = encode([t or "" for t in batch.column("text").to_pylist()])
             rows: list[tuple] = []
