@@ -198,3 +198,77 @@ def test_search_over_penalties_shares_passes(spark, monkeypatch):
         b = single(x[own != f], y[own != f], range(6), l1=1 / found.best["C"], weights=weights(y[own != f]))
         got = [r for r in found.rows if r[0] == int(found.scores.orderBy("mean_test", ascending=False).first()["draw"])][f][2]
         assert got == pytest.approx(area(y[own == f], x[own == f] @ b[:-1] + b[-1]), abs=1e-3)
+
+
+def looked(monkeypatch):
+    """(fits, whether cross-products were asked) of every pass."""
+    passes = []
+    look = Blocks._look
+    monkeypatch.setattr(Blocks, "_look", lambda self, states, h: (passes.append((len(states), h)), look(self, states, h))[1])
+    return passes
+
+
+@pytest.fixture(scope="module")
+def wide_blocks(spark):
+    """Twenty-four columns, one of them empty and two alike."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (900, 24))
+    x[:, 5], x[:, 9] = 0.0, x[:, 8] + 0.05 * x[:, 9]
+    y = (x @ np.linspace(1.2, 0.01, 24) + rng.logistic(0, 1, 900) > 0).astype(int)
+    df = spark.createDataFrame([(*[float(v) for v in r], int(a), i % 3) for i, (r, a) in enumerate(zip(x, y))],
+                               ", ".join(f"x{i} double" for i in range(24)) + ", y int, fold int").repartition(3)
+    return Blocks(df, [f"x{i}" for i in range(24)], "y", "fold")
+
+
+def test_steps_near_a_solution_need_no_cross_products(wide_blocks, monkeypatch):
+    fits = [Fit(tuple(range(24)), f, l1=2.0, balanced=True) for f in range(3)]
+    passes = looked(monkeypatch)
+    states = fit_all(wide_blocks, fits, tolerance=1e-9)
+    curved, plain = (sum(n for n, h in passes if h is kind) for kind in (True, False))
+    assert all(s.done and linear_fits.violation(s) <= 1e-9 * 900 for s in states)
+    assert plain >= 3 and curved <= 21
+
+
+def test_elimination_tries_many_removals_in_the_same_passes(wide_blocks, monkeypatch):
+    passes = looked(monkeypatch)
+    kept, areas = linear_fits.elimination(wide_blocks, 3, 14, l1=1.0)
+    curved = sum(h for _, h in passes)
+    monkeypatch.undo()
+    assert curved <= 15                                      # fits one by one take two passes with them at least
+
+    def one_by_one(held):
+        s = fit_all(wide_blocks, [Fit(tuple(range(24)), held, l1=1.0)], tolerance=1e-6)[0]
+        columns = list(range(24))
+        while len(columns) > 14:
+            least = min(columns, key=lambda c: (abs(s.beta[c]), c))
+            columns.remove(least)
+            if s.beta[least]:
+                start = s.beta.copy()
+                start[least] = 0.0
+                s = fit_all(wide_blocks, [Fit(tuple(columns), held, l1=1.0)], [start], 1e-6)[0]
+        return columns, s.auc
+
+    assert kept == [f"x{c}" for c in one_by_one(None)[0]]
+    assert areas[0] == pytest.approx(one_by_one(0)[1], abs=2e-4)
+
+
+def test_elimination_of_columns_that_are_all_zero(wide_blocks):
+    kept, areas = linear_fits.elimination(wide_blocks, 3, 5, l1=1e6)
+    assert kept == [f"x{c}" for c in range(19, 24)] and areas == [0.5] * 3
+
+
+def test_slopes_of_few_columns_are_those_of_all(wide_blocks):
+    rng = np.random.default_rng(2)
+    betas = np.zeros((6, 25))
+    fits = [Fit((0, 3, 7 + i), i % 3, l2=1.0) for i in range(6)]
+    for b, f in zip(betas, fits):
+        b[[*f.columns, 24]] = rng.normal(0, 1, 4)
+    assert linear_fits._shared_columns([np.array([*f.columns, 24]) for f in fits], 24)[1] is not None
+    some = [linear_fits.State(f, b) for f, b in zip(fits, betas)]
+    wide_blocks.look(some, hessians=True)
+    for s in some:
+        alone = linear_fits.State(Fit(tuple(range(24)), s.fit.held, l2=1.0), s.beta)
+        wide_blocks.look([alone], hessians=True)
+        at = [*s.fit.columns, 24]
+        assert s.loss == pytest.approx(alone.loss) and s.auc == alone.auc and s.train_auc == alone.train_auc
+        assert np.allclose(s.gradient[at], alone.gradient[at]) and np.allclose(s.hessian, alone.hessian[np.ix_(at, at)])
