@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickflow.functions.quantiles import quantiles
+from tickflow.functions.quantiles import profile, quantiles, unpivot
 from tickflow.functions.scalars import clip, ratio_or_zero, right_closed_bin, signed_log
 from tickflow.operators import aggregates, prep
 from tickflow.order import Order
@@ -142,3 +142,27 @@ def test_null_reports(frame):
     assert [(r["column"], r["nulls"]) for r in aggregates.null_counts(df, ["a", "b"]).collect()] == [
         ("b", 2), ("a", 1)]
     assert {r["column"]: r["has_null"] for r in aggregates.any_null(df, ["a", "b"]).collect()} == {"a": 1, "b": 1}
+
+
+def test_profile_is_that_of_spark_and_sends_a_row_per_column_and_task(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.5, 0.1, None, nan, 1e300, inf, 2.0), (-2.25, 0.1, None, 3.0, -1e300, 1.0, None), (7.0, 0.1, None, None, 0.0, 2.0, None)] * 9
+    columns = list("abcdefg")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5).where("a is not null")
+    got = profile(df, columns)
+    want = unpivot(df, columns).groupBy("c").agg(
+        F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    for r in want.collect():
+        for name, value in r.asDict().items():
+            own = got[r["c"]][name]
+            assert own == value or str(own) == str(value) or own == pytest.approx(value, rel=1e-12), (r, name, own)
+    assert got["b"]["std"] == 0.0 and got["c"]["low"] is None
+    assert profile(df.where("a > 100"), columns) == {}
+    one = profile(df.limit(1), ["a"])["a"]
+    assert one["n"] == 1 and one["std"] is None
+    plans = []
+    real = type(df).collect
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self))
+        profile(df, columns)
+    assert plans and "Generate" not in plans[0]                      # no row per value
