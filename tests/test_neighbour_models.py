@@ -211,3 +211,50 @@ def test_meetings_of_long_vectors_are_one_product(monkeypatch, apart):
         order = order[full[i][order] <= (8.0 if i % 2 else 1e300)]
         mine = got[got["q_id"] == i]
         assert mine["t_id"].tolist() == ids[order].tolist() and mine["d"].tolist() == full[i][order].tolist()
+
+
+def _one_block(t):
+    known = {"pivots": t[:1], "rings": np.empty((1, 0)), "block": np.array([0]), "near": np.array([0.0]), "far": np.array([1e3]),
+             "low": np.array([0.0]), "high": np.array([1e3]), "n": np.array([len(t)])}
+    return type("Known", (), {"value": known})
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("metric, width", [("euclidean", 3), ("braycurtis", 40)])
+def test_meetings_of_short_vectors_and_of_bray_curtis_skip_most_distances(monkeypatch, metric, width, apart):
+    """Every row's neighbours with ties by id, bit by bit, from few distances in double precision."""
+    rng = np.random.default_rng(3)
+    q, t = (np.round(rng.normal(size=(n, width)), 1) for n in (300, 3000))
+    q[:, 0], t[:, 0] = 40 * rng.uniform(size=300), 40 * rng.uniform(size=3000)
+    t[300:330], q[:20], q[20], t[50:60] = t[:30], t[:20], 0.0, 0.0
+    full = neighbours._distances(q, t, metric)
+    ids, folds = rng.permutation(3000), (np.arange(300) % 3, np.arange(3000) % 3)
+    if apart:
+        full[folds[0][:, None] == folds[1]] = np.inf
+    radius = np.where(np.arange(300) % 2, np.partition(full, 2, axis=1)[:, 2], np.nan)
+    queries = pd.DataFrame({"q_id": np.arange(300), "_v": list(q), "_radius": radius, "_fold": folds[0]})
+    train = pd.DataFrame({"t_id": ids, "_v": list(t), "y": 1.0, "_block": 0, "_fold": folds[1]})
+    counted = []
+    monkeypatch.setattr(neighbours, "_distances", lambda a, b, metric, real=neighbours._distances:
+                        counted.append(len(a) * len(b)) or real(a, b, metric))
+    got = neighbours._meeting(_one_block(t), 5, metric, ["id"], apart)(queries, train)
+    assert sum(counted) < 0.5 * full.size
+    for i in range(300):
+        order = np.lexsort((ids, full[i]))[:5]
+        order = order[full[i][order] <= (radius[i] if i % 2 else 1e300)]
+        mine = got[got["q_id"] == i]
+        assert mine["t_id"].tolist() == ids[order].tolist() and mine["d"].tolist() == full[i][order].tolist()
+
+
+def test_search_over_neighbours_holds_rows_against_each_other_once(spark, planted, monkeypatch):
+    df, x, y = planted
+    asked = []
+    monkeypatch.setattr(models, "neighbour_table", lambda train, queries, *more, real=models.neighbour_table:
+                        asked.append(train.count() * queries.count()) or real(train, queries, *more))
+    tried = [{"n_neighbors": 5, "metric": "euclidean", "weights": "uniform"}]
+    folds = models.written(models.contiguous_folds(df, "y", 4), "folds")
+    rows = models._validate_neighbours(folds, ["a", "b", "c"], 4, "y", tried)
+    assert sum(asked) == 500 * 500
+    own = np.array([r["fold"] for r in folds.orderBy("trd_id").collect()])
+    for f, (_, _, got) in enumerate(rows):
+        assert got == pytest.approx(auc(y[own == f], vote(x[own != f], y[own != f], x[own == f], 5)))
