@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickflow.operators import selection
 from tickflow.plans import modelling
@@ -44,3 +46,29 @@ def test_rankings_are_computed_once(spark):
     table = modelling.rankings(spark, "/root/testdata/sf0.001")
     assert "Aggregate" not in plan(table)
     assert table.count() == 3 * len(modelling._RANKED)
+
+
+def test_permutation_writes_no_row_per_variant(spark, monkeypatch):
+    """Areas from packed ranges are those of the scored rows, with values of few and of many rows and a row without target."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(1500, 3)), 1)
+    y = (x[:, 0] + rng.normal(size=1500) > 0.5).astype(int)
+    rows = [(f"d{i % 3}", i, None if i == 7 else int(t), *map(float, r)) for i, (r, t) in enumerate(zip(x, y))]
+    df = selection.written(spark.createDataFrame(rows, "date_trd string, trd_id long, y int, a double, b double, c double"))
+
+    class Plain:
+        def plain(self):
+            return lambda v: np.round(1 / (1 + np.exp(-v @ np.array([1.0, 0.3, 0.0]))), 2)
+
+    def as_rows(frame):
+        return frame.withColumn("prob", F.round(1 / (1 + F.exp(-(F.col("a") + 0.3 * F.col("b")))), 2))
+
+    want = {r["cols"]: r["importance"] for r in selection.permutation_importance(df, ["a", "b", "c"], as_rows).collect()}
+    sizes = []
+    monkeypatch.setattr(selection, "written", lambda f, label="", real=selection.written: sizes.append(real(f, label)) or sizes[-1])
+    for name, value in (("RANGE_ROWS", 200), ("HELD_ROWS", 600), ("PART_ROWS", 100)):
+        monkeypatch.setattr(selection, name, value)
+    for weighted in (False, True):
+        got = {r["cols"]: r["importance"] for r in selection.permutation_importance(df, ["a", "b", "c"], Plain(), weighted=weighted).collect()}
+        assert got == pytest.approx(want, abs=1e-12) and got["a"] > 0.1 and got["c"] == 0
+    assert max(f.count() for f in sizes) < 1500
