@@ -1,5 +1,8 @@
 """Every registered query with SQL against DuckDB at the smallest scale, and plan checks."""
 
+import builtins
+import dis
+
 import duckdb
 import pytest
 
@@ -41,6 +44,13 @@ def test_query_without_sql(spark, name):
         assert rows["importance"].notna().all()
 
 
+def test_names_in_queries_are_defined():
+    """A name that a query reads is in its module (a query without SQL may else fail only when it is run)."""
+    for name, run in entry.queries().items():
+        read = {i.argval for i in dis.get_instructions(run) if i.opname == "LOAD_GLOBAL"}
+        assert not {n for n in read if n not in run.__globals__ and not hasattr(builtins, n)}, name
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(TABLES) == 14 and duckdb.__version__
