@@ -1,5 +1,9 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tickflow.operators import linear_fits, models
 from tickflow.operators.linear_fits import Blocks, Fit, fit_all
@@ -272,3 +276,34 @@ def test_slopes_of_few_columns_are_those_of_all(wide_blocks):
         at = [*s.fit.columns, 24]
         assert s.loss == pytest.approx(alone.loss) and s.auc == alone.auc and s.train_auc == alone.train_auc
         assert np.allclose(s.gradient[at], alone.gradient[at]) and np.allclose(s.hessian, alone.hessian[np.ix_(at, at)])
+
+
+def test_blocks_and_counts_have_a_fixed_size(spark, monkeypatch):
+    """Stored blocks are small whatever the number of rows, and scores are counted in one table, flush by flush."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (3000, 100)), rng.integers(0, 2, 3000)
+    df = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y)], "x array<double>, y int").coalesce(1)
+    made = Blocks(df.select("y", *[F.col("x")[i].alias(f"x{i}") for i in range(100)]), [f"x{i}" for i in range(100)])
+    sizes = [r[0] for r in made.table.selectExpr("length(x)").collect()]
+    assert sum(sizes) == 8 * x.size and max(sizes) <= linear_fits.BLOCK_BYTES
+
+    batch = made.table.toArrow().to_batches()
+    beta = rng.normal(0, 0.3, (101, 20))
+    none = np.full(20, np.iinfo(np.int64).min)
+    plan = (beta, np.ones((20, 2)), none, none, ["logistic"] * 20, [np.arange(101)] * 20, False, 100)
+    monkeypatch.setattr(linear_fits, "CODES", 5000)
+    monkeypatch.setattr(linear_fits, "CELLS", 20 * 64)
+    parts = list(linear_fits._scan(SimpleNamespace(value=plan), 8)(iter(batch)))
+    assert [p.column("task").to_pylist() for p in parts] == [[0], [1], [2]] and max(p.num_rows for p in parts) == 1
+    z = x @ beta[:100] + beta[100]
+    for k, part in enumerate(parts):
+        done = linear_fits._finished(pa.Table.from_batches([part]))
+        own = range(8 * k, min(8 * k + 8, 20))
+        assert done.column("auc")[0].as_py() == pytest.approx([float("nan")] * len(own), nan_ok=True)
+        want = [linear_fits._area(*(np.bincount(np.unique(np.floor(z[:, t] * linear_fits.RESOLUTION), return_inverse=True)[1], y == c)
+                                    for c in (1, 0))) for t in own]
+        assert np.allclose(done.column("train_auc")[0].as_py(), want)
+    # sums of two parts are those of twice the rows
+    twice = linear_fits._added(pa.Table.from_batches([parts[0], parts[0]]))
+    once = linear_fits._sums(pa.Table.from_batches([parts[0]]))
+    assert np.array_equal(linear_fits._sums(twice)[1], 2 * once[1])
