@@ -307,3 +307,36 @@ def test_blocks_and_counts_have_a_fixed_size(spark, monkeypatch):
     twice = linear_fits._added(pa.Table.from_batches([parts[0], parts[0]]))
     once = linear_fits._sums(pa.Table.from_batches([parts[0]]))
     assert np.array_equal(linear_fits._sums(twice)[1], 2 * once[1])
+
+
+def test_few_rows_give_the_same_fits_in_tasks_and_in_passes(blocks, monkeypatch):
+    fits = [Fit((0, 1, 2, 3, 4, 5), l2=1.0), Fit((0, 2), held=1, l2=0.5, balanced=True), Fit((1, 3, 5), only=2, l2=2.0),
+            Fit((0, 1, 2, 3, 4, 5), l1=20.0), Fit((0, 1, 2, 3, 4), held=0, l1=3.0, loss="squared_hinge")]
+    assert blocks.small
+    monkeypatch.setattr(linear_fits, "MANY", 5)               # the four fits that all others start from take passes
+    at_hand = fit_all(blocks, fits, tolerance=1e-9)
+    dropped = linear_fits.backward(blocks, 4, keep=2)
+    monkeypatch.setattr(linear_fits, "AT_HAND", 0)
+    assert not blocks.small
+    for a, b in zip(at_hand, fit_all(blocks, fits, tolerance=1e-9)):
+        assert np.allclose(a.beta, b.beta, atol=1e-9)
+        assert (a.done, a.auc, a.train_auc) == (b.done, pytest.approx(b.auc, nan_ok=True), pytest.approx(b.train_auc, nan_ok=True))
+    again = linear_fits.backward(blocks, 4, keep=2)
+    assert [c for c, _ in dropped] == [c for c, _ in again]
+    assert np.allclose([v for _, v in dropped], [v for _, v in again], atol=1e-3)
+
+
+def test_inverse_of_a_hundred_columns(spark):
+    """On the driver, where the library's own inverse of such a matrix did not come back."""
+    a = np.random.default_rng(1).normal(size=(130, 111))
+    h = a.T @ a + np.eye(111)
+    assert np.allclose(linear_fits._inverse(h) @ h, np.eye(111))
+
+
+def test_backward_selection_starts_from_all_features(spark, monkeypatch):
+    from tickflow.plans import modelling
+    asked = {}
+    monkeypatch.setattr(modelling, "_blocks", lambda spark, sf, k=5, columns=modelling.X: asked.update(columns=list(columns)))
+    monkeypatch.setattr(linear_fits, "backward", lambda blocks, folds, keep, **own: asked.update(folds=folds, keep=keep) or [("a", 0.5)])
+    modelling.sel_sequential(spark, "nowhere").collect()
+    assert asked == {"columns": modelling.X, "folds": 5, "keep": 14}
