@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickflow.operators import selection
+from tickflow.operators import neighbours, selection
 from tickflow.plans import modelling
 
 
@@ -72,3 +72,37 @@ def test_permutation_writes_no_row_per_variant(spark, monkeypatch):
         got = {r["cols"]: r["importance"] for r in selection.permutation_importance(df, ["a", "b", "c"], Plain(), weighted=weighted).collect()}
         assert got == pytest.approx(want, abs=1e-12) and got["a"] > 0.1 and got["c"] == 0
     assert max(f.count() for f in sizes) < 1500
+
+
+def test_family_query_ranks_by_all_families(spark, frame, monkeypatch):
+    from tickflow.plans import modelling
+    asked = []
+
+    def ranked(df, columns, family, **own):
+        asked.append(family)
+        return frame("ranking string, cols string, importance double", [(family, "a", 1.0)])
+
+    rows = frame("a double, y int", [(float(i), i % 2) for i in range(40)])
+    monkeypatch.setattr(modelling, "X", ["a"])
+    monkeypatch.setattr(modelling, "model_frame", lambda spark, sf: (rows, rows))
+    monkeypatch.setattr(selection, "family_importances", ranked)
+    found = {r["ranking"] for r in modelling.sel_family(spark, "nowhere").collect()}
+    assert sorted(asked) == ["knn", "linear", "svm", "tree"] and found == {"mi", *asked}
+
+
+def test_rows_in_reach_hold_the_nearest_of_every_variant():
+    rng = np.random.default_rng(4)
+    for width, k in ((1, 3), (12, 5), (40, 16)):
+        t, few = rng.normal(size=(900, width)), 0
+        for _ in range(20):
+            x, other = rng.normal(size=width), rng.normal(size=width)
+            terms = (x - t) ** 2
+            own = neighbours._in_reach(terms, terms.sum(axis=1), other, t, k)
+            few += len(own)
+            for j in range(-1, width):
+                at = x.copy()
+                if j >= 0:
+                    at[j] = other[j]
+                d = ((at - t) ** 2).sum(axis=1)
+                assert set(np.argsort(d)[:k]) <= set(own)
+        assert few < 20 * 900 or width == 1
