@@ -240,3 +240,22 @@ def test_rank_cuts_round_half_to_even(frame):
     # 0.5 of 5 is 2.5 and rounds to 2
     assert sorted(r["cols"] for r in selection.rank_union(table, 0.5).collect()) == ["c0", "c1", "c2"]
     assert sorted(r["cols"] for r in selection.rank_intersection(table, 0.5).collect()) == ["c1"]
+
+
+def test_large_machines_are_fitted_one_after_the_other(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 2))
+    df = spark.createDataFrame([(float(a), float(b), int(a + b > 0)) for a, b in x], "a double, b double, y int")
+    used = []
+
+    def watched(run, arguments, parallelism=4):
+        used.append(parallelism)
+        return [run(a) for a in arguments]
+
+    monkeypatch.setattr(models, "together", watched)
+    small = models.fit_classifier("svm", df, ["a", "b"], maxIter=3)
+    monkeypatch.setattr(models, "KEPT_BYTES", 0)
+    large = models.fit_classifier("svm", df, ["a", "b"], maxIter=3)
+    assert used == [4, 1]
+    probs = [[r["prob"] for r in m.score(df).orderBy("a").collect()] for m in (small, large)]
+    assert np.allclose(*probs)
